@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 
@@ -150,3 +154,32 @@ def logistic_fit(
 def bounded_sample(df: DataFrame, key: Column, limit: int) -> list:
     """At most ``limit`` rows in the order of ``key`` (a hash): reproducible and bounded."""
     return df.orderBy(key).limit(limit).collect()
+
+
+def global_prefix(df: DataFrame, order: list[Column], weight: str, start: str) -> tuple[DataFrame, int]:
+    """Adds ``start``, the sum of ``weight`` over all rows before a row in ``order``; returns the whole sum too.
+
+    Range partitions are summed up one row after the other, each within its task; only one
+    sum per partition meets in one place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            w = batch.column(batch.schema.get_field_index(weight)).to_numpy()
+            ends = before + np.cumsum(w)
+            before = int(ends[-1]) if len(ends) else before
+            extra = [pa.array(np.full(len(w), part, dtype=np.int64)), pa.array((ends - w).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "__part", "__before"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.LongType()), T.StructField("__before", T.LongType())])
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialize(ranged.mapInArrow(run, schema), "prefix")
+    sums = sorted(stored.groupBy("__part").agg(F.sum(weight)).collect())
+    offsets, total = [], 0
+    for part, n in sums:
+        offsets.append((part, total))
+        total += n
+    found = df.sparkSession.createDataFrame(offsets, "__part long, __offset long")
+    out = stored.join(F.broadcast(found), "__part").withColumn(start, F.col("__offset") + F.col("__before"))
+    return out.drop("__part", "__before", "__offset"), total
