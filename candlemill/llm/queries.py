@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash_dedup, packing, secrets, sharding
+from . import embedding_dedup, licenses, minhash_dedup, packing, secrets, sharding
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -42,7 +46,7 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op7_minhash_near_dedup, op8_mixture_packing)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
