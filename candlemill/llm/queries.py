@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, licenses, minhash_dedup, packing, secrets, sharding
+from . import embedding_dedup, langid, licenses, minhash_dedup, packing, secrets, sharding, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -45,8 +49,12 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
