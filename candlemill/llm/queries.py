@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, licenses, minhash_dedup, packing, secrets, sharding, toxicity
+from . import decontam, embedding_dedup, langid, licenses, minhash_dedup, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -23,6 +23,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,8 +60,15 @@ def op9_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score; the source stands for the host, its languages for paths."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = quality.judge(docs, labels, ["doc_id"], host=F.col("source"), path=F.col("lang"))
+    return judged.withColumnsRenamed({"quality_score": "score", "quality_kept": "kept"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op4_latent_decontamination, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id, op10_site_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

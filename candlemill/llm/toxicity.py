@@ -24,7 +24,7 @@ PATTERNS = ("shouting", "exclaiming", "second_person")
 
 #: Bounded, documented sample of labelled rows, in hash order; at most so many mined voters.
 TRAIN_ROWS, MOST_VOTERS = 12_000, 500
-PREFIXES, SUFFIXES = (3, 4, 5, 6), (4, 5)
+PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (4, 5)
 LEAST_G2 = 20.0
 LABEL_ODDS = np.log(0.97 / 0.03)
 THRESHOLD = 0.3
@@ -171,7 +171,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicModel | None:
     order = np.lexsort([*packed.T[:8], labels])  # the same sums whatever the order of arrival
     votes, labels = votes[order], labels[order]
     posterior, _ = label_model(votes, labels)
-    model.weights = logistic_fit(votes, posterior, l2=2e-4)
+    model.weights = logistic_fit(votes, posterior, l2=1e-5)
     return model
 
 
