@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,40 +26,106 @@ MOST_SOURCES = 100_000
 #: White space of Unicode; str.split() also splits at 0x1C-0x1F, which tokenizers keep.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SEPARATORS = re.compile("[\\x1c-\\x1f]")
-_CACHE: dict[str, dict[str, bytes]] = {}
-_CACHE_WORDS = 1 << 20
+#: Texts of these characters alone are cut into the tokenizer's own pieces (its split pattern, written
+#: for this range); their lower case and NFC form are the same everywhere.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t\\n\\ra-zß-öø-ÿ0-9]+")
+#: The split pattern and word end of tokenizers for which the above holds.
+WORD_SPLIT, WORD_END = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "</w>"
+_CACHE_WORDS = 450_000
 
 
 def split_words(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
 
 
-def _tokenize(path: str):
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Encoder:
+    """Token ids of texts as little-endian bytes, each distinct word or piece encoded once while remembered.
+
+    With a lower-casing word tokenizer (one that drops white space and marks word ends) a
+    text's ids are those of its white-space words one after the other, and those of a text
+    of Latin letters are those of its pieces. Any other tokenizer encodes whole texts.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        cache, end = _CACHE.setdefault(path, {}), np.array([END], dtype="<u4").tobytes()
-        for batch in batches:
-            ids = []
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 128):
-                split = [split_words(t or "") for t in texts[at : at + 128]]
-                if len(cache) > _CACHE_WORDS:
-                    cache.clear()
-                new = list({w for words in split for w in words if w not in cache})
-                for word, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                    cache[word] = np.array(e.ids, dtype="<u4").tobytes()
-                ids += [b"".join([cache[w] for w in words]) + end for words in split]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "source": batch.column("source"),
-                    "n": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids": pa.array(ids, pa.large_binary()).cast(pa.binary()),
-                }
-            )
+        self.tok = Tokenizer.from_file(path)
+        setup, vocab = json.loads(self.tok.to_str()), self.tok.get_vocab()
+        self.dtype = "<u2" if len(vocab) <= 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        steps = (setup.get("normalizer") or {}).get("normalizers", [])
+        splits = (setup.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_word = (
+            setup["model"].get("end_of_word_suffix") == WORD_END
+            and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and [x.get("pattern", {}).get("Regex") for x in splits][:1] == [WORD_SPLIT]
+        )
+        self.pieces: dict[str, bytes] = {}  # pieces of the tokenizer's own split
+        self.plain: dict[str, bytes] = {}  # lower-case words of Latin letters
+        self.words: dict[str, bytes] = {}  # any other words, as they are
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        runs, width = [new[i : i + 256] for i in range(0, len(new), 256)], np.dtype(self.dtype).itemsize
+        for run, e in zip(runs, self.tok.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * width
+            if len(cuts) != len(run):
+                raise ValueError("the tokenizer doesn't end each piece with a word end")
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(run, cuts.tolist()):
+                self.pieces[piece], start = raw[start:end], end
+
+    def _learn_plain(self, new: list[str]) -> None:
+        # most words are letters, or letters and one mark
+        split = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[:-1].isalpha() and w[-1] in ".,!" else _PIECE.findall(w) for w in new]
+        self._learn_pieces(list(set().union(*split).difference(self.pieces)))
+        for word, pieces in zip(new, split):
+            self.plain[word] = b"".join(map(self.pieces.__getitem__, pieces))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        for name in ("pieces", "plain", "words"):
+            if len(cache := getattr(self, name)) > _CACHE_WORDS:  # the first seen are the commonest
+                setattr(self, name, dict(islice(cache.items(), _CACHE_WORDS * 2 // 3)))
+        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        split = [t.lower().split() if p else split_words(t) for t, p in zip(texts, plain)]
+        self._learn_plain(list(set().union(*[s for s, p in zip(split, plain) if p]).difference(self.plain)))
+        others = list(set().union(*[s for s, p in zip(split, plain) if not p]).difference(self.words))
+        for word, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False)):
+            self.words[word] = self._bytes(e.ids)
+        return [b"".join(map((self.plain if p else self.words).__getitem__, words)) for words, p in zip(split, plain)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _tokenize(path: str):
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        encoder = _ENCODERS[path]
+        end, width = encoder._bytes([END]), np.dtype(encoder.dtype).itemsize
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column("text").to_pylist()
+                ids = [x + end for i in range(0, len(texts), 128) for x in encoder.encode(texts[i : i + 128])]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id"),
+                        "source": batch.column("source"),
+                        "n": pa.array([len(x) // width for x in ids], pa.int64()),
+                        "width": pa.array([width] * len(ids), pa.int32()),
+                        "ids": pa.array(ids, pa.binary()),
+                    }
+                )
 
     return tokenize
 
@@ -97,31 +167,42 @@ def window_of(x: np.ndarray, phases: list[tuple[float, float, float]], window: i
     return np.maximum((time[at] + (x + 0.5 - first[at]) / rate[at]) // window, 0).astype(np.int64)
 
 
+def cuts_of(x0: np.ndarray, x1: np.ndarray, phases: list[tuple[float, float, float]], window: int):
+    """Pieces of the queue's stretches [x0, x1) at window ends: (stretch, start, end, window)."""
+    w0, w1 = window_of(x0, phases, window), window_of(x1 - 1, phases, window)
+    n = w1 - w0 + 1
+    owner = np.repeat(np.arange(len(x0)), n)
+    w = w0[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    low, high = x0[owner], x1[owner]  # the first token of a later window, by bisection
+    high = high.copy()
+    low = np.where(w == w1[owner], high, low)
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        later = window_of(mid, phases, window) > w
+        high = np.where(open_ & later, mid, high)
+        low = np.where(open_ & ~later, mid + 1, low)
+    start = np.where(w == w0[owner], x0[owner], np.concatenate([[0], low[:-1]]))
+    return owner, start, low, w
+
+
 def _serve(plan: dict, starts: dict[str, int], window: int):
     """Cuts documents where their queue's service passes from one window to the next."""
 
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("uid", "start", "length", "window", "queue_at", "source")}
-            for uid, source, n, place in zip(*(batch.column(c).to_pylist() for c in ("uid", "source", "n", "place"))):
-                phases, x0 = plan[source], place - starts[source]
-                w0, w1 = window_of(np.array([x0, x0 + n - 1]), phases, window)
-                cut = x0
-                for w in range(w0, w1 + 1):
-                    low, high = cut, x0 + n  # first token of a later window, by bisection
-                    if w == w1:
-                        low = high
-                    while low < high:
-                        mid = (low + high) // 2
-                        if window_of(np.array([mid]), phases, window)[0] > w:
-                            high = mid
-                        else:
-                            low = mid + 1
-                    if low > cut:
-                        for k, v in zip(out, (uid, cut - x0, low - cut, w, cut, source)):
-                            out[k].append(v)
-                    cut = low
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "source" else pa.int64()) for k, v in out.items()})
+            uid, n, place = (batch.column(c).to_numpy() for c in ("uid", "n", "place"))
+            source = np.array(batch.column("source").to_pylist(), dtype=object)
+            for name in sorted(set(source)):
+                own = np.flatnonzero(source == name)
+                x0 = place[own] - starts[name]
+                owner, s, e, w = cuts_of(x0, x0 + n[own], plan[name], window)
+                full = e > s
+                owner, s, e, w = owner[full], s[full], e[full], w[full]
+                cols = [uid[own][owner], s - x0[owner], e - s, w, s]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c.astype(np.int64)) for c in cols), pa.array([name] * len(s), pa.string())],
+                    names=["uid", "start", "length", "window", "queue_at", "source"],
+                )
 
     return serve
 
@@ -183,14 +264,14 @@ def pack(
 
     A null text counts as empty (one id), a null source as the empty name; equal rows are
     packed once each; an empty table gives no rows; further columns are ignored.
-    Returns a row for each piece: doc_id, start, length, ids (little-endian, 32 bits each),
-    doc_tokens, sequence_id, offset, source.
+    Returns a row for each piece: doc_id, start, length, ids (little-endian, ``width`` bytes
+    each: 2 if the vocabulary allows), width, doc_tokens, sequence_id, offset, source.
     """
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text")
     )
     tokens = materialize(
-        plain.mapInArrow(_tokenize(tokenizer), "doc_id long, source string, n long, ids binary").withColumn(
+        plain.mapInArrow(_tokenize(tokenizer), "doc_id long, source string, n long, width int, ids binary").withColumn(
             "uid", F.monotonically_increasing_id()
         ),
         "tokens",
@@ -210,13 +291,19 @@ def pack(
     pieces = ordered.select("uid", "start", "length", "at").mapInArrow(
         _cut(total, sequence), "uid long, start long, length long, sequence_id long, offset long"
     )
-    own = F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))")
+    own = F.expr("substring(ids, cast(width * start + 1 as int), cast(width * length as int))")
     return pieces.join(tokens, "uid").select(
-        "doc_id", "start", "length", own.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", "offset", "source"
+        "doc_id", "start", "length", own.alias("ids"), "width", F.col("n").alias("doc_tokens"), "sequence_id", "offset", "source"
     )
 
 
-def digest(packed: DataFrame) -> DataFrame:
+def digest(packed: DataFrame, *more: str) -> DataFrame:
+    """The pieces with the checksum of their ids as unsigned 32-bit numbers; the ids only if ``more`` names them."""
+
+    @F.pandas_udf("long")
+    def checksum(ids: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.frombuffer(x, dtype=f"<u{w}").astype("<u4").tobytes()) for x, w in zip(ids, width)], dtype="int64")
+
     return packed.select(
-        "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
+        "doc_id", "start", "length", checksum("ids", "width").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", *more
     )
