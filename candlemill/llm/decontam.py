@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from .common import WordHashes, alnum_words
 
 #: Hashed terms, latent dimensions (with oversampling), words a chunk, window lengths in chunks.
-TERMS, RANK, OVERSAMPLE, POWER = 1 << 18, 96, 8, 2
+TERMS, RANK, OVERSAMPLE, POWER = 1 << 18, 128, 16, 2
 CHUNK, SCALES = 8, (2, 4, 8)
 #: Benchmark passages searched at once: a larger benchmark is searched block by block.
 BLOCK_PASSAGES = 20_000
 PASSAGE_WORDS = 48
-COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.35, 0.7, 0.5, 5, 0.8
+COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.3, 0.7, 0.5, 5, 0.8
 HIT = "item_id long, cosine double, common double, answer boolean, first_word long, n_words long"
 
 
@@ -35,23 +35,23 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     hashes, counts, docs = WordHashes(), np.zeros(TERMS, dtype=np.int64), 0
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            counts[np.unique(_terms(hashes.of(folded_words(text))))] += 1
+            counts[np.unique(_terms(hashes.of(list(set(folded_words(text))))))] += 1
             docs += 1
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(at, -1)), "n": pa.array(np.append(counts[at], docs))})
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((1 + documents) / (1 + documents with the term)) + 0.1 per hashed term, over all documents.
+def term_weights(docs: DataFrame) -> np.ndarray:
+    """(log((1 + documents) / (1 + documents with the term)) + 0.1) squared per hashed term, over all documents.
 
-    At most one row per hashed term (2^18) reaches the driver.
+    The square lets rare words outweigh what all texts of a language share. At most one row per hashed term (2^18) reaches the driver.
     """
     sums = docs.select("text").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = sums.column("term").to_numpy(), sums.column("n").to_numpy()
     total = int(n[term == -1].sum())
     df = np.zeros(TERMS)
     df[term[term >= 0]] = n[term >= 0]
-    return (np.log((1 + total) / (1 + df)) + 0.1).astype(np.float32)
+    return ((np.log((1 + total) / (1 + df)) + 0.1) ** 2).astype(np.float32)
 
 
 def passages_of(words: int, size: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
@@ -106,7 +106,7 @@ def latent_space(benchmark: DataFrame, idf: np.ndarray, seed: int, rank: int = R
     """Randomised SVD of the benchmark's TF-IDF passages: the leading right singular vectors.
 
     A random sketch is multiplied by A'A in distributed passes with orthonormalisation in between
-    (subspace iteration). The basis, at most 2^18 terms by 104, is the only thing that the driver holds.
+    (subspace iteration). The basis, at most 2^18 terms by 144, is the only thing that the driver holds.
     """
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,41 +156,55 @@ class Search:
     vectors: np.ndarray  # passage x rank, unit length
     scale: np.ndarray  # passage -> index into SCALES
 
-    def candidates(self, hashes: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(passage, first word, end, cosine) of windows that come near a passage."""
-        n = len(hashes)
-        chunks = -(-n // CHUNK)
-        rows, idf = self.latent.word_rows(hashes)
-        chunk = np.arange(n) // CHUNK
-        weight = np.bincount(chunk, weights=idf.astype(np.float64) ** 2, minlength=chunks)
+    def candidates(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+        """Per text (word hashes): (passage, first word, end, cosine) of windows that come near a passage.
+
+        All texts are laid out in chunks of words one after the other, each followed by
+        empty chunks, so that no window reaches into the next text.
+        """
+        pad = max(SCALES) - 1
+        chunks = np.array([-(-len(t) // CHUNK) for t in texts])
+        starts = np.concatenate([[0], np.cumsum(chunks + pad)])
+        rows, idf = self.latent.word_rows(np.concatenate(texts) if texts else np.empty(0, dtype=np.uint64))
+        sizes = np.array([len(t) for t in texts])
+        word = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        chunk = np.repeat(starts[:-1], sizes) + word // CHUNK
+        norm2 = np.bincount(chunk, weights=idf.astype(np.float64) ** 2, minlength=starts[-1])
+        sums = np.zeros((starts[-1], self.vectors.shape[1]), dtype=np.float32)
+        out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         on = np.flatnonzero(rows >= 0)
-        sums = np.zeros((chunks, self.vectors.shape[1]), dtype=np.float32)
         if not len(on):
-            return []
+            return out
         own = chunk[on]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         sums[own[first]] = np.add.reduceat(self.latent.basis[rows[on]] * idf[on, None], first, axis=0)
-        before = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
-        before_w = np.concatenate([[0.0], np.cumsum(weight)])
-        out = []
-        for k, length in enumerate(SCALES):
+        owner = np.repeat(np.arange(len(texts)), chunks + pad)
+        place = np.arange(len(owner)) - starts[owner]
+        length = 1
+        for k, scale in enumerate(SCALES):
+            while length < scale:  # sums over twice as many chunks
+                sums[:-length] += sums[length:].copy()
+                norm2[:-length] += norm2[length:].copy()
+                length *= 2
             mine = np.flatnonzero(self.scale == k)
-            if not len(mine):
+            at = np.flatnonzero(place <= np.maximum(chunks[owner] - scale, 0))
+            if not len(mine) or not len(at):
                 continue
-            start = np.arange(max(1, chunks - length + 1))
-            end = np.minimum(start + length, chunks)
-            x = (before[end] - before[start]).astype(np.float32)
-            norm = np.sqrt(np.maximum(before_w[end] - before_w[start], 1e-9))
-            near = (x @ self.vectors[mine].T) / norm[:, None].astype(np.float32)
-            for w, p in np.argwhere(near >= COSINE):
-                out.append((int(mine[p]), int(start[w]) * CHUNK, min(n, int(end[w]) * CHUNK), float(near[w, p])))
+            floor = COSINE * np.sqrt(np.maximum(norm2[at], 1e-9)).astype(np.float32)
+            near = sums[at] @ self.vectors[mine].T
+            w, p = np.nonzero(near >= floor[:, None])
+            for i, j, value, least in zip(at[w].tolist(), mine[p].tolist(), near[w, p].tolist(), floor[w].tolist()):
+                t = int(owner[i])
+                start = int(place[i]) * CHUNK
+                out[t].append((j, start, min(int(sizes[t]), start + scale * CHUNK), value / least * COSINE))
         return out
 
-    def verify(self, hashes: np.ndarray) -> list[dict]:
-        if not len(hashes):
-            return []
+    def find(self, texts: list[np.ndarray]) -> list[list[dict]]:
+        return [self.verify(t, c) for t, c in zip(texts, self.candidates(texts))]
+
+    def verify(self, hashes: np.ndarray, near: list[tuple[int, int, int, float]]) -> list[dict]:
         words, best = None, {}
-        for p, start, end, cosine in sorted(self.candidates(hashes), key=lambda c: -c[3]):
+        for p, start, end, cosine in sorted(near, key=lambda c: -c[3]):
             item = int(self.owner[p])
             if item in best and best[item]["common"] >= VERBATIM:
                 continue
@@ -245,7 +259,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
     if not bench.take(1):
         return docs.withColumn(column, F.array().cast(f"array<struct<{_struct(HIT)}>>"))
-    idf = inverse_frequencies(docs)
+    idf = term_weights(docs)
     latent = latent_space(bench, idf, seed)
     out = docs.withColumn(column, F.array().cast(f"array<struct<{_struct(HIT)}>>"))
     size = F.length("text")
@@ -259,7 +273,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
         def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             hashes, search = WordHashes(), shared.value
             for part in texts:
-                yield pd.Series([search.verify(hashes.of(folded_words(t))) for t in part], dtype=object)
+                found: list[list[dict]] = []
+                texts = part.tolist()
+                for at in range(0, len(texts), 32):
+                    found += search.find([hashes.of(folded_words(t)) for t in texts[at : at + 32]])
+                yield pd.Series(found, dtype=object)
 
         out = out.withColumn(column, F.concat(column, find("text")))
     return out
