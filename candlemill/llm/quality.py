@@ -98,6 +98,7 @@ def judge(
     path: Column,
     train_rows: int = TRAIN_ROWS,
     threshold: float = THRESHOLD,
+    prefix: str = "quality_",
 ) -> DataFrame:
     """Quality of every whole text: classifier evidence with the posteriors of its host and path.
 
@@ -112,7 +113,8 @@ def judge(
     own; without labels of both kinds every other text has the evidence 0.5 and is kept;
     conflicting labels of one doc_id count as low; equal rows get equal scores; an empty
     table gives no rows. Returns the columns ``keep`` (which must hold doc_id) with evidence,
-    host_posterior, path_posterior, quality_score and quality_kept.
+    host_posterior, path_posterior, score and kept, their names after ``prefix``, which no name in
+    ``keep`` may start with; other columns aren't looked at.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -141,32 +143,33 @@ def judge(
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("\\S")
     scored = docs.select(
         *keep,
-        F.coalesce(host.cast("string"), F.lit("")).alias("__host"),
-        F.coalesce(path.cast("string"), F.lit("")).alias("__path"),
-        blank.alias("__blank"),
-        evidence("text").alias("evidence"),
+        F.coalesce(host.cast("string"), F.lit("")).alias(f"{prefix}host"),
+        F.coalesce(path.cast("string"), F.lit("")).alias(f"{prefix}path"),
+        blank.alias(f"{prefix}blank"),
+        evidence("text").alias(f"{prefix}evidence"),
     )
     scored = materialize(scored, "evidence")
 
-    paths = scored.groupBy("__host", "__path").agg(
-        F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("ss")
+    p = F.col(f"{prefix}evidence")
+    paths = scored.groupBy(F.col(f"{prefix}host").alias("host"), F.col(f"{prefix}path").alias("path")).agg(
+        F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss")
     )
     paths = materialize(paths, "paths")
-    hosts = paths.groupBy("__host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")])
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")])
     mu, host_weight = shrinkage(hosts)
     _, path_weight = shrinkage(paths)
     hosts = hosts.select(
-        "__host", ((F.col("s") + F.lit(host_weight * mu)) / (F.col("n") + F.lit(host_weight))).alias("host_posterior")
+        "host", ((F.col("s") + F.lit(host_weight * mu)) / (F.col("n") + F.lit(host_weight))).alias("host_posterior")
     )
-    sites = paths.join(hosts, "__host").select(
-        "__host", "__path", "host_posterior",
-        ((F.col("s") + F.lit(path_weight) * F.col("host_posterior")) / (F.col("n") + F.lit(path_weight))).alias("path_posterior"),
+    sites = paths.join(hosts, "host").select(
+        F.col("host").alias(f"{prefix}host"), F.col("path").alias(f"{prefix}path"), F.col("host_posterior").alias(f"{prefix}host_posterior"),
+        ((F.col("s") + F.lit(path_weight) * F.col("host_posterior")) / (F.col("n") + F.lit(path_weight))).alias(f"{prefix}path_posterior"),
     )
-    joined = scored.join(small_broadcast(sites, paths.count(), BROADCAST_ROWS), ["__host", "__path"])
-    odds = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.lit(mu))
-    score = F.when(F.col("__blank"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds)))
+    joined = scored.join(small_broadcast(sites, paths.count(), BROADCAST_ROWS), [f"{prefix}host", f"{prefix}path"])
+    odds = _logit(p) + _logit(F.col(f"{prefix}path_posterior")) - _logit(F.lit(mu))
+    score = F.when(F.col(f"{prefix}blank"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds)))
     return (
-        joined.withColumn("quality_score", score)
-        .withColumn("quality_kept", F.col("quality_score") >= threshold - 1e-9)
-        .select(*keep, "evidence", "host_posterior", "path_posterior", "quality_score", "quality_kept")
+        joined.withColumn(f"{prefix}score", score)
+        .withColumn(f"{prefix}kept", F.col(f"{prefix}score") >= threshold - 1e-9)
+        .select(*keep, *[f"{prefix}{c}" for c in ("evidence", "host_posterior", "path_posterior", "score", "kept")])
     )

@@ -64,7 +64,7 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its score; the source stands for the host, its languages for paths."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     judged = quality.judge(docs, labels, ["doc_id"], host=F.col("source"), path=F.col("lang"))
-    return judged.withColumnsRenamed({"quality_score": "score", "quality_kept": "kept"})
+    return judged.select("doc_id", *[F.col(c).alias(c.removeprefix("quality_")) for c in judged.columns[1:]])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -198,9 +198,14 @@ def thresholds(tested: list[tuple[str, int, int, int]], plain: list[tuple[str, i
 
 
 def scan_secrets(
-    docs: DataFrame, keep: list[str], q: float = 0.01, least_score: int = SCORE_BINS - 31, text_col: str = "text"
+    docs: DataFrame,
+    keep: list[str],
+    q: float = 0.01,
+    least_score: int = SCORE_BINS - 31,
+    text_col: str = "text",
+    out: str = "spans",
 ) -> DataFrame:
-    """Returns the columns ``keep`` and ``spans``, an array of (start, kind, end) by start, then kind.
+    """Returns the columns ``keep`` and ``out``, an array of (start, kind, end) by start, then kind.
 
     Positions are code points, the end exclusive. Kinds 0-2 are the fixed patterns. Kind 3
     are other tokens of 16 or more symbols whose battery says "random": a p-value of 10^-3
@@ -231,7 +236,7 @@ def scan_secrets(
     if cut:
         extra = F.filter("__found.tokens", random_enough)
         spans = F.concat(spans, F.transform(extra, lambda t: span(t, F.lit(3))))
-    return found.select(*keep, F.array_sort(spans).alias("spans"))
+    return found.select(*keep, F.array_sort(spans).alias(out))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -257,13 +262,13 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replaces every span of ``spans`` in the text; overlapping spans count as one."""
+def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]", spans: str = "spans") -> DataFrame:
+    """Replaces every span of ``spans`` in the text and drops that column; overlapping spans count as one."""
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, where: pd.Series) -> pd.Series:
         out = []
-        for text, found in zip(texts, spans):
+        for text, found in zip(texts, where):
             if text is None or not len(found):
                 out.append(text)
                 continue
@@ -275,4 +280,4 @@ def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    return scanned.withColumn(text_col, cut(text_col, "spans")).drop("spans")
+    return scanned.withColumn(text_col, cut(text_col, spans)).drop(spans)
