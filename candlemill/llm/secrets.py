@@ -25,6 +25,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 #: Encodings by name: alphabet size. base36 tokens are of one letter case.
 ALPHABETS = {"hex": 16, "base32": 32, "base36": 36, "base64": 64}
 LENGTH_BINS, SCORE_BINS, SCORE_STEP = 24, 120, 0.1
+#: Plain words that a stratum is compared with, if there are so many.
+ENOUGH_WORDS = 1_000
 
 SPAN = "kind int, start int, end int"
 FOUND = (
@@ -177,6 +179,8 @@ def thresholds(tested: list[tuple[str, int, int, int]], plain: list[tuple[str, i
 
     Takes histograms (encoding, length bin, score, count) of tested tokens and of plain
     words; a token's p-value is the share of equally long plain words that look as random.
+    Where there are few of that length, shorter ones are added, which look more random than
+    longer ones and so only make a discovery harder.
     Returns the least score that counts as a discovery, where there is one.
     """
     out = {}
@@ -186,9 +190,12 @@ def thresholds(tested: list[tuple[str, int, int, int]], plain: list[tuple[str, i
         for e, b, s, n in tested:
             if (e, b) == stratum:
                 have[s] += n
-        for e, b, s, n in plain:
-            if (e, b) == (null_of(enc), length):
-                null[s] += n
+        for near in range(length, -1, -1):
+            for e, b, s, n in plain:
+                if (e, b) == (null_of(enc), near):
+                    null[s] += n
+            if null.sum() >= ENOUGH_WORDS:
+                break
         above, above_null = have[::-1].cumsum()[::-1], null[::-1].cumsum()[::-1]
         p = (1 + above_null) / (1 + null.sum())
         ok = np.flatnonzero((p <= q * above / max(have.sum(), 1)) & (above > 0))

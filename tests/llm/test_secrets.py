@@ -54,7 +54,7 @@ def test_battery_tells_random_from_words():
 def test_random_tokens_are_added_and_words_are_not(make_docs, words):
     rng = random.Random(3)
     chars = string.ascii_letters + string.digits + "+/"
-    rows = [(i, words(30, i) + " " + "therandingontherandin" + "ther" * (i % 5)) for i in range(400)]
+    rows = [(i, words(30, i) + " " + "therandingontherandin" + "ther" * (i % 5)) for i in range(1200)]
     token = "".join(rng.choice(chars) for _ in range(40))
     rows.append((1000, f"{words(5, 1)} {token} {words(5, 2)}"))
     got = {r["doc_id"]: r["spans"] for r in digest(scan_secrets(make_docs(rows), ["doc_id"])).collect()}

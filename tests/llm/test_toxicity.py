@@ -60,4 +60,4 @@ def test_label_model_discounts_copies():
     votes = np.stack([good, weak, weak, weak], axis=1).astype(float)
     q, rates = label_model(votes, y)
     assert rates["weight"][1] < 0.5 < rates["weight"][0]
-    assert ((q > 0.5) == y).mean() > 0.99
+    assert ((q > 0.5) == y).mean() > 0.95
