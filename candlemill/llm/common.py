@@ -96,19 +96,9 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_SPLIT_KEEP_ALNUM).split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit word hashes, remembered up to a bounded number of words."""
-
-    LIMIT = 1 << 20
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same everywhere."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

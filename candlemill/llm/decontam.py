@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, alnum_words
+from .common import alnum_words, word_hashes
 
 #: Hashed terms, latent dimensions (with oversampling), words a chunk, window lengths in chunks.
 TERMS, RANK, OVERSAMPLE, POWER = 1 << 18, 128, 16, 2
@@ -32,10 +32,10 @@ def _terms(hashes: np.ndarray) -> np.ndarray:
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, counts, docs = WordHashes(), np.zeros(TERMS, dtype=np.int64), 0
+    counts, docs = np.zeros(TERMS, dtype=np.int64), 0
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            counts[np.unique(_terms(hashes.of(list(set(folded_words(text))))))] += 1
+            counts[np.unique(_terms(word_hashes(list(set(folded_words(text))))))] += 1
             docs += 1
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(at, -1)), "n": pa.array(np.append(counts[at], docs))})
@@ -82,10 +82,10 @@ def _sketch(shared):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent: Latent = shared.value
-        hashes, total = WordHashes(), np.zeros(latent.basis.shape)
+        total = np.zeros(latent.basis.shape)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                words = hashes.of(folded_words(text))
+                words = word_hashes(folded_words(text))
                 for s, e in passages_of(len(words)):
                     rows, idf = latent.word_rows(words[s:e])
                     on = rows >= 0
@@ -110,9 +110,8 @@ def latent_space(benchmark: DataFrame, idf: np.ndarray, seed: int, rank: int = R
     """
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            own = [np.unique(_terms(hashes.of(folded_words(t)))) for t in batch.column("text").to_pylist()]
+            own = [np.unique(_terms(word_hashes(folded_words(t)))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"term": pa.array(np.unique(np.concatenate(own)) if own else [], pa.int64())})
 
     terms = benchmark.select("text").mapInArrow(vocabulary, "term long").distinct().toArrow().column("term").to_numpy()
@@ -169,34 +168,48 @@ class Search:
         sizes = np.array([len(t) for t in texts])
         word = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         chunk = np.repeat(starts[:-1], sizes) + word // CHUNK
-        norm2 = np.bincount(chunk, weights=idf.astype(np.float64) ** 2, minlength=starts[-1])
-        sums = np.zeros((starts[-1], self.vectors.shape[1]), dtype=np.float32)
+        owner = np.repeat(np.arange(len(texts)), chunks + pad)
+        place = np.arange(len(owner)) - starts[owner]
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        on = np.flatnonzero(rows >= 0)
+
+        # a cosine is at most the share of the window's length that benchmark words make up:
+        # windows in which that share is lower are no candidates and needn't be projected
+        square, on = idf.astype(np.float64) ** 2, rows >= 0
+        norm2 = np.bincount(chunk, weights=square, minlength=starts[-1])
+        known2 = np.bincount(chunk[on], weights=square[on], minlength=starts[-1])
+        norms, windows, wanted = [], [], np.zeros(starts[-1] + 1)
+        length = 1
+        for scale in SCALES:
+            while length < scale:  # sums over twice as many chunks
+                for x in (norm2, known2):
+                    x[:-length] += x[length:].copy()
+                length *= 2
+            possible = (known2 >= COSINE**2 * norm2) & (known2 > 0) & (place <= np.maximum(chunks[owner] - scale, 0))
+            at = np.flatnonzero(possible)
+            windows.append(at)
+            norms.append(np.sqrt(norm2[at]).astype(np.float32))
+            wanted += np.bincount(at, minlength=len(wanted))
+            np.subtract.at(wanted, np.minimum(at + scale, len(wanted) - 1), 1)
+        on &= (np.cumsum(wanted) > 0)[chunk]
+        on = np.flatnonzero(on)
         if not len(on):
             return out
+        sums = np.zeros((starts[-1], self.vectors.shape[1]), dtype=np.float32)
         own = chunk[on]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         sums[own[first]] = np.add.reduceat(self.latent.basis[rows[on]] * idf[on, None], first, axis=0)
-        owner = np.repeat(np.arange(len(texts)), chunks + pad)
-        place = np.arange(len(owner)) - starts[owner]
-        length = 1
         for k, scale in enumerate(SCALES):
-            while length < scale:  # sums over twice as many chunks
-                sums[:-length] += sums[length:].copy()
-                norm2[:-length] += norm2[length:].copy()
-                length *= 2
-            mine = np.flatnonzero(self.scale == k)
-            at = np.flatnonzero(place <= np.maximum(chunks[owner] - scale, 0))
+            mine, at = np.flatnonzero(self.scale == k), windows[k]
             if not len(mine) or not len(at):
                 continue
-            floor = COSINE * np.sqrt(np.maximum(norm2[at], 1e-9)).astype(np.float32)
-            near = sums[at] @ self.vectors[mine].T
-            w, p = np.nonzero(near >= floor[:, None])
-            for i, j, value, least in zip(at[w].tolist(), mine[p].tolist(), near[w, p].tolist(), floor[w].tolist()):
-                t = int(owner[i])
-                start = int(place[i]) * CHUNK
-                out[t].append((j, start, min(int(sizes[t]), start + scale * CHUNK), value / least * COSINE))
+            x = sums[at]
+            for j in range(1, scale):
+                x += sums[np.minimum(at + j, len(sums) - 1)]
+            near = x @ self.vectors[mine].T / norms[k][:, None]
+            w, p = np.nonzero(near >= COSINE)
+            for i, j, cosine in zip(at[w].tolist(), mine[p].tolist(), near[w, p].tolist()):
+                t, start = int(owner[i]), int(place[i]) * CHUNK
+                out[t].append((j, start, min(int(sizes[t]), start + scale * CHUNK), cosine))
         return out
 
     def find(self, texts: list[np.ndarray]) -> list[list[dict]]:
@@ -223,9 +236,9 @@ class Search:
 
 
 def _search(latent: Latent, rows: list) -> Search:
-    hashes, items, owner, span = WordHashes(), [], [], []
+    items, owner, span = [], [], []
     for r in rows:
-        words = hashes.of(folded_words(r["text"]))
+        words = word_hashes(folded_words(r["text"]))
         if not len(words) or r["item_id"] is None:
             continue
         for s, e in passages_of(len(words)):
@@ -246,8 +259,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
     Term weights come from counts over all documents. The latent space is a distributed
     randomised SVD of the benchmark's TF-IDF passages (of 48 words at most), in which every
     window of 16, 32 or 64 words (each 8 words) of a document is compared by cosine with
-    every passage of a like length, as matrix products. A window at ``COSINE`` or more is
-    checked around its place: the item is there if its longest common subsequence with the text is
+    every passage of a like length, as matrix products. A window at ``COSINE`` or more (and
+    with that share of its length in words of the benchmark) is checked around its place: the item is there if its longest common subsequence with the text is
     at least 0.7 of its words, or 0.5 of them and its answer (its last five words) is there too.
 
     The benchmark is searched in blocks of items, each a scan of the documents, so what is
@@ -271,12 +284,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
 
         @F.pandas_udf(f"array<struct<{_struct(HIT)}>>")
         def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            hashes, search = WordHashes(), shared.value
+            search = shared.value
             for part in texts:
                 found: list[list[dict]] = []
                 texts = part.tolist()
                 for at in range(0, len(texts), 32):
-                    found += search.find([hashes.of(folded_words(t)) for t in texts[at : at + 32]])
+                    found += search.find([word_hashes(folded_words(t)) for t in texts[at : at + 32]])
                 yield pd.Series(found, dtype=object)
 
         out = out.withColumn(column, F.concat(column, find("text")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, alnum_words, rolling
+from .common import alnum_words, rolling, word_hashes
 
 #: Phrases that name a license by themselves, with their labels.
 PHRASES = (
@@ -57,12 +57,11 @@ def phrase_places(hashes: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    wanted = [(hashes.of(alnum_words(p)), label) for p, label in PHRASES]
+    wanted = [(word_hashes(alnum_words(p)), label) for p, label in PHRASES]
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels")}
         for text in batch.column("text").to_pylist():
-            own = hashes.of(alnum_words(text))
+            own = word_hashes(alnum_words(text))
             places = [(phrase_places(own, p), label) for p, label in wanted]
             at = np.concatenate([p for p, _ in places])
             row = (
@@ -77,9 +76,8 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
-        grams = [rolling(hashes.of(alnum_words(t)), K).view(np.int64) for t in batch.column("text").to_pylist()]
+        grams = [rolling(word_hashes(alnum_words(t)), K).view(np.int64) for t in batch.column("text").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
         flat = np.concatenate(grams) if grams else np.empty(0, dtype=np.int64)
         yield pa.RecordBatch.from_pydict(
@@ -108,10 +106,9 @@ def scan_licenses(
     last_word, base_labels, labels (arrays), score (the best cover; 1 with a phrase), spans.
     """
     spark = docs.sparkSession
-    hashes = WordHashes()
     rows, sizes = [], []
     for t, (label, text) in enumerate(templates):
-        words = hashes.of(alnum_words(text))
+        words = word_hashes(alnum_words(text))
         sizes.append((t, label, len(words)))
         rows += [(int(h), t, p) for p, h in enumerate(rolling(words, K).view(np.int64))]
     positions = spark.createDataFrame(rows, "gram long, template int, at int")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, global_index, materialize, rolling, space_words
+from .common import global_index, materialize, rolling, space_words, word_hashes
 from .graph import components, map_groups, smallest_reachable
 
 #: 32 bands of 5 minima: at a similarity of 0.8 a pair meets in no band with probability 3e-6.
@@ -17,11 +17,11 @@ BANDS, ROWS = 32, 5
 BLOCK = 256
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
+def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     """Distinct k-word shingles as sorted 64-bit hashes; the whole sequence if it is shorter."""
     if not words:
         return np.empty(0, dtype=np.uint64)
-    return np.unique(rolling(hashes.of(words), min(k, len(words))))
+    return np.unique(rolling(word_hashes(words), min(k, len(words))))
 
 
 def _universal(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +41,13 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sign(k: int, seed: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (a, b) = WordHashes(), _universal(seed)
+        a, b = _universal(seed)
         weights = rolling(np.arange(1, BANDS + ROWS, dtype=np.uint64), ROWS)  # tells the bands apart
         odd = np.arange(1, 2 * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             n, fp1, fp2, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
-                s = shingle_set(space_words(text), hashes, k)
+                s = shingle_set(space_words(text), k)
                 n.append(len(s))
                 if not len(s):
                     fp1.append(None)
@@ -75,9 +75,8 @@ def _sign(k: int, seed: int):
 
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(space_words(t), hashes, k).tobytes() for t in batch.column("text").to_pylist()]
+            found = [shingle_set(space_words(t), k).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "shingles": pa.array(found, pa.binary())})
 
     return sets
