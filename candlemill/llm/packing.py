@@ -32,7 +32,7 @@ _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t\\n\\ra-zß-öø-ÿ0-9]+")
 #: The split pattern and word end of tokenizers for which the above holds.
 WORD_SPLIT, WORD_END = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "</w>"
-_CACHE_WORDS = 450_000
+_CACHE_WORDS = 750_000
 
 
 def split_words(text: str) -> list[str]:
@@ -63,8 +63,7 @@ class Encoder:
             and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
             and [x.get("pattern", {}).get("Regex") for x in splits][:1] == [WORD_SPLIT]
         )
-        self.pieces: dict[str, bytes] = {}  # pieces of the tokenizer's own split
-        self.plain: dict[str, bytes] = {}  # lower-case words of Latin letters
+        self.plain: dict[str, bytes] = {}  # lower-case words of Latin letters and their pieces
         self.words: dict[str, bytes] = {}  # any other words, as they are
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -79,19 +78,20 @@ class Encoder:
                 raise ValueError("the tokenizer doesn't end each piece with a word end")
             raw, start = ids.tobytes(), 0
             for piece, end in zip(run, cuts.tolist()):
-                self.pieces[piece], start = raw[start:end], end
+                self.plain[piece], start = raw[start:end], end
 
     def _learn_plain(self, new: list[str]) -> None:
         # most words are letters, or letters and one mark
         split = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[:-1].isalpha() and w[-1] in ".,!" else _PIECE.findall(w) for w in new]
-        self._learn_pieces(list(set().union(*split).difference(self.pieces)))
+        self._learn_pieces(list(set().union(*split).difference(self.plain)))
         for word, pieces in zip(new, split):
-            self.plain[word] = b"".join(map(self.pieces.__getitem__, pieces))
+            if len(pieces) > 1:
+                self.plain[word] = b"".join(map(self.plain.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        for name in ("pieces", "plain", "words"):
+        for name in ("plain", "words"):
             if len(cache := getattr(self, name)) > _CACHE_WORDS:  # the first seen are the commonest
                 setattr(self, name, dict(islice(cache.items(), _CACHE_WORDS * 2 // 3)))
         plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
