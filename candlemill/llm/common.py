@@ -46,10 +46,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
-
-
 def small_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint if the counted ``rows`` are within ``limit``; else the plain frame."""
     return F.broadcast(df) if rows <= limit else df
@@ -141,11 +137,6 @@ def logistic_fit(
     return beta
 
 
-def bounded_sample(df: DataFrame, key: Column, limit: int) -> list:
-    """At most ``limit`` rows in the order of ``key`` (a hash): reproducible and bounded."""
-    return df.orderBy(key).limit(limit).collect()
-
-
 def global_prefix(df: DataFrame, order: list[Column], weight: str, start: str) -> tuple[DataFrame, int]:
     """Adds ``start``, the sum of ``weight`` over all rows before a row in ``order``; returns the whole sum too.
 
