@@ -27,11 +27,6 @@ def r6(value: Column) -> Column:
     return F.round(value, 6) + F.lit(0.0)
 
 
-def finite(value: Column) -> Column:
-    """Null for NaN."""
-    return F.when(~F.isnan(value), value)
-
-
 def min_max(value: Column, low: Column, high: Column) -> Column:
     """0..1 within [low, high]; 0 if that is a point."""
     return F.when(high > low, (value - low) / (high - low)).otherwise(F.when(value.isNotNull(), F.lit(0.0)))
