@@ -19,6 +19,8 @@ CHUNK, SCALES = 8, (2, 4, 8)
 #: Benchmark passages searched at once: a larger benchmark is searched block by block.
 BLOCK_PASSAGES = 20_000
 PASSAGE_WORDS = 48
+#: Share of a passage's length that the term search may leave out (its most common words), and cells it sums at once.
+LEFT_OUT, CELLS = 0.01, 1_000_000
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.3, 0.7, 0.5, 5, 0.8
 HIT = "item_id long, cosine double, common double, answer boolean, first_word long, n_words long"
 
@@ -154,6 +156,40 @@ class Search:
     span: np.ndarray  # passage -> (first word, end)
     vectors: np.ndarray  # passage x rank, unit length
     scale: np.ndarray  # passage -> index into SCALES
+    starts: np.ndarray  # row of basis -> its first posting
+    posting: np.ndarray  # passages that hold the term
+    weight: np.ndarray  # weight of the term in that passage, whose terms have unit length
+
+    def term_matches(self, rows: np.ndarray, idf: np.ndarray, chunk: np.ndarray, size: int, windows: list[np.ndarray], norms: list[np.ndarray]):
+        """Per scale: window (index into ``windows``), passage and cosine of all terms, where it may reach ``COSINE``.
+
+        What the latent space leaves out of a passage counts here, so a copy is found however many passages there are.
+        """
+        found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in SCALES]
+        many, columns = len(self.owner), [np.flatnonzero(self.scale == k) for k in range(len(SCALES))]
+        step = max(8, CELLS // max(1, many))
+        for low in range(0, size, step):
+            high = min(size, low + step + max(SCALES) - 1)
+            a, b = np.searchsorted(chunk, [low, high])
+            first, counts = self.starts[rows[a:b]], self.starts[rows[a:b] + 1] - self.starts[rows[a:b]]
+            if not counts.sum():
+                continue
+            at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            cell = np.repeat((chunk[a:b] - low) * many, counts) + self.posting[at]
+            dots = np.bincount(cell, weights=np.repeat(idf[a:b], counts) * self.weight[at], minlength=(high - low) * many)
+            dots = dots.reshape(-1, many).astype(np.float32)
+            length = 1
+            for k, scale in enumerate(SCALES):
+                while length < scale:
+                    dots[:-length] += dots[length:].copy()
+                    length *= 2
+                w0, w1 = np.searchsorted(windows[k], [low, low + step])
+                if not len(columns[k]) or w0 == w1:
+                    continue
+                near = dots[np.ix_(windows[k][w0:w1] - low, columns[k])] / norms[k][w0:w1, None]
+                w, p = np.nonzero(near >= COSINE - LEFT_OUT)
+                found[k].append((w + w0, columns[k][p], near[w, p]))
+        return found
 
     def candidates(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
         """Per text (word hashes): (passage, first word, end, cosine) of windows that come near a passage.
@@ -198,6 +234,7 @@ class Search:
         own = chunk[on]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         sums[own[first]] = np.add.reduceat(self.latent.basis[rows[on]] * idf[on, None], first, axis=0)
+        by_terms = self.term_matches(rows[on], idf[on], own, int(starts[-1]), windows, norms)
         for k, scale in enumerate(SCALES):
             mine, at = np.flatnonzero(self.scale == k), windows[k]
             if not len(mine) or not len(at):
@@ -207,7 +244,11 @@ class Search:
                 x += sums[np.minimum(at + j, len(sums) - 1)]
             near = x @ self.vectors[mine].T / norms[k][:, None]
             w, p = np.nonzero(near >= COSINE)
-            for i, j, cosine in zip(at[w].tolist(), mine[p].tolist(), near[w, p].tolist()):
+            best: dict[tuple[int, int], float] = {}
+            for ws, ps, cosines in [(w, mine[p], near[w, p]), *by_terms[k]]:
+                for i, j, cosine in zip(at[ws].tolist(), ps.tolist(), cosines.tolist()):
+                    best[i, j] = max(cosine, best.get((i, j), 0.0))
+            for (i, j), cosine in best.items():
                 t, start = int(owner[i]), int(place[i]) * CHUNK
                 out[t].append((j, start, min(int(sizes[t]), start + scale * CHUNK), cosine))
         return out
@@ -250,7 +291,24 @@ def _search(latent: Latent, rows: list) -> Search:
         v = latent.vector(np.array(items[i][1][s:e], dtype=np.uint64))
         vectors[p] = v / max(np.linalg.norm(v), 1e-9)
         scale[p] = int(np.searchsorted(np.array(SCALES) * CHUNK * 1.5, e - s))
-    return Search(latent, items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2), vectors, np.minimum(scale, len(SCALES) - 1))
+    term, posting, weight = [np.empty(0, dtype=int)], [np.empty(0, dtype=int)], [np.empty(0)]
+    for p, ((s, e), i) in enumerate(zip(span, owner)):
+        at, idf = latent.word_rows(np.array(items[i][1][s:e], dtype=np.uint64))
+        at, first, times = np.unique(at, return_index=True, return_counts=True)
+        x = times * idf[first]
+        x = x / max(np.linalg.norm(x), 1e-9)
+        order = np.argsort(x, kind="stable")
+        kept = order[np.cumsum(x[order] ** 2) > LEFT_OUT**2]
+        term.append(at[kept])
+        posting.append(np.full(len(kept), p))
+        weight.append(x[kept])
+    row = np.concatenate(term)
+    order = np.argsort(row, kind="stable")
+    starts = np.searchsorted(row[order], np.arange(len(latent.basis) + 1))
+    return Search(
+        latent, items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2), vectors, np.minimum(scale, len(SCALES) - 1),
+        starts, np.concatenate(posting)[order], np.concatenate(weight)[order],
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", seed: int = 23) -> DataFrame:
@@ -259,7 +317,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
     Term weights come from counts over all documents. The latent space is a distributed
     randomised SVD of the benchmark's TF-IDF passages (of 48 words at most), in which every
     window of 16, 32 or 64 words (each 8 words) of a document is compared by cosine with
-    every passage of a like length, as matrix products. A window at ``COSINE`` or more (and
+    every passage of a like length, as matrix products. A latent space of fixed rank keeps the
+    less of a passage the more passages there are, so the cosine of all terms is taken as well,
+    from postings; either may make a candidate, at any size of the benchmark. A window at ``COSINE`` or more (and
     with that share of its length in words of the benchmark) is checked around its place: the item is there if its longest common subsequence with the text is
     at least 0.7 of its words, or 0.5 of them and its answer (its last five words) is there too.
 

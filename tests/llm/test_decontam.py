@@ -46,3 +46,18 @@ def test_planted_items(spark, make_docs, words, edge_rows):
     assert contamination(make_docs(rows).limit(0), bench).count() == 0
     none = contamination(make_docs(rows[:5]), bench.limit(0))
     assert none.count() == 5 and all(not r["leaks"] for r in none.collect())
+
+
+def test_recall_holds_with_thousands_of_items(spark, make_docs, words):
+    items = [(i, words(40, 10_000 + i)) for i in range(3000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, want = [], set()
+    for k, i in enumerate(range(0, 3000, 25)):
+        body, own = words(100, k).split(), items[i][1].split()
+        if k % 2:  # every sixth word replaced
+            own = [w if j % 6 else words(1, 7 * i + j) for j, w in enumerate(own, 1)]
+        body[k % 90 : k % 90] = own
+        rows.append((k, " ".join(body)))
+        want.add((k, i))
+    got = {(r["doc_id"], x["item_id"]) for r in contamination(make_docs(rows).drop("leaks"), bench).collect() for x in r["leaks"]}
+    assert got == want
