@@ -16,6 +16,8 @@ from .graph import blocks_of_groups, components, map_groups, smallest_reachable
 #: Vectors that fit the rotations (a hash-ordered sample); all vectors are indexed.
 FIT_ROWS = 20_000
 CODE_BITS, ITERATIONS, BLOCK = 128, 50, 512
+#: Least share of pairs of exactly the demanded cosine that have a substring in common, whatever its length.
+TABLE_RECALL = 0.99
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,16 @@ def fit_itq(unit: np.ndarray, seed: int, bits: int = CODE_BITS) -> Quantiser:
     return Quantiser(mean, np.hstack(planes)[:, :bits] if width * len(planes) > bits else np.hstack(planes))
 
 
+def tables_needed(cosine: float, key_bits: int, recall: float = TABLE_RECALL) -> int:
+    """Substrings of ``key_bits`` bits of which a pair of that cosine shares at least one with probability ``recall``."""
+    same = (1 - np.arccos(min(cosine, 1.0)) / np.pi) ** key_bits
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-same)))) if same < recall else 1
+
+
+def table_recall(cosine: float, key_bits: int, tables: int) -> float:
+    return 1 - (1 - (1 - np.arccos(min(cosine, 1.0)) / np.pi) ** key_bits) ** tables
+
+
 def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -67,7 +79,8 @@ def _index(q: Quantiser, key_bits: int):
             if not batch.num_rows:
                 continue
             bits = q.codes(_units(batch.column("embedding")))
-            code = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1)
+            code = bits[:, :CODE_BITS]  # what the radius is measured on; further bits only make tables
+            code = np.packbits(np.pad(code, ((0, 0), (0, -code.shape[1] % 64))), axis=1)
             keys = np.stack(
                 [
                     bits[:, t * key_bits : (t + 1) * key_bits] @ (1 << np.arange(min(key_bits, bits.shape[1]))) + (t << 40)
@@ -132,15 +145,19 @@ def link_vectors(
     fit_rows: int = FIT_ROWS,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
+    key_bits: int | None = None,
 ) -> DataFrame:
     """Links vectors of cosine >= ``cosine`` (double precision) and finds their components.
 
     1. equal vectors become one class with a count;
-    2. balanced 128-bit codes from rotations fitted on a bounded hash-ordered sample;
+    2. balanced codes of 128 bits or more from rotations fitted on a bounded hash-ordered sample;
     3. multi-index Hamming tables: a code is cut into substrings of about log2(rows) - 3
-       bits; codes that share a substring and lie within a Hamming radius (four and a half
-       standard deviations above what ``cosine`` gives) are candidates. Large buckets are dealt into
-       pairs of blocks, and a task returns spanning links only;
+       bits (or ``key_bits``); codes that share a substring and whose first 128 bits lie within a Hamming
+       radius (four and a half standard deviations above what ``cosine`` gives) are candidates. As substrings
+       grow with the rows, codes do too: there are so many that a lone pair of exactly ``cosine``
+       shares one with a computed probability of at least 0.99 (26 tables at 1e6 rows, 37 at 1e7,
+       for a cosine of 0.95). Large buckets are dealt into pairs of blocks, and a task
+       returns spanning links only;
     4. groups of candidates are compared by their original vectors, block by block as
        matrix products: link counts and spanning links come out, never all pairs;
     5. connected components.
@@ -173,10 +190,10 @@ def link_vectors(
     )
     rows = classes.count()
     sample = classes.select("embedding").orderBy(F.xxhash64(F.lit(seed), "rep")).limit(fit_rows).toArrow()
-    q = fit_itq(_units(sample.column("embedding")), seed)
-    key_bits = min(int(np.clip(round(np.log2(max(rows, 2))) - 3, 6, 24)), q.bits)
+    key_bits = key_bits or int(np.clip(round(np.log2(max(rows, 2))) - 3, 6, 24))
+    q = fit_itq(_units(sample.column("embedding")), seed, max(CODE_BITS, key_bits * tables_needed(cosine, key_bits)))
     p = np.arccos(min(cosine, 1.0)) / np.pi
-    radius = int(np.ceil(q.bits * p + 4.5 * np.sqrt(q.bits * p * (1 - p)) + 1))
+    radius = int(np.ceil(CODE_BITS * p + 4.5 * np.sqrt(CODE_BITS * p * (1 - p)) + 1))
 
     coded = classes.select("rep", "embedding").mapInArrow(_index(q, key_bits), "rep long, code binary, keys array<long>")
     entries = coded.select("rep", "code", F.explode("keys").alias("key"))

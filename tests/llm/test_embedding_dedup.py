@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from candlemill.llm.embedding_dedup import fit_itq, link_vectors
+from candlemill.llm.embedding_dedup import fit_itq, link_vectors, table_recall, tables_needed
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string, key string, copies string"
 
@@ -55,3 +56,17 @@ def test_codes_are_balanced():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = fit_itq(x, 3)
     assert q.bits == 128 and np.abs(q.codes(x).mean(axis=0) - 0.5).max() < 0.15
+
+
+@pytest.mark.parametrize("key_bits", [17, 20])  # those of a million and of ten million rows
+def test_isolated_pairs_are_found_with_long_substrings(spark, key_bits):
+    assert table_recall(0.95, key_bits, tables_needed(0.95, key_bits)) >= 0.99
+    rng = np.random.default_rng(key_bits)
+    a, b = rng.standard_normal((2, 800, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * b
+    rows = [(i, [float(v) for v in x], 0, "a", "b", "c") for i, x in enumerate(np.vstack([a, b]))]
+    got = link_vectors(spark.createDataFrame(rows, SCHEMA), cosine=0.95, key_bits=key_bits)
+    assert got.where("n_links = 1").count() >= 0.97 * len(rows)
