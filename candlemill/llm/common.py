@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,73 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_BYTES = np.arange(256)
+_INSIDE = {
+    "alnum": (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)),
+    "space": (_BYTES != 32) & ((_BYTES < 9) | (_BYTES > 13)),
+}
+#: A random number for each byte, A-Z as a-z, nothing for what separates words.
+_VALUES = {
+    split: np.where(inside, mix64(np.arange(1, 257, dtype=np.uint64))[np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)], np.uint64(0))
+    for split, inside in _INSIDE.items()
+}
+_BASE = 0xD1342543DE82EF95
+_STRETCH = 1 << 20
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, up to ``n`` of them."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, _STRETCH // 4), base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.multiply.accumulate(steps))
+    return _POWERS
+
+
+def hashed_words(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after the other, and the place where each text's words start.
+
+    ``split`` is "alnum" (as ``alnum_words``) or "space" (as ``space_words``). The places have one entry more than
+    there are texts. Works on the bytes of the whole column at once: a word's hash is a
+    polynomial of its bytes modulo 2^64, cut out of one running product over all bytes. A null text has no words.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    n, (_, where, raw) = len(texts), texts.buffers()
+    ends = np.frombuffer(where, dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(raw, dtype=np.uint8)[ends[0] : ends[-1]] if raw is not None else np.empty(0, dtype=np.uint8)
+    ends = ends - ends[0]
+    inside = _INSIDE[split][data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    bounds = ends[:-1][ends[:-1] < len(data)]
+    first[bounds] = inside[bounds]
+    starts = np.flatnonzero(first)
+    out = np.empty(len(starts), dtype=np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + _STRETCH)))
+        low, high = int(starts[a]), int(starts[b]) if b < len(starts) else len(data)
+        up, down = _powers(high - low)
+        at = starts[a:b] - low
+        out[a:b] = np.add.reduceat(_VALUES[split][data[low:high]] * up[: high - low], at) * down[at]
+        a = b
+    return mix64(out), np.searchsorted(starts, ends)
+
+
+def slices_of(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text each; a longer text is a part with few others."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+    for s, e in zip(cuts, cuts[1:]):
+        if e > s:
+            yield batch.slice(s, e - s)
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all windows of ``k`` words; empty if there are fewer words."""
     n = len(hashes) - k + 1

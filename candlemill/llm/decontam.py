@@ -6,56 +6,43 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, word_hashes
+from .common import hashed_words, slices_of
+from .graph import map_groups
 
-#: Hashed terms, latent dimensions (with oversampling), words a chunk, window lengths in chunks.
-TERMS, RANK, OVERSAMPLE, POWER = 1 << 18, 128, 16, 2
-CHUNK, SCALES = 8, (2, 4, 8)
+#: Hashed terms, latent dimensions (with oversampling), power iterations, rows of the basis in a part of a sum.
+TERMS, RANK, OVERSAMPLE, POWER, PART = 1 << 18, 128, 16, 2, 1024
+#: Words of a passage, words between windows, window lengths.
+PASSAGE_WORDS, STEP, SCALES = 48, 8, (16, 32, 48)
+#: A passage's rare words are counted in stretches of ``SPREAD`` buckets; word hits counted at once.
+BUCKET, SPREAD, CELLS = 24, 3, 2_000_000
 #: Benchmark passages searched at once: a larger benchmark is searched block by block.
 BLOCK_PASSAGES = 20_000
-PASSAGE_WORDS = 48
-#: Share of a passage's length that the term search may leave out (its most common words), and cells it sums at once.
-LEFT_OUT, CELLS = 0.01, 1_000_000
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.3, 0.7, 0.5, 5, 0.8
-HIT = "item_id long, cosine double, common double, answer boolean, first_word long, n_words long"
+#: A single passage of so many words of a longer item, and the share of it that counts as a leak by itself.
+WHOLE_PASSAGE_WORDS, WHOLE_PASSAGE = 32, 0.9
+HIT = pa.struct(
+    [
+        ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("passage", pa.float64()),
+        ("answer", pa.bool_()), ("first_word", pa.int64()), ("n_words", pa.int64()),
+    ]
+)
+LEAKS = "array<struct<item_id: long, cosine: double, common: double, passage: double, answer: boolean, first_word: long, n_words: long>>"
 
 
-def folded_words(text: str | None) -> list[bytes]:
-    return alnum_words(text.lower()) if text else []
+def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in lower case, and where each text's words start."""
+    return hashed_words(pc.utf8_lower(texts), "alnum")
 
 
-def _terms(hashes: np.ndarray) -> np.ndarray:
+def terms_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(TERMS - 1)).astype(np.int64)
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, docs = np.zeros(TERMS, dtype=np.int64), 0
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts[np.unique(_terms(word_hashes(list(set(folded_words(text))))))] += 1
-            docs += 1
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(at, -1)), "n": pa.array(np.append(counts[at], docs))})
-
-
-def term_weights(docs: DataFrame) -> np.ndarray:
-    """(log((1 + documents) / (1 + documents with the term)) + 0.1) squared per hashed term, over all documents.
-
-    The square lets rare words outweigh what all texts of a language share. At most one row per hashed term (2^18) reaches the driver.
-    """
-    sums = docs.select("text").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term, n = sums.column("term").to_numpy(), sums.column("n").to_numpy()
-    total = int(n[term == -1].sum())
-    df = np.zeros(TERMS)
-    df[term[term >= 0]] = n[term >= 0]
-    return ((np.log((1 + total) / (1 + df)) + 0.1) ** 2).astype(np.float32)
-
-
 def passages_of(words: int, size: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
     """Equal cuts of an item into passages of at most ``size`` words."""
     parts = max(1, -(-words // size))
@@ -63,76 +50,122 @@ def passages_of(words: int, size: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def benchmark_terms(benchmark: DataFrame) -> np.ndarray:
+    """The hashed terms of all items: at most 2^18 numbers, on the driver."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"term": pa.array(np.unique(terms_of(folded_words(batch.column("text"))[0])))})
+
+    return np.sort(benchmark.select("text").mapInArrow(terms, "term long").distinct().toArrow().column("term").to_numpy())
+
+
+def term_weights(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """(log((1 + documents) / (1 + documents with the term)) + 0.1) squared for each of ``terms``, from all documents.
+
+    The square lets rare words outweigh what all texts of a language share.
+    """
+    place = np.full(TERMS, -1, dtype=np.int32)
+    place[terms] = np.arange(len(terms))
+    shared, size = docs.sparkSession.sparkContext.broadcast(place), len(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, counts, docs = shared.value, np.zeros(size, dtype=np.int64), 0
+        for whole in batches:
+            for batch in slices_of(whole):
+                hashes, starts = folded_words(batch.column("text"))
+                at = place[terms_of(hashes)]
+                known = np.flatnonzero(at >= 0)
+                doc = np.searchsorted(starts, known, side="right") - 1
+                counts += np.bincount(np.unique(doc * size + at[known]) % size, minlength=size) if len(known) else 0
+                docs += batch.num_rows
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1)), "n": pa.array(np.append(counts[at], docs))})
+
+    sums = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = sums.column("at").to_numpy(), sums.column("n").to_numpy()
+    df = np.zeros(size)
+    df[at[at >= 0]] = n[at >= 0]
+    return ((np.log((1 + n[at == -1].sum()) / (1 + df)) + 0.1) ** 2).astype(np.float32)
+
+
 @dataclass
 class Latent:
-    idf: np.ndarray
     place: np.ndarray  # hashed term -> row of basis, or -1
+    weight: np.ndarray  # row of basis -> weight of the term
     basis: np.ndarray  # terms of the benchmark x rank
 
-    def word_rows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        t = _terms(hashes)
-        return self.place[t], self.idf[t]
-
-    def vector(self, hashes: np.ndarray) -> np.ndarray:
-        rows, idf = self.word_rows(hashes)
-        on = rows >= 0
-        return (self.basis[rows[on]] * idf[on, None]).sum(axis=0)
+    def tf_idf(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the basis and their weights times how often they occur, at unit length."""
+        rows = self.place[terms_of(hashes)]
+        rows, times = np.unique(rows[rows >= 0], return_counts=True)
+        x = times * self.weight[rows].astype(np.float64)
+        return rows, x / max(np.linalg.norm(x), 1e-12)
 
 
 def _sketch(shared):
-    """One pass of A'A over the passages of a task: rows of the product with the current basis."""
+    """The passages of a task times the basis times the passages again, in parts of ``PART`` rows."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent: Latent = shared.value
-        total = np.zeros(latent.basis.shape)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = word_hashes(folded_words(text))
-                for s, e in passages_of(len(words)):
-                    rows, idf = latent.word_rows(words[s:e])
-                    on = rows >= 0
-                    if not on.any():
-                        continue
-                    y = (latent.basis[rows[on]] * idf[on, None]).sum(axis=0) / max(np.linalg.norm(idf), 1e-9)
-                    np.add.at(total, rows[on], idf[on, None] * y / max(np.linalg.norm(idf), 1e-9))
-        part = 4096
-        blocks = range(0, len(total), part)
-        yield pa.RecordBatch.from_pydict(
-            {"at": pa.array(list(blocks), pa.int64()), "sums": pa.array([total[b : b + part].tobytes() for b in blocks], pa.binary())}
-        )
+        for whole in batches:
+            for batch in slices_of(whole):
+                hashes, starts = folded_words(batch.column("text"))
+                rows, sums = [np.empty(0, dtype=np.int64)], [np.empty((0, latent.basis.shape[1]))]
+                for s, e in zip(starts, starts[1:]):
+                    for a, b in passages_of(int(e - s)):
+                        at, x = latent.tf_idf(hashes[s + a : s + b])
+                        rows.append(at)
+                        sums.append(np.outer(x, x @ latent.basis[at]))
+                at, place = np.unique(np.concatenate(rows), return_inverse=True)
+                total = np.zeros((len(at), latent.basis.shape[1]))
+                np.add.at(total, place, np.concatenate(sums))
+                cuts = np.searchsorted(at, np.arange(0, len(latent.basis) + PART, PART))
+                parts = [(p, s, e) for p, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array([p for p, _, _ in parts], pa.int64()),
+                        "rows": pa.array([at[s:e].astype(np.int64).tobytes() for _, s, e in parts], pa.binary()),
+                        "sums": pa.array([total[s:e].tobytes() for _, s, e in parts], pa.binary()),
+                    }
+                )
 
     return sketch
 
 
-def latent_space(benchmark: DataFrame, idf: np.ndarray, seed: int, rank: int = RANK) -> Latent:
+def _add_parts(width: int):
+    def add(group: pa.Table) -> pa.Table:
+        part, total = group.column("part")[0].as_py(), np.zeros((PART, width))
+        for rows, sums in zip(group.column("rows"), group.column("sums")):
+            total[np.frombuffer(rows.as_py(), dtype=np.int64) - part * PART] += np.frombuffer(sums.as_py()).reshape(-1, width)
+        return pa.table({"part": pa.array([part], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    return add
+
+
+def latent_space(benchmark: DataFrame, terms: np.ndarray, weight: np.ndarray, seed: int, rank: int = RANK) -> Latent:
     """Randomised SVD of the benchmark's TF-IDF passages: the leading right singular vectors.
 
     A random sketch is multiplied by A'A in distributed passes with orthonormalisation in between
-    (subspace iteration). The basis, at most 2^18 terms by 144, is the only thing that the driver holds.
+    (subspace iteration). Tasks' sums are added up by Spark; the driver holds the basis only, at most
+    2^18 terms by 144.
     """
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.unique(_terms(word_hashes(folded_words(t)))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"term": pa.array(np.unique(np.concatenate(own)) if own else [], pa.int64())})
-
-    terms = benchmark.select("text").mapInArrow(vocabulary, "term long").distinct().toArrow().column("term").to_numpy()
-    terms = np.sort(terms)
     place = np.full(TERMS, -1, dtype=np.int32)
     place[terms] = np.arange(len(terms))
-    width = min(rank + OVERSAMPLE, max(1, len(terms)))
-    start = np.random.default_rng(seed).standard_normal((len(terms), width))
-    latent = Latent(idf, place, np.linalg.qr(start)[0] if len(terms) else np.zeros((0, width)))
+    width = min(rank + OVERSAMPLE, len(terms))
+    latent = Latent(place, weight, np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), width)))[0])
     context = benchmark.sparkSession.sparkContext
-    for _ in range(POWER + 1 if len(terms) else 0):
-        shared = context.broadcast(latent)
-        total = np.zeros(latent.basis.shape)
-        work = _sketch(shared)
-        for r in benchmark.select("text").mapInArrow(work, "at long, sums binary").toLocalIterator():
-            block = np.frombuffer(r["sums"]).reshape(-1, total.shape[1])
-            total[r["at"] : r["at"] + len(block)] += block
-        latent = Latent(idf, place, np.linalg.qr(total)[0])
-    return Latent(idf, place, np.ascontiguousarray(latent.basis[:, : min(rank, latent.basis.shape[1])], dtype=np.float32))
+    for _ in range(POWER + 1):
+        found = benchmark.select("text").mapInArrow(_sketch(context.broadcast(latent)), "part long, rows binary, sums binary")
+        total = np.zeros((-(-len(terms) // PART) * PART, width))
+        for r in map_groups(found, ["part"], _add_parts(width), "part long, sums binary").toLocalIterator():
+            total[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["sums"]).reshape(PART, width)
+        latent = Latent(place, weight, np.linalg.qr(total[: len(terms)])[0])
+    # the last product's own leading directions; those that few passages leave without any weight go
+    power, turn = np.linalg.eigh(total.T @ total)
+    kept = np.flatnonzero(power > 1e-10 * power[-1])[::-1][:rank]
+    basis = total[: len(terms)] @ (turn[:, kept] / np.sqrt(power[kept]))
+    return Latent(place, weight, np.ascontiguousarray(basis, dtype=np.float32))
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -148,6 +181,19 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def rare_words(rows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rarest words of a passage, how often it has each, and how many of these places a text must hold.
+
+    A text that holds a share ``PARAPHRASE`` of the passage's places misses at most the rest
+    of them, so of any more places than that it must hold the surplus: here about an eighth
+    of the passage, among its rarest words.
+    """
+    need = int(np.ceil(PARAPHRASE * len(rows)))
+    least = min(need, max(2, len(rows) // 8))
+    rarest = np.argsort(-weight[rows], kind="stable")[: len(rows) - need + least]
+    return *np.unique(rows[rarest], return_counts=True), least
+
+
 @dataclass
 class Search:
     latent: Latent
@@ -156,158 +202,124 @@ class Search:
     span: np.ndarray  # passage -> (first word, end)
     vectors: np.ndarray  # passage x rank, unit length
     scale: np.ndarray  # passage -> index into SCALES
-    starts: np.ndarray  # row of basis -> its first posting
-    posting: np.ndarray  # passages that hold the term
-    weight: np.ndarray  # weight of the term in that passage, whose terms have unit length
-
-    def term_matches(self, rows: np.ndarray, idf: np.ndarray, chunk: np.ndarray, size: int, windows: list[np.ndarray], norms: list[np.ndarray]):
-        """Per scale: window (index into ``windows``), passage and cosine of all terms, where it may reach ``COSINE``.
-
-        What the latent space leaves out of a passage counts here, so a copy is found however many passages there are.
-        """
-        found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in SCALES]
-        many, columns = len(self.owner), [np.flatnonzero(self.scale == k) for k in range(len(SCALES))]
-        step = max(8, CELLS // max(1, many))
-        for low in range(0, size, step):
-            high = min(size, low + step + max(SCALES) - 1)
-            a, b = np.searchsorted(chunk, [low, high])
-            first, counts = self.starts[rows[a:b]], self.starts[rows[a:b] + 1] - self.starts[rows[a:b]]
-            if not counts.sum():
-                continue
-            at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            cell = np.repeat((chunk[a:b] - low) * many, counts) + self.posting[at]
-            dots = np.bincount(cell, weights=np.repeat(idf[a:b], counts) * self.weight[at], minlength=(high - low) * many)
-            dots = dots.reshape(-1, many).astype(np.float32)
-            length = 1
-            for k, scale in enumerate(SCALES):
-                while length < scale:
-                    dots[:-length] += dots[length:].copy()
-                    length *= 2
-                w0, w1 = np.searchsorted(windows[k], [low, low + step])
-                if not len(columns[k]) or w0 == w1:
-                    continue
-                near = dots[np.ix_(windows[k][w0:w1] - low, columns[k])] / norms[k][w0:w1, None]
-                w, p = np.nonzero(near >= COSINE - LEFT_OUT)
-                found[k].append((w + w0, columns[k][p], near[w, p]))
-        return found
-
-    def candidates(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
-        """Per text (word hashes): (passage, first word, end, cosine) of windows that come near a passage.
-
-        All texts are laid out in chunks of words one after the other, each followed by
-        empty chunks, so that no window reaches into the next text.
-        """
-        pad = max(SCALES) - 1
-        chunks = np.array([-(-len(t) // CHUNK) for t in texts])
-        starts = np.concatenate([[0], np.cumsum(chunks + pad)])
-        rows, idf = self.latent.word_rows(np.concatenate(texts) if texts else np.empty(0, dtype=np.uint64))
-        sizes = np.array([len(t) for t in texts])
-        word = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        chunk = np.repeat(starts[:-1], sizes) + word // CHUNK
-        owner = np.repeat(np.arange(len(texts)), chunks + pad)
-        place = np.arange(len(owner)) - starts[owner]
-        out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-
-        # a cosine is at most the share of the window's length that benchmark words make up:
-        # windows in which that share is lower are no candidates and needn't be projected
-        square, on = idf.astype(np.float64) ** 2, rows >= 0
-        norm2 = np.bincount(chunk, weights=square, minlength=starts[-1])
-        known2 = np.bincount(chunk[on], weights=square[on], minlength=starts[-1])
-        norms, windows, wanted = [], [], np.zeros(starts[-1] + 1)
-        length = 1
-        for scale in SCALES:
-            while length < scale:  # sums over twice as many chunks
-                for x in (norm2, known2):
-                    x[:-length] += x[length:].copy()
-                length *= 2
-            possible = (known2 >= COSINE**2 * norm2) & (known2 > 0) & (place <= np.maximum(chunks[owner] - scale, 0))
-            at = np.flatnonzero(possible)
-            windows.append(at)
-            norms.append(np.sqrt(norm2[at]).astype(np.float32))
-            wanted += np.bincount(at, minlength=len(wanted))
-            np.subtract.at(wanted, np.minimum(at + scale, len(wanted) - 1), 1)
-        on &= (np.cumsum(wanted) > 0)[chunk]
-        on = np.flatnonzero(on)
-        if not len(on):
-            return out
-        sums = np.zeros((starts[-1], self.vectors.shape[1]), dtype=np.float32)
-        own = chunk[on]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        sums[own[first]] = np.add.reduceat(self.latent.basis[rows[on]] * idf[on, None], first, axis=0)
-        by_terms = self.term_matches(rows[on], idf[on], own, int(starts[-1]), windows, norms)
+    first: np.ndarray  # row of basis -> its first posting
+    posting: np.ndarray  # passages that have the term among their rare words, as often as they have it
+    least: np.ndarray  # passage -> places of rare words that a text must hold
+
+    def stretches(self, rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(text, first word, end, passages): where enough rare words of a passage stand close together."""
+        listed = np.zeros(len(rows), dtype=np.int64)
+        listed[rows >= 0] = self.first[rows[rows >= 0] + 1] - self.first[rows[rows >= 0]]
+        at = np.flatnonzero(listed)
+        sizes = np.diff(starts)
+        base = np.concatenate([[0], np.cumsum(-(-sizes // BUCKET) + SPREAD)])
+        text = np.searchsorted(starts, at, side="right") - 1
+        words = np.unique((base[text] + (at - starts[text]) // BUCKET) * len(self.first) + rows[at])
+        bucket, rows = words // len(self.first), words % len(self.first)
+        n = self.first[rows + 1] - self.first[rows]
+        ends = np.cumsum(n)
+        s = 0
+        while s < len(rows):
+            e = max(s + 1, int(np.searchsorted(ends, ends[s] - n[s] + CELLS, side="right")))
+            stop = bucket[e - 1] + 1
+            e, late = np.searchsorted(bucket, [stop, stop + SPREAD - 1])
+            own = n[s:late]
+            place = np.repeat(self.first[rows[s:late]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            key, hits = np.unique(np.repeat(bucket[s:late], own) + self.posting[place] * base[-1], return_counts=True)
+            total = hits.copy()
+            for j in range(1, SPREAD):
+                to = np.minimum(np.searchsorted(key, key + j), len(key) - 1)
+                total += np.where(key[to] == key + j, hits[to], 0)
+            passage, where = key // base[-1], key % base[-1]
+            near = np.flatnonzero((total >= self.least[passage]) & (where < stop))
+            near = near[np.argsort(where[near], kind="stable")]
+            for group in np.split(near, np.flatnonzero(np.diff(where[near])) + 1) if len(near) else []:
+                b = int(where[group[0]])
+                t = int(np.searchsorted(base, b, side="right")) - 1
+                low = (b - int(base[t])) * BUCKET
+                yield t, low, min(int(sizes[t]), low + SPREAD * BUCKET), passage[group]
+            s = e
+
+    def cosines(self, rows: np.ndarray, passages: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(passage, first word, end, cosine) of the best window of a stretch of words, both sides in the latent space."""
+        steps = -(-len(rows) // STEP)
+        sums = np.zeros((steps + 1, self.vectors.shape[1]), dtype=np.float32)
+        on = np.flatnonzero(rows >= 0)
+        np.add.at(sums, on // STEP + 1, self.latent.basis[rows[on]] * self.latent.weight[rows[on], None])
+        sums = np.cumsum(sums, axis=0)
         for k, scale in enumerate(SCALES):
-            mine, at = np.flatnonzero(self.scale == k), windows[k]
-            if not len(mine) or not len(at):
+            own = passages[self.scale[passages] == k]
+            if not len(own):
                 continue
-            x = sums[at]
-            for j in range(1, scale):
-                x += sums[np.minimum(at + j, len(sums) - 1)]
-            near = x @ self.vectors[mine].T / norms[k][:, None]
-            w, p = np.nonzero(near >= COSINE)
-            best: dict[tuple[int, int], float] = {}
-            for ws, ps, cosines in [(w, mine[p], near[w, p]), *by_terms[k]]:
-                for i, j, cosine in zip(at[ws].tolist(), ps.tolist(), cosines.tolist()):
-                    best[i, j] = max(cosine, best.get((i, j), 0.0))
-            for (i, j), cosine in best.items():
-                t, start = int(owner[i]), int(place[i]) * CHUNK
-                out[t].append((j, start, min(int(sizes[t]), start + scale * CHUNK), cosine))
-        return out
-
-    def find(self, texts: list[np.ndarray]) -> list[list[dict]]:
-        return [self.verify(t, c) for t, c in zip(texts, self.candidates(texts))]
-
-    def verify(self, hashes: np.ndarray, near: list[tuple[int, int, int, float]]) -> list[dict]:
-        words, best = None, {}
-        for p, start, end, cosine in sorted(near, key=lambda c: -c[3]):
+            size = min(scale // STEP, steps)
+            x = sums[size:] - sums[: len(sums) - size]
+            dots = x @ self.vectors[own].T
+            near = dots / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+            best = np.where(near >= COSINE, dots, -1.0).argmax(axis=0)  # the window with most of the passage
+            for p, w, cosine in zip(own.tolist(), best.tolist(), near[best, np.arange(len(own))].tolist()):
+                if cosine >= COSINE:
+                    yield p, w * STEP, min(len(rows), (w + size) * STEP), min(1.0, cosine)
+
+    def find(self, texts: pa.Array) -> list[list[dict]]:
+        hashes, starts = folded_words(texts)
+        rows = self.latent.place[terms_of(hashes)]
+        near: dict[int, list[tuple[int, int, int, float]]] = {}
+        for t, low, high, passages in self.stretches(rows, starts):
+            for p, s, e, cosine in self.cosines(rows[starts[t] + low : starts[t] + high], passages):
+                near.setdefault(t, []).append((p, low + s, low + e, cosine))
+        return [self.verify(hashes[starts[t] : starts[t + 1]].tolist(), near[t]) if t in near else [] for t in range(len(texts))]
+
+    def verify(self, words: list[int], near: list[tuple[int, int, int, float]]) -> list[dict]:
+        best: dict[int, dict] = {}
+        for p, start, end, cosine in sorted(near, key=lambda c: (-c[3], c[0], c[1])):
             item = int(self.owner[p])
             if item in best and best[item]["common"] >= VERBATIM:
                 continue
-            words = hashes.tolist() if words is None else words
             item_id, want = self.items[item]
-            s, e = self.span[p]
-            low, high = max(0, start - s - CHUNK), min(len(words), end + (len(want) - e) + CHUNK)
+            s, e = map(int, self.span[p])
+            low, high = max(0, start - s - STEP), min(len(words), end + (len(want) - e) + STEP)
             common = common_words(want, words[low:high]) / len(want)
-            if common < PARAPHRASE or (item in best and best[item]["common"] >= common):
+            passage = common if e - s == len(want) else common_words(want[s:e], words[max(0, start - STEP) : end + STEP]) / (e - s)
+            if item in best and best[item]["common"] >= common:
                 continue
             tail = want[-ANSWER_WORDS:]
             answer = common_words(tail, words[low:high]) >= ANSWER * len(tail)
-            if common >= VERBATIM or answer:
-                best[item] = {"item_id": item_id, "cosine": cosine, "common": common, "answer": answer, "first_word": low, "n_words": high - low}
+            whole = passage >= WHOLE_PASSAGE and e - s >= WHOLE_PASSAGE_WORDS
+            if common >= VERBATIM or (common >= PARAPHRASE and answer) or whole:
+                best[item] = {
+                    "item_id": item_id, "cosine": cosine, "common": common, "passage": passage, "answer": answer,
+                    "first_word": low, "n_words": high - low,
+                }
         return [best[i] for i in sorted(best)]
 
 
 def _search(latent: Latent, rows: list) -> Search:
-    items, owner, span = [], [], []
-    for r in rows:
-        words = word_hashes(folded_words(r["text"]))
-        if not len(words) or r["item_id"] is None:
+    """The passages of a block of items, ready to be sent to all tasks."""
+    items, owner, span, vectors, least = [], [], [], [], []
+    row, posting = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    hashes, starts = folded_words(pa.array([r["text"] for r in rows], pa.string()))
+    for r, a, b in zip(rows, starts.tolist(), starts[1:].tolist()):
+        if a == b:
             continue
-        for s, e in passages_of(len(words)):
+        for s, e in passages_of(b - a):
+            at, x = latent.tf_idf(hashes[a + s : a + e])
+            v = x @ latent.basis[at]
+            vectors.append(v / max(np.linalg.norm(v), 1e-12))
+            rare, times, n = rare_words(latent.place[terms_of(hashes[a + s : a + e])], latent.weight)
+            row.append(np.repeat(rare, times))
+            posting.append(np.full(times.sum(), len(owner)))
+            least.append(n)
             owner.append(len(items))
             span.append((s, e))
-        items.append((r["item_id"], words.tolist()))
-    vectors, scale = np.zeros((len(owner), latent.basis.shape[1]), dtype=np.float32), np.zeros(len(owner), dtype=int)
-    for p, ((s, e), i) in enumerate(zip(span, owner)):
-        v = latent.vector(np.array(items[i][1][s:e], dtype=np.uint64))
-        vectors[p] = v / max(np.linalg.norm(v), 1e-9)
-        scale[p] = int(np.searchsorted(np.array(SCALES) * CHUNK * 1.5, e - s))
-    term, posting, weight = [np.empty(0, dtype=int)], [np.empty(0, dtype=int)], [np.empty(0)]
-    for p, ((s, e), i) in enumerate(zip(span, owner)):
-        at, idf = latent.word_rows(np.array(items[i][1][s:e], dtype=np.uint64))
-        at, first, times = np.unique(at, return_index=True, return_counts=True)
-        x = times * idf[first]
-        x = x / max(np.linalg.norm(x), 1e-9)
-        order = np.argsort(x, kind="stable")
-        kept = order[np.cumsum(x[order] ** 2) > LEFT_OUT**2]
-        term.append(at[kept])
-        posting.append(np.full(len(kept), p))
-        weight.append(x[kept])
-    row = np.concatenate(term)
+        items.append((r["item_id"], hashes[a:b].tolist()))
+    row, posting = np.concatenate(row), np.concatenate(posting)
     order = np.argsort(row, kind="stable")
-    starts = np.searchsorted(row[order], np.arange(len(latent.basis) + 1))
+    length = np.array([e - s for s, e in span], dtype=int)
     return Search(
-        latent, items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2), vectors, np.minimum(scale, len(SCALES) - 1),
-        starts, np.concatenate(posting)[order], np.concatenate(weight)[order],
+        latent, items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2),
+        np.array(vectors, dtype=np.float32).reshape(len(owner), -1),
+        np.searchsorted(SCALES, length),
+        np.searchsorted(row[order], np.arange(len(latent.basis) + 1)), posting[order], np.array(least, dtype=np.int64),
     )
 
 
@@ -315,46 +327,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
     """Adds ``column``: the benchmark items found in each whole text, as an array of structs.
 
     Term weights come from counts over all documents. The latent space is a distributed
-    randomised SVD of the benchmark's TF-IDF passages (of 48 words at most), in which every
-    window of 16, 32 or 64 words (each 8 words) of a document is compared by cosine with
-    every passage of a like length, as matrix products. A latent space of fixed rank keeps the
-    less of a passage the more passages there are, so the cosine of all terms is taken as well,
-    from postings; either may make a candidate, at any size of the benchmark. A window at ``COSINE`` or more (and
-    with that share of its length in words of the benchmark) is checked around its place: the item is there if its longest common subsequence with the text is
-    at least 0.7 of its words, or 0.5 of them and its answer (its last five words) is there too.
+    randomised SVD of the benchmark's TF-IDF passages (of 48 words at most). A stretch of 72
+    words that holds enough rare words of a passage is a place to look: a text with half of a
+    passage's words within 48 always has such a stretch. There, windows of 16, 32 or 48 words (each 8
+    words) are compared with the passage by their cosine in the latent space, where both sides have unit length, so
+    that a copy has a cosine near one however many passages there are. Windows at
+    ``COSINE`` or more are checked: the item is there if its longest common subsequence with the text is
+    at least 0.7 of its words, or 0.5 of them and its answer (its last five words) is there
+    too, or 0.9 of one passage of at least 32 words of a longer item.
 
     The benchmark is searched in blocks of items, each a scan of the documents, so what is
-    broadcast is bounded. Null or empty texts and items without words have no leaks; equal
-    rows have equal leaks; repeated items are found under each of their ids; an empty
-    benchmark finds nothing.
+    broadcast is bounded. Null or empty texts and items without words or id have no leaks; equal
+    rows have equal leaks; of equal cosines the first window counts; repeated items are found under each of their ids; an empty
+    benchmark finds nothing. Texts of any length are searched whole, in stretches. A column of the name ``column`` is replaced; other columns stay as they are.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
-    if not bench.take(1):
-        return docs.withColumn(column, F.array().cast(f"array<struct<{_struct(HIT)}>>"))
-    idf = term_weights(docs)
-    latent = latent_space(bench, idf, seed)
-    out = docs.withColumn(column, F.array().cast(f"array<struct<{_struct(HIT)}>>"))
-    size = F.length("text")
-    total = bench.agg(F.sum(size)).first()[0] or 0
+    terms = benchmark_terms(bench)
+    if not len(terms):
+        return docs.withColumn(column, F.array().cast(LEAKS))
+    latent = latent_space(bench, terms, term_weights(docs, terms), seed)
+    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, int(np.ceil(total / 4 / PASSAGE_WORDS / BLOCK_PASSAGES)))
+    found = []
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(_search(latent, rows))
 
-        @F.pandas_udf(f"array<struct<{_struct(HIT)}>>")
-        def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            search = shared.value
-            for part in texts:
-                found: list[list[dict]] = []
-                texts = part.tolist()
-                for at in range(0, len(texts), 32):
-                    found += search.find([word_hashes(folded_words(t)) for t in texts[at : at + 32]])
-                yield pd.Series(found, dtype=object)
-
-        out = out.withColumn(column, F.concat(column, find("text")))
-    return out
-
+        @F.arrow_udf(LEAKS)
+        def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in parts:
+                leaks: list[list[dict]] = []
+                for batch in slices_of(pa.RecordBatch.from_arrays([texts], names=["text"])):
+                    leaks += shared.value.find(batch.column("text"))
+                yield pa.array(leaks, pa.list_(HIT))
 
-def _struct(fields: str) -> str:
-    return ", ".join(": ".join(f.strip().split(" ")) for f in fields.split(","))
+        found.append(find("text"))
+    return docs.withColumn(column, F.concat(*found) if len(found) > 1 else found[0])
