@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -196,78 +196,98 @@ def rare_words(rows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Search:
-    latent: Latent
+    """What every task needs of the benchmark, or of a block of it."""
+
+    place: np.ndarray  # hashed term -> row of weighted, or -1
+    weighted: np.ndarray  # terms of the benchmark x rank: the basis times the terms' weights
     items: list[tuple[int, list[int]]]  # item_id, word hashes
     owner: np.ndarray  # passage -> item
     span: np.ndarray  # passage -> (first word, end)
     vectors: np.ndarray  # passage x rank, unit length
     scale: np.ndarray  # passage -> index into SCALES
-    first: np.ndarray  # row of basis -> its first posting
+    first: np.ndarray  # row of weighted -> its first posting
     posting: np.ndarray  # passages that have the term among their rare words, as often as they have it
     least: np.ndarray  # passage -> places of rare words that a text must hold
+    known: dict[int, set[int]] = field(default_factory=dict)  # item -> its words, once looked at
+
+    def stretches(self, rows: np.ndarray, bucket: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, passage): where enough rare words of a passage stand close together.
 
-    def stretches(self, rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(text, first word, end, passages): where enough rare words of a passage stand close together."""
-        listed = np.zeros(len(rows), dtype=np.int64)
-        listed[rows >= 0] = self.first[rows[rows >= 0] + 1] - self.first[rows[rows >= 0]]
-        at = np.flatnonzero(listed)
-        sizes = np.diff(starts)
-        base = np.concatenate([[0], np.cumsum(-(-sizes // BUCKET) + SPREAD)])
-        text = np.searchsorted(starts, at, side="right") - 1
-        words = np.unique((base[text] + (at - starts[text]) // BUCKET) * len(self.first) + rows[at])
+        ``rows`` are the words that any passage has among its rare ones, ``bucket`` (below ``width``) where they stand.
+        """
+        words = np.unique(bucket * len(self.first) + rows)
         bucket, rows = words // len(self.first), words % len(self.first)
         n = self.first[rows + 1] - self.first[rows]
-        ends = np.cumsum(n)
-        s = 0
+        ends, found, s = np.cumsum(n), [], 0
         while s < len(rows):
             e = max(s + 1, int(np.searchsorted(ends, ends[s] - n[s] + CELLS, side="right")))
             stop = bucket[e - 1] + 1
             e, late = np.searchsorted(bucket, [stop, stop + SPREAD - 1])
             own = n[s:late]
             place = np.repeat(self.first[rows[s:late]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            key, hits = np.unique(np.repeat(bucket[s:late], own) + self.posting[place] * base[-1], return_counts=True)
+            key, hits = np.unique(np.repeat(bucket[s:late], own) + self.posting[place] * width, return_counts=True)
             total = hits.copy()
             for j in range(1, SPREAD):
                 to = np.minimum(np.searchsorted(key, key + j), len(key) - 1)
                 total += np.where(key[to] == key + j, hits[to], 0)
-            passage, where = key // base[-1], key % base[-1]
-            near = np.flatnonzero((total >= self.least[passage]) & (where < stop))
-            near = near[np.argsort(where[near], kind="stable")]
-            for group in np.split(near, np.flatnonzero(np.diff(where[near])) + 1) if len(near) else []:
-                b = int(where[group[0]])
-                t = int(np.searchsorted(base, b, side="right")) - 1
-                low = (b - int(base[t])) * BUCKET
-                yield t, low, min(int(sizes[t]), low + SPREAD * BUCKET), passage[group]
+            found.append(key[(total >= self.least[key // width]) & (key % width < stop)])
             s = e
-
-    def cosines(self, rows: np.ndarray, passages: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(passage, first word, end, cosine) of the best window of a stretch of words, both sides in the latent space."""
-        steps = -(-len(rows) // STEP)
-        sums = np.zeros((steps + 1, self.vectors.shape[1]), dtype=np.float32)
-        on = np.flatnonzero(rows >= 0)
-        np.add.at(sums, on // STEP + 1, self.latent.basis[rows[on]] * self.latent.weight[rows[on], None])
-        sums = np.cumsum(sums, axis=0)
+        key = np.concatenate([np.empty(0, dtype=np.int64), *found])
+        return key % width, key // width
+
+    def cosines(self, rows: np.ndarray, step: np.ndarray, inside: np.ndarray, first: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch (its first step) and passage the step of the best window there and its cosine in the latent space.
+
+        ``rows`` are the words in any stretch, ``step`` the step of ``STEP`` words each stands in and ``inside`` its place there. The best window is, of those at
+        ``COSINE`` or more, the one with most of the passage.
+        """
+        sums = np.zeros((int(first.max()) + SPREAD * BUCKET // STEP + max(SCALES) // STEP, self.vectors.shape[1]), dtype=np.float32)
+        for j in range(STEP):  # a step has one word at most at each of its places
+            own = np.flatnonzero(inside == j)
+            sums[step[own]] += self.weighted[rows[own]]
+        at, cosine = np.zeros(len(first), dtype=np.int64), np.full(len(first), -1.0)
+        size, windows = 1, sums
         for k, scale in enumerate(SCALES):
-            own = passages[self.scale[passages] == k]
-            if not len(own):
-                continue
-            size = min(scale // STEP, steps)
-            x = sums[size:] - sums[: len(sums) - size]
-            dots = x @ self.vectors[own].T
-            near = dots / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
-            best = np.where(near >= COSINE, dots, -1.0).argmax(axis=0)  # the window with most of the passage
-            for p, w, cosine in zip(own.tolist(), best.tolist(), near[best, np.arange(len(own))].tolist()):
-                if cosine >= COSINE:
-                    yield p, w * STEP, min(len(rows), (w + size) * STEP), min(1.0, cosine)
+            while size < scale // STEP:  # sums over one step more
+                windows, size = windows[:-1] + sums[size:], size + 1
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)
+            for own in np.array_split(mine := np.flatnonzero(self.scale[passage] == k), max(1, len(mine) // 8192)):
+                if not len(own):
+                    continue
+                place = first[own, None] + np.arange(SPREAD * BUCKET // STEP - size + 1)
+                dots = np.einsum("cjd,cd->cj", windows[place], self.vectors[passage[own]])
+                near = dots / norm[place]
+                best = np.where(near >= COSINE, dots, -1.0).argmax(axis=1)[:, None]
+                at[own], cosine[own] = np.take_along_axis(place, best, 1)[:, 0], np.take_along_axis(near, best, 1)[:, 0]
+        return at, np.minimum(cosine, 1.0)
 
     def find(self, texts: pa.Array) -> list[list[dict]]:
         hashes, starts = folded_words(texts)
-        rows = self.latent.place[terms_of(hashes)]
+        out: list[list[dict]] = [[] for _ in range(len(texts))]
+        rows = self.place[terms_of(hashes)].astype(np.int64)
+        known = np.flatnonzero(rows >= 0)
+        rows, sizes = rows[known], np.diff(starts)
+        base = np.concatenate([[0], np.cumsum(-(-sizes // BUCKET) + SPREAD)])  # no stretch reaches into the next text
+        text = np.searchsorted(starts, known, side="right") - 1
+        place = known - starts[text]
+        rare = self.first[rows + 1] > self.first[rows]
+        bucket, passage = self.stretches(rows[rare], base[text[rare]] + place[rare] // BUCKET, int(base[-1]))
+        if not len(bucket):
+            return out
+        steps = BUCKET // STEP
+        wanted = np.zeros(int(base[-1]) + SPREAD + 1, dtype=bool)
+        for j in range(SPREAD):
+            wanted[bucket + j] = True
+        on = wanted[base[text] + place // BUCKET]
+        at, cosine = self.cosines(rows[on], base[text[on]] * steps + place[on] // STEP, place[on] % STEP, bucket * steps, passage)
         near: dict[int, list[tuple[int, int, int, float]]] = {}
-        for t, low, high, passages in self.stretches(rows, starts):
-            for p, s, e, cosine in self.cosines(rows[starts[t] + low : starts[t] + high], passages):
-                near.setdefault(t, []).append((p, low + s, low + e, cosine))
-        return [self.verify(hashes[starts[t] : starts[t + 1]].tolist(), near[t]) if t in near else [] for t in range(len(texts))]
+        for i in np.flatnonzero(cosine >= COSINE).tolist():
+            t, p = int(np.searchsorted(base, bucket[i], side="right")) - 1, int(passage[i])
+            start = (int(at[i]) - int(base[t]) * steps) * STEP
+            near.setdefault(t, []).append((p, start, min(int(sizes[t]), start + SCALES[self.scale[p]]), float(cosine[i])))
+        for t, found in near.items():
+            out[t] = self.verify(hashes[starts[t] : starts[t + 1]].tolist(), found)
+        return out
 
     def verify(self, words: list[int], near: list[tuple[int, int, int, float]]) -> list[dict]:
         best: dict[int, dict] = {}
@@ -276,14 +296,24 @@ class Search:
             if item in best and best[item]["common"] >= VERBATIM:
                 continue
             item_id, want = self.items[item]
+            known = self.known.setdefault(item, set(want))
             s, e = map(int, self.span[p])
             low, high = max(0, start - s - STEP), min(len(words), end + (len(want) - e) + STEP)
-            common = common_words(want, words[low:high]) / len(want)
-            passage = common if e - s == len(want) else common_words(want[s:e], words[max(0, start - STEP) : end + STEP]) / (e - s)
+            here = list(filter(known.__contains__, words[low:high]))  # no other words can be in common
+            at_most = len(here) / len(want)
+            if at_most < PARAPHRASE and e - s < WHOLE_PASSAGE_WORDS:
+                continue
+            common = common_words(want, here) / len(want) if at_most >= PARAPHRASE else 0.0
+            if e - s == len(want) or e - s < WHOLE_PASSAGE_WORDS:
+                passage = common
+            else:
+                near_by = list(filter(known.__contains__, words[max(0, start - STEP) : end + STEP]))
+                passage = common_words(want[s:e], near_by) / (e - s) if len(near_by) >= WHOLE_PASSAGE * (e - s) else 0.0
+            common = max(common, passage * (e - s) / len(want))
             if item in best and best[item]["common"] >= common:
                 continue
             tail = want[-ANSWER_WORDS:]
-            answer = common_words(tail, words[low:high]) >= ANSWER * len(tail)
+            answer = common_words(tail, here) >= ANSWER * len(tail)
             whole = passage >= WHOLE_PASSAGE and e - s >= WHOLE_PASSAGE_WORDS
             if common >= VERBATIM or (common >= PARAPHRASE and answer) or whole:
                 best[item] = {
@@ -316,7 +346,7 @@ def _search(latent: Latent, rows: list) -> Search:
     order = np.argsort(row, kind="stable")
     length = np.array([e - s for s, e in span], dtype=int)
     return Search(
-        latent, items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2),
+        latent.place, latent.basis * latent.weight[:, None], items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2),
         np.array(vectors, dtype=np.float32).reshape(len(owner), -1),
         np.searchsorted(SCALES, length),
         np.searchsorted(row[order], np.arange(len(latent.basis) + 1)), posting[order], np.array(least, dtype=np.int64),
