@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, rolling, word_hashes
+from .common import hashed_words, materialize, rolling, slices_of
 
 #: Phrases that name a license by themselves, with their labels.
 PHRASES = (
@@ -46,47 +46,85 @@ K, DRIFT, LEAST_COVER = 4, 3, 0.7
 BASE = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>"
 
 
-def phrase_places(hashes: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    n = len(hashes) - len(phrase) + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64)
-    hit = hashes[:n] == phrase[0]
-    for j in range(1, len(phrase)):
+def phrase_places(hashes: np.ndarray, starts: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word) of every place in which the phrase's words stand one after the other in one text."""
+    n = max(0, len(hashes) - len(phrase) + 1)
+    hit = np.ones(n, dtype=bool)
+    for j in range(len(phrase)):
         hit &= hashes[j : j + n] == phrase[j]
-    return np.flatnonzero(hit)
+    at = np.flatnonzero(hit)
+    text = np.searchsorted(starts, at, side="right") - 1
+    whole = at + len(phrase) <= starts[text + 1]
+    return text[whole], (at - starts[text])[whole]
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    wanted = [(word_hashes(alnum_words(p)), label) for p, label in PHRASES]
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels")}
-        for text in batch.column("text").to_pylist():
-            own = word_hashes(alnum_words(text))
-            places = [(phrase_places(own, p), label) for p, label in wanted]
-            at = np.concatenate([p for p, _ in places])
-            row = (
-                len(own), len(at), int(at.min()) if len(at) else None, int(at.max()) if len(at) else None,
-                sorted({label for p, label in places if len(p)}),
-            )
-            for k, v in zip(out, row):
-                out[k].append(v)
-        types = [pa.int64()] * 4 + [pa.list_(pa.string())]
-        cols = {k: pa.array(v, t) for (k, v), t in zip(out.items(), types)}
-        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("doc_id", "k1", "k2")} | cols)
+    wanted = [(word_hashes_of(p), label) for p, label in PHRASES]
+    for whole in batches:
+        for batch in slices_of(whole):
+            hashes, starts = hashed_words(batch.column("text"), "alnum")
+            size = batch.num_rows
+            n, first, last = np.zeros(size, dtype=np.int64), np.full(size, len(hashes)), np.full(size, -1)
+            labels: list[set[str]] = [set() for _ in range(size)]
+            for phrase, label in wanted:
+                text, at = phrase_places(hashes, starts, phrase)
+                np.add.at(n, text, 1)
+                np.minimum.at(first, text, at)
+                np.maximum.at(last, text, at)
+                for t in np.unique(text).tolist():
+                    labels[t].add(label)
+            none = n == 0
+            cols = {
+                "n_words": pa.array(np.diff(starts).astype(np.int64)), "n_base": pa.array(n),
+                "first_word": pa.array(first.astype(np.int64), mask=none), "last_word": pa.array(last.astype(np.int64), mask=none),
+                "base_labels": pa.array([sorted(x) for x in labels], pa.list_(pa.string())),
+            }
+            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("doc_id", "k1", "k2")} | cols)
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        grams = [rolling(word_hashes(alnum_words(t)), K).view(np.int64) for t in batch.column("text").to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-        flat = np.concatenate(grams) if grams else np.empty(0, dtype=np.int64)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "k1": batch.column("k1"),
-                "k2": batch.column("k2"),
-                "grams": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-            }
-        )
+    for whole in batches:
+        for batch in slices_of(whole):
+            hashes, starts = hashed_words(batch.column("text"), "alnum")
+            grams = rolling(hashes, K).view(np.int64)
+            text = np.searchsorted(starts, np.arange(len(grams)), side="right") - 1
+            inside = np.arange(len(grams)) + K <= starts[text + 1]  # a gram doesn't reach into the next text
+            sizes = np.maximum(np.diff(starts) - K + 1, 0)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "k1": batch.column("k1"),
+                    "k2": batch.column("k2"),
+                    "grams": pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[inside])),
+                }
+            )
+
+
+def word_hashes_of(text: str) -> np.ndarray:
+    return hashed_words(pa.array([text]), "alnum")[0]
+
+
+def best_of_overlapping(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Of spans of one text that overlap, those that no overlapping one beats.
+
+    A span's worth is twice the words it shares with its template over the words of both, so both a template's missing
+    words and words between speak against it; of equals the longer template and then the earlier one in the list wins.
+    """
+    w = Window.partitionBy(*keys).orderBy("first", "last", "template")
+    reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("__fresh", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
+    spans = spans.withColumn("__group", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    worth = (2 * F.col("covered") / (F.col("size") + F.col("last") - F.col("first") + 1)).alias("worth")
+    one = F.struct(worth, "size", (-F.col("template")).alias("order"), "first", "last", "label")
+    groups = spans.groupBy(*keys, "__group").agg(F.collect_list(one).alias("all"))
+
+    def rank(x):
+        return F.struct(x["worth"], x["size"], x["order"], -x["first"])
+
+    def beaten(x):
+        return F.exists("all", lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & (rank(y) > rank(x)))
+
+    return groups.select(*keys, F.explode(F.filter("all", lambda x: ~beaten(x))).alias("x")).select(*keys, "x.first", "x.last", "x.label")
 
 
 def scan_licenses(
@@ -99,16 +137,17 @@ def scan_licenses(
     template, diagonal = word position - template position); neighbouring diagonals, at most
     3 apart, are merged, so a few inserted or missing words don't break a notice; a merged span counts if
     the template words under its hits are at least ``cover`` of the template and the span is no
-    longer than one and a half templates.
+    longer than one and a half templates. Of verified spans that overlap, as those of notices that differ in a word or two do,
+    only the one nearest to its template counts.
 
-    A null or empty text has no words; equal rows get equal results; an empty table gives no
-    rows; further columns are ignored. Returns doc_id, n_words, n_base, first_word,
+    A null or empty text has no words; a text of any length is scanned whole; equal rows get equal results; an empty table gives no
+    rows; further columns, whatever their names, are ignored. Returns doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels (arrays), score (the best cover; 1 with a phrase), spans.
     """
     spark = docs.sparkSession
     rows, sizes = [], []
     for t, (label, text) in enumerate(templates):
-        words = word_hashes(alnum_words(text))
+        words = word_hashes_of(text)
         sizes.append((t, label, len(words)))
         rows += [(int(h), t, p) for p, h in enumerate(rolling(words, K).view(np.int64))]
     positions = spark.createDataFrame(rows, "gram long, template int, at int")
@@ -143,11 +182,11 @@ def scan_licenses(
     merged = merged.withColumn("cover", cover_of).withColumn(
         "verified", (F.col("cover") >= cover) & (F.col("last") - F.col("first") + 1 <= 1.5 * F.col("size"))
     )
-    per_doc = merged.groupBy("k1", "k2").agg(
-        F.collect_set(F.when(F.col("verified"), F.col("label"))).alias("found"),
-        F.max("cover").alias("best"),
-        F.array_sort(F.collect_list(F.when(F.col("verified"), F.struct("first", "last", "label")))).alias("spans"),
+    merged = materialize(merged.withColumn("covered", covered).drop("ats"), "spans")
+    kept = best_of_overlapping(merged.where("verified"), ("k1", "k2")).groupBy("k1", "k2").agg(
+        F.collect_set("label").alias("found"), F.array_sort(F.collect_list(F.struct("first", "last", "label"))).alias("spans")
     )
+    per_doc = merged.groupBy("k1", "k2").agg(F.max("cover").alias("best")).join(kept, ["k1", "k2"], "left")
     none = F.array().cast("array<string>")
     joined = base.join(per_doc, ["k1", "k2"], "left")
     return joined.select(

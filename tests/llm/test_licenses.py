@@ -1,7 +1,7 @@
 import random
 import re
 
-from candlemill.llm.licenses import PHRASES, digest, scan_licenses
+from candlemill.llm.licenses import PHRASES, TEMPLATES, digest, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -42,3 +42,19 @@ def test_notices_with_gaps(make_docs, words):
     assert got[2]["labels"] == "bsd" and 0.7 <= got[2]["score"] <= 1
     assert got[3]["labels"] == "" and got[3]["score"] < 0.7
     assert got[4]["labels"] == "cc-by,cc-by-nc" and got[4]["base_labels"] == "cc-by"
+
+
+def test_each_notice_has_its_own_label_and_no_other(make_docs, words):
+    rows = [(i, text) for i, (_, text) in enumerate(TEMPLATES)]
+    rows += [(100 + i, f"{words(40, i)} {text} {words(40, -i)}") for i, (_, text) in enumerate(TEMPLATES)]
+    got = {r["doc_id"]: r for r in digest(scan_licenses(make_docs(rows))).collect()}
+    for i, (label, _) in enumerate(TEMPLATES):
+        for r in (got[i], got[100 + i]):
+            assert set(r["labels"].split(",")) == {label, *r["base_labels"].split(",")} - {""}, (label, r)
+
+
+def test_notices_side_by_side_keep_their_labels(make_docs):
+    known = {label: text for label, text in TEMPLATES}
+    rows = [(1, f"{known['cc-by-sa']} {known['cc0']}"), (2, f"{known['lgpl']} {known['agpl']}"), (3, known["lgpl"].replace("GNU", "the GNU"))]
+    got = {r["doc_id"]: r["labels"] for r in digest(scan_licenses(make_docs(rows))).collect()}
+    assert got == {1: "cc-by,cc-by-sa,cc0", 2: "agpl,lgpl", 3: "lgpl"}
