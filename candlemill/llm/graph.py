@@ -12,23 +12,28 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: Nodes of more edges are hubs; as the graph grows so does the number, so that there are never more hubs than ``MOST_HUBS``.
+HUB, MOST_HUBS = 256, 100_000
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node of an edge, component being its smallest node.
 
-    Every round is two grouped minima and two joins; nothing is gathered per node, so a hub
-    with any number of neighbours is fine (partial minima, and joins that may be split).
+    Every round is two grouped minima and two joins; nothing is gathered per node. The minima of nodes
+    with very many neighbours are broadcast, so that a hub's edges needn't meet in one task.
     Loops and repeated edges don't matter; null ends are left out; no edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     e = materialize(e.where("hi <> lo").distinct(), "edges")
     state = _state(e)
     while state[0]:
+        hub = max(HUB, 2 * state[0] // MOST_HUBS)
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = materialize(small.union(least).distinct(), "edges")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = _with_least(both, "u", "v", least, hub).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, "hi", "lo", least, hub).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        e = materialize(small.union(least.select("hi", "m")).distinct(), "edges")
         if (now := _state(e)) == state:
             break
         state = now
@@ -37,6 +42,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def _with_least(e: DataFrame, key: str, other: str, least: DataFrame, hub: int) -> DataFrame:
+    """Edges with their node's minimum ``m``; edges of nodes with more than ``hub`` of them stay spread over all tasks."""
+    hubs = least.where(F.col("n") > hub).select(key, F.col("m").alias("__m"))
+    e = e.join(F.broadcast(hubs), key, "left")
+    e = e.withColumn("__salt", F.when(F.col("__m").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(other)))
+    own = least.select(key, F.shiftright("n", 62).alias("__salt"), "m")  # always 0
+    return e.join(own, [key, "__salt"], "left").select(key, other, F.coalesce("__m", "m").alias("m"))
+
+
 def _state(e: DataFrame) -> tuple[int, int | None]:
     r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
     return r[0], r[1]

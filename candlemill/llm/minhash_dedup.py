@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_index, materialize, rolling, space_words, word_hashes
+from .common import global_index, hashed_words, materialize, rolling, slices_of
 from .graph import components, map_groups, smallest_reachable
 
 #: 32 bands of 5 minima: at a similarity of 0.8 a pair meets in no band with probability 3e-6.
@@ -17,11 +17,15 @@ BANDS, ROWS = 32, 5
 BLOCK = 256
 
 
-def shingle_set(words: list[bytes], k: int) -> np.ndarray:
-    """Distinct k-word shingles as sorted 64-bit hashes; the whole sequence if it is shorter."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(rolling(word_hashes(words), min(k, len(words))))
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """For each text its distinct k-word shingles as sorted 64-bit hashes; the whole sequence if it is shorter."""
+    hashes, starts = hashed_words(texts, "space")
+    grams = rolling(hashes, k)
+    for s, e in zip(starts.tolist(), starts[1:].tolist()):
+        if e - s >= k:
+            yield np.unique(grams[s : e - k + 1])
+        else:
+            yield rolling(hashes[s:e], e - s) if e > s else np.empty(0, dtype=np.uint64)
 
 
 def _universal(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,10 +48,9 @@ def _sign(k: int, seed: int):
         a, b = _universal(seed)
         weights = rolling(np.arange(1, BANDS + ROWS, dtype=np.uint64), ROWS)  # tells the bands apart
         odd = np.arange(1, 2 * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             n, fp1, fp2, keys = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(space_words(text), k)
+            for s in shingle_sets(batch.column("text"), k):
                 n.append(len(s))
                 if not len(s):
                     fp1.append(None)
@@ -75,8 +78,8 @@ def _sign(k: int, seed: int):
 
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(space_words(t), k).tobytes() for t in batch.column("text").to_pylist()]
+        for batch in (part for whole in batches for part in slices_of(whole)):
+            found = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "shingles": pa.array(found, pa.binary())})
 
     return sets
@@ -139,7 +142,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
     Returns doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id =
     component_id), one row per input row. Null or empty texts and texts without words have
     no shingles and are linked with nothing; rows of one doc_id count as one document; a null doc_id
-    is linked with nothing; an empty table gives no rows; further columns are ignored.
+    is linked with nothing; an empty table gives no rows; further columns, whatever their names, are ignored.
+    Texts of any length are compared whole.
     """
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(
