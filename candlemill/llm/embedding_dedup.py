@@ -68,6 +68,8 @@ def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     n = len(column)
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
+    if n:  # components as large as 1e200 or as small as 1e-200 have a length too
+        x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -158,14 +160,15 @@ def link_vectors(
        shares one with a computed probability of at least 0.99 (26 tables at 1e6 rows, 37 at 1e7,
        for a cosine of 0.95). Large buckets are dealt into pairs of blocks, and a task
        returns spanning links only;
-    4. groups of candidates are compared by their original vectors, block by block as
-       matrix products: link counts and spanning links come out, never all pairs;
+    4. groups of candidates are compared by their original vectors as matrix products, block by block, each two blocks
+       that share a substring: link counts and spanning links come out, never all pairs;
     5. connected components.
 
     Null or zero vectors, and those with null or non-finite components, are linked with
     nothing, as are rows of a null id and vectors of another length than the commonest (of
-    equally common lengths the smallest). Repeated rows count as further vectors. An empty table
-    gives no rows; further columns are ignored.
+    equally common lengths the smallest). Repeated rows count as further vectors; components of any finite size
+    are fine. Of equal vectors the smallest id stands for all. An empty table
+    gives no rows; further columns, whatever their names, are ignored.
     Returns vec_id, n_links, component_id, kept.
     """
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
@@ -195,7 +198,9 @@ def link_vectors(
     p = np.arccos(min(cosine, 1.0)) / np.pi
     radius = int(np.ceil(CODE_BITS * p + 4.5 * np.sqrt(CODE_BITS * p * (1 - p)) + 1))
 
-    coded = classes.select("rep", "embedding").mapInArrow(_index(q, key_bits), "rep long, code binary, keys array<long>")
+    coded = materialize(
+        classes.select("rep", "embedding").mapInArrow(_index(q, key_bits), "rep long, code binary, keys array<long>"), "codes"
+    )
     entries = coded.select("rep", "code", F.explode("keys").alias("key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     entries = entries.join(sizes, "key")
@@ -207,9 +212,16 @@ def link_vectors(
     groups = components(candidates, "a", "b").withColumnRenamed("node", "rep")
     indexed, _ = global_index(groups.select("rep", "component"), [F.col("component"), F.col("rep")], "__row")
     spans = indexed.groupBy("component").agg(F.min("__row").alias("first"), F.count("*").alias("members"))
-    placed = indexed.join(spans, "component").withColumn("place", F.col("__row") - F.col("first"))
-    placed = placed.join(classes.select("rep", "copies", "embedding"), "rep")
-    dealt = blocks_of_groups(placed, BLOCK).select(
+    placed = indexed.join(spans, "component").select(
+        "component", "rep", F.expr(f"(__row - first) div {BLOCK}").alias("block"), (F.col("members") > BLOCK).alias("large")
+    )
+    placed = materialize(placed, "placed")
+    small = placed.where("not large").select("component", "block", F.col("block").alias("cell_i"), F.col("block").alias("cell_j")).distinct()
+    meets = coded.select("rep", F.explode("keys").alias("key")).join(placed.where("large"), "rep").select("key", "component", "block").distinct()
+    pairs = meets.join(meets.withColumnRenamed("block", "other"), ["key", "component"]).where("block <= other")
+    pairs = pairs.select("component", F.col("block").alias("cell_i"), F.col("other").alias("cell_j")).distinct()
+    cells = pairs.select("component", F.explode(F.array_distinct(F.array("cell_i", "cell_j"))).alias("block"), "cell_i", "cell_j").union(small)
+    dealt = placed.join(cells, ["component", "block"]).join(classes.select("rep", "copies", "embedding"), "rep").select(
         "component", "cell_i", "cell_j", "block", "rep", "copies", "embedding"
     )
     ranked = materialize(

@@ -51,6 +51,13 @@ def test_edges(spark):
     assert link_vectors(df.where("vec_id = 11")).first()["n_links"] == 0
 
 
+def test_components_of_any_finite_size(spark):
+    v = np.random.default_rng(2).standard_normal((2, 8))
+    rows = [(i, [float(x) for x in v[i % 2] * s]) for i, s in enumerate([1.0, 1.0, 1e200, 1e200, 1e-200, 1e-200, 1e308 / 4, 5e-324 / 1e-300])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (3, i % 2) for i in range(8)}
+
+
 def test_codes_are_balanced():
     x = np.random.default_rng(1).standard_normal((500, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
