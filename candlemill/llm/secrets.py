@@ -25,8 +25,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 #: Encodings by name: alphabet size. base36 tokens are of one letter case.
 ALPHABETS = {"hex": 16, "base32": 32, "base36": 36, "base64": 64}
 LENGTH_BINS, SCORE_BINS, SCORE_STEP = 24, 120, 0.1
-#: Plain words that a stratum is compared with, if there are so many.
-ENOUGH_WORDS = 1_000
+#: Plain words that a stratum is compared with, if there are so many; beyond the last of them with ``FEW`` at or above
+#: a score, an exponential tail stands for them that falls by 1/e in ``LEAST_EXCESS`` score steps or more.
+ENOUGH_WORDS, FEW, LEAST_EXCESS = 1_000, 10, 5.0
+#: Letters alone are read as base64 if upper and lower case change so often.
+CASE_CHANGES = 0.25
+#: What separates the parts of a path or slug, and the length up to which such a part may be anything.
+SEPARATOR, LABEL = re.compile("[-_/]"), 4
 
 SPAN = "kind int, start int, end int"
 FOUND = (
@@ -56,12 +61,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def _plain(part: str) -> bool:
+    """Whether a part of a token is a number, a short label or a word."""
+    if len(part) <= LABEL or part.isdigit():
+        return True
+    return part.isalpha() and sum(a.isupper() != b.isupper() for a, b in zip(part, part[1:])) < CASE_CHANGES * len(part)
+
+
 def infer_encoding(token: str) -> str | None:
-    """The narrowest alphabet that holds the token; None for plain words and plain numbers."""
+    """The narrowest alphabet that holds the token; None for plain words and plain numbers.
+
+    Letters of one case, or of both with few changes between them, are plain words: nothing tells them from prose. A path or
+    slug, of plain words and numbers between "/", "-" and "_", counts as plain too.
+    """
     core = token.rstrip("=")
-    digits = sum(c.isdigit() for c in core)
-    if digits == 0 or core.isdigit():
+    if all(map(_plain, SEPARATOR.split(core))):
         return None
+    if core.isalpha():
+        return "base64"
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
         return "hex"
     if re.fullmatch(r"[A-Z2-7]+", core):
@@ -149,11 +166,12 @@ def examine(texts: pd.Series) -> pd.DataFrame:
         base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
         for m in CANDIDATE.finditer(text):
             token = m[0]
-            if token.isalpha():
+            if enc := infer_encoding(token):
+                if not any(s <= m.start() and m.end() <= e for _, s, e in spans):  # what a fixed pattern holds needs no test
+                    place.append((i, m.start(), m.end()))
+                    names.append((enc, token))
+            elif token.isalpha():
                 nulls.append((i, token))
-            elif (enc := infer_encoding(token)) and not any(s < m.end() and m.start() < e for _, s, e in spans):
-                place.append((i, m.start(), m.end()))
-                names.append((enc, token))
     tokens: list[list] = [[] for _ in base]
     for enc in ALPHABETS:
         own = [j for j, (e, _) in enumerate(names) if e == enc]
@@ -174,11 +192,28 @@ def null_of(enc: str) -> str:
     return "base64" if enc == "base64" else "base36"
 
 
+def null_tail(null: np.ndarray) -> np.ndarray:
+    """For each score the share of plain words that reach it, from their histogram.
+
+    Few words reach the highest scores, so there the share is read off an exponential tail fitted to the top tenth,
+    whatever the number of words; with fewer than ``ENOUGH_WORDS`` it never falls below one of them.
+    """
+    above, n = null[::-1].cumsum()[::-1], null.sum()
+    p = (1 + above) / (1 + n)
+    if n >= ENOUGH_WORDS:
+        top = int(np.flatnonzero(above >= n / 10)[-1])
+        steps = np.arange(len(null)) - top
+        excess = max(LEAST_EXCESS, float((null * (steps + 0.5))[top:].sum() / above[top]))
+        tail = above[top] / n * np.exp(-np.maximum(steps, 0) / excess)
+        p = np.where(above < FEW, np.minimum(p, tail), p)
+    return p
+
+
 def thresholds(tested: list[tuple[str, int, int, int]], plain: list[tuple[str, int, int, int]], q: float) -> dict[tuple[str, int], int]:
     """Benjamini-Hochberg in each stratum of encoding and length.
 
     Takes histograms (encoding, length bin, score, count) of tested tokens and of plain
-    words; a token's p-value is the share of equally long plain words that look as random.
+    words; a token's p-value is the share of equally long plain words that look as random (``null_tail``).
     Where there are few of that length, shorter ones are added, which look more random than
     longer ones and so only make a discovery harder.
     Returns the least score that counts as a discovery, where there is one.
@@ -196,9 +231,8 @@ def thresholds(tested: list[tuple[str, int, int, int]], plain: list[tuple[str, i
                     null[s] += n
             if null.sum() >= ENOUGH_WORDS:
                 break
-        above, above_null = have[::-1].cumsum()[::-1], null[::-1].cumsum()[::-1]
-        p = (1 + above_null) / (1 + null.sum())
-        ok = np.flatnonzero((p <= q * above / max(have.sum(), 1)) & (above > 0))
+        above = have[::-1].cumsum()[::-1]
+        ok = np.flatnonzero((null_tail(null) <= q * above / max(have.sum(), 1)) & (above > 0))
         if len(ok):
             out[stratum] = int(ok[0])
     return out
@@ -220,7 +254,8 @@ def scan_secrets(
     documents, a discovery at rate ``q``. The corpus side is a histogram of fixed size
     (encodings x length bins x score bins), so nothing that grows reaches the driver.
 
-    A null or empty text has no spans; equal rows get equal spans; an empty table stays
+    A null or empty text has no spans; a text of any length is scanned whole; equal rows get equal spans; spans of
+    different kinds may overlap (a random token that holds a fixed pattern has both); an empty table stays
     empty; other columns, whatever their names, aren't looked at.
     """
     udf = F.pandas_udf(examine, FOUND)

@@ -63,6 +63,31 @@ def test_random_tokens_are_added_and_words_are_not(make_docs, words):
     assert not any(v for k, v in got.items() if k != 1000)
 
 
+def test_few_keys_are_found_among_many_slugs(make_docs, words):
+    rng = random.Random(8)
+    chars = string.ascii_letters + string.digits + "+/"
+    rows = [(i, words(20, i) + " " + "therandingontherandin" + "ther" * (i % 5)) for i in range(1500)]
+    slug = lambda: "/".join("-".join(words(1, rng.random()) for _ in range(3)) for _ in range(2)) + f"-{rng.randint(1990, 2025)}"
+    rows += [(2000 + i, words(8, i) + " " + slug() + " " + slug()) for i in range(500)]
+    keys = ["".join(rng.choice(chars) for _ in range(40)) for _ in range(5)]
+    keys += ["".join(rng.choice(string.ascii_letters) for _ in range(48)) for _ in range(3)]
+    rows += [(3000 + i, f"{words(5, i)} {k} {words(5, -i)}") for i, k in enumerate(keys)]
+    got = {r["doc_id"]: r["spans"] for r in digest(scan_secrets(make_docs(rows), ["doc_id"])).collect()}
+    assert sum("random" in got[3000 + i] for i in range(len(keys))) >= len(keys) - 1
+    assert sum(bool(v) for k, v in got.items() if k < 3000) <= 2
+
+
+def test_tokens_around_a_fixed_pattern_are_tested_and_redacted_whole(make_docs, words):
+    rng = random.Random(4)
+    rows = [(i, words(20, i) + " therandingontherandin" + "ther" * (i % 5)) for i in range(1200)]
+    part = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    key = part(30) + "X" + "0123456789abcdef1" + "X" + part(30)
+    docs = make_docs([*rows, (5000, f"a {key} b")])
+    got = scan_secrets(docs, ["doc_id", "text"]).where("doc_id = 5000")
+    assert {s["kind"] for s in got.first()["spans"]} == {2, 3}
+    assert redact(got).first()["text"] == "a [SECRET] b"
+
+
 def test_discovery_rate_needs_evidence():
     plain = [("base64", 3, 0, 10_000)]
     assert thresholds([("base64", 3, 119, 5), ("base64", 3, 0, 5)], plain, 0.01)[("base64", 3)] > 0
