@@ -133,26 +133,41 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def hashed_words(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts one after the other, and the place where each text's words start.
-
-    ``split`` is "alnum" (as ``alnum_words``) or "space" (as ``space_words``). The places have one entry more than
-    there are texts. Works on the bytes of the whole column at once: a word's hash is a
-    polynomial of its bytes modulo 2^64, cut out of one running product over all bytes. A null text has no words.
-    """
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after the other, and where each text's bytes start; a null text has none."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n, (_, where, raw) = len(texts), texts.buffers()
     ends = np.frombuffer(where, dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
     data = np.frombuffer(raw, dtype=np.uint8)[ends[0] : ends[-1]] if raw is not None else np.empty(0, dtype=np.uint8)
-    ends = ends - ends[0]
+    return data, ends - ends[0]
+
+
+def word_spans(data: np.ndarray, ends: np.ndarray, split: str) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the bytes that start a word and of those inside one."""
     inside = _INSIDE[split][data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     bounds = ends[:-1][ends[:-1] < len(data)]
     first[bounds] = inside[bounds]
-    starts = np.flatnonzero(first)
+    return first, inside
+
+
+def hashed_words(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after the other, and the place where each text's words start.
+
+    ``split`` is "alnum" (as ``alnum_words``) or "space" (as ``space_words``). The places have one entry more than
+    there are texts. Works on the bytes of the whole column at once: a word's hash is a
+    polynomial of its bytes modulo 2^64, cut out of one running product over all bytes. A null text has no words.
+    """
+    data, ends = bytes_of(texts)
+    starts = np.flatnonzero(word_spans(data, ends, split)[0])
+    return hashes_at(data, starts, split), np.searchsorted(starts, ends)
+
+
+def hashes_at(data: np.ndarray, starts: np.ndarray, split: str) -> np.ndarray:
+    """Hashes of the words that start at ``starts``."""
     out = np.empty(len(starts), dtype=np.uint64)
     a = 0
     while a < len(starts):
@@ -162,7 +177,7 @@ def hashed_words(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray]:
         at = starts[a:b] - low
         out[a:b] = np.add.reduceat(_VALUES[split][data[low:high]] * up[: high - low], at) * down[at]
         a = b
-    return mix64(out), np.searchsorted(starts, ends)
+    return mix64(out)
 
 
 def slices_of(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 18) -> Iterator[pa.RecordBatch]:

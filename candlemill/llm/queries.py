@@ -53,7 +53,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    """Target proportions: each source's tokens to the power 0.7, so small sources come sooner and run dry one after the other."""
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), temperature=0.7))
 
 
 def op9_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
