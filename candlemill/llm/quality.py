@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
@@ -74,20 +75,51 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def shrinkage(groups: DataFrame) -> tuple[float, float]:
-    """(grand mean, prior weight in documents) of groups (n, s, ss): one-way random effects by moments."""
-    mean = F.col("s") / F.col("n")
-    r = groups.agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.count("*").alias("g"),
-        F.sum(F.col("n") * mean * mean).alias("nm2"), F.sum(F.col("n") * F.col("n")).alias("n2"),
+@dataclass(frozen=True)
+class Variances:
+    """Grand mean and the variances of documents within a path, of paths within a host, and of hosts."""
+
+    mean: float
+    document: float
+    path: float
+    host: float
+
+
+def variances(paths: DataFrame) -> Variances:
+    """Nested random effects by moments, from (host, path, n, s, ss): counts, sums and sums of squares.
+
+    Paths are held against their own host's mean, so what differs between hosts doesn't count as differing between paths.
+    """
+    n, m = F.col("n").cast("double"), F.col("s") / F.col("n")
+    hosts = paths.groupBy("host").agg(
+        F.sum(n).alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.count("*").alias("p"),
+        F.sum(n * m * m).alias("nm2"), F.sum(n * n).alias("n2"),
+    )
+    r = hosts.agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("p").alias("p"), F.count("*").alias("h"),
+        F.sum("nm2").alias("path2"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("host2"),
+        F.sum("n2").alias("n2"), F.sum(F.col("n2") / F.col("n")).alias("own"), F.sum(F.col("n") * F.col("n")).alias("hosts"),
     ).first()
     if not r["n"]:
-        return 0.5, 1.0
-    n, g = float(r["n"]), float(r["g"])
-    mu = r["s"] / n
-    within = max((r["ss"] - r["nm2"]) / max(n - g, 1.0), 1e-6)
-    between = (r["nm2"] - n * mu * mu - (g - 1) * within) / max(n - r["n2"] / n, 1e-9) if g > 1 else 0.0
-    return mu, float(np.clip(within / max(between, 1e-9), 1.0, 1e6))
+        return Variances(0.5, 1.0, 0.0, 0.0)
+    total, mean = r["n"], r["s"] / r["n"]
+    document = max((r["ss"] - r["path2"]) / max(total - r["p"], 1.0), 1e-6)
+    path = max((r["path2"] - r["host2"] - (r["p"] - r["h"]) * document) / max(total - r["own"], 1e-9), 0.0) if r["p"] > r["h"] else 0.0
+    spread = r["host2"] - total * mean * mean - (r["h"] - 1) * document - path * (r["own"] - r["n2"] / total)
+    host = max(spread / max(total - r["hosts"] / total, 1e-9), 0.0) if r["h"] > 1 else 0.0
+    return Variances(mean, document, path, host)
+
+
+def posteriors(paths: DataFrame, v: Variances) -> DataFrame:
+    """(host, path, host_posterior, path_posterior): means shrunk toward the grand mean and the host's, the more the less they rest on."""
+    n = F.col("n").cast("double")
+    hosts = paths.groupBy("host").agg(F.sum(n).alias("all"), F.sum("s").alias("sum"), F.sum(n * n).alias("n2"))
+    noise = v.document / F.col("all") + v.path * F.col("n2") / (F.col("all") * F.col("all"))
+    trust = F.lit(v.host) / (F.lit(v.host) + noise)
+    hosts = hosts.select("host", (trust * F.col("sum") / F.col("all") + (1 - trust) * v.mean).alias("host_posterior"))
+    trust = F.lit(v.path) / (F.lit(v.path) + v.document / n)
+    own = trust * F.col("s") / n + (1 - trust) * F.col("host_posterior")
+    return paths.join(hosts, "host").select("host", "path", "host_posterior", own.alias("path_posterior"))
 
 
 def judge(
@@ -99,19 +131,20 @@ def judge(
     train_rows: int = TRAIN_ROWS,
     threshold: float = THRESHOLD,
     prefix: str = "quality_",
+    train: DataFrame | None = None,
 ) -> DataFrame:
     """Quality of every whole text: classifier evidence with the posteriors of its host and path.
 
     A logistic classifier over surface shares learns from at most ``train_rows`` labelled
-    rows. Its probabilities are summed over all documents of each (host, path). A host's
+    rows of ``train`` (default: of ``docs``). Its probabilities are summed over all documents of each (host, path). A host's
     posterior is its mean shrunk toward the global mean, a path's is its mean shrunk toward its host's;
-    how strongly follows from the variances between and within groups, so a site of few
+    how strongly follows from the variances of hosts, of paths within a host and of documents within a path, so a site of few
     documents says little. The score is the document's log-odds moved by the path's
     log-odds over the global ones.
 
     An empty or null text, or one of white space, has score 0; null hosts and paths are groups of their
     own; without labels of both kinds every other text has the evidence 0.5 and is kept;
-    conflicting labels of one doc_id count as low; equal rows get equal scores; an empty
+    conflicting labels of one doc_id count as low; texts of any length are measured whole; equal rows get equal scores; an empty
     table gives no rows. Returns the columns ``keep`` (which must hold doc_id) with evidence,
     host_posterior, path_posterior, score and kept, their names after ``prefix``, which no name in
     ``keep`` may start with; other columns aren't looked at.
@@ -125,7 +158,7 @@ def judge(
     def measure(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
+    sample = (docs if train is None else train).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
     sample = sample.select("doc_id", measure("text").alias("x"), "quality").orderBy("doc_id", "x").collect()  # 13 numbers a row
     rows = [(r["x"], r["quality"]) for r in sample]
     model = classifier(rows) if len({y for _, y in rows}) == 2 else None
@@ -155,18 +188,11 @@ def judge(
         F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss")
     )
     paths = materialize(paths, "paths")
-    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")])
-    mu, host_weight = shrinkage(hosts)
-    _, path_weight = shrinkage(paths)
-    hosts = hosts.select(
-        "host", ((F.col("s") + F.lit(host_weight * mu)) / (F.col("n") + F.lit(host_weight))).alias("host_posterior")
-    )
-    sites = paths.join(hosts, "host").select(
-        F.col("host").alias(f"{prefix}host"), F.col("path").alias(f"{prefix}path"), F.col("host_posterior").alias(f"{prefix}host_posterior"),
-        ((F.col("s") + F.lit(path_weight) * F.col("host_posterior")) / (F.col("n") + F.lit(path_weight))).alias(f"{prefix}path_posterior"),
-    )
+    v = variances(paths)
+    sites = posteriors(paths, v)
+    sites = sites.select(*[F.col(c).alias(f"{prefix}{c}") for c in sites.columns])
     joined = scored.join(small_broadcast(sites, paths.count(), BROADCAST_ROWS), [f"{prefix}host", f"{prefix}path"])
-    odds = _logit(p) + _logit(F.col(f"{prefix}path_posterior")) - _logit(F.lit(mu))
+    odds = _logit(p) + _logit(F.col(f"{prefix}path_posterior")) - _logit(F.lit(v.mean))
     score = F.when(F.col(f"{prefix}blank"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds)))
     return (
         joined.withColumn(f"{prefix}score", score)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, embedding_dedup, langid, licenses, minhash_dedup, packing, quality, secrets, sharding, toxicity
@@ -68,8 +68,25 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(c).alias(c.removeprefix("quality_")) for c in judged.columns[1:]])
 
 
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its score by real sites: the host and the first directory of its address; learned from ``documents``."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", page_text(F.col("html")).alias("text"))
+    directory = F.regexp_extract(F.try_parse_url("url", F.lit("PATH")), "^/([^/]*)", 1)
+    judged = quality.judge(
+        pages, table(spark, sf_dir, "labels"), ["doc_id"], F.lower(F.try_parse_url("url", F.lit("HOST"))), directory,
+        train=table(spark, sf_dir, "documents"),
+    )
+    return judged.select(F.col("doc_id").alias("page_id"), *[F.col(c).alias(c.removeprefix("quality_")) for c in judged.columns[1:]])
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles, comments and tags."""
+    hidden = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(hidden, "<[^>]*>", "\n"), "\\s*\\n\\s*", "\n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op4_latent_decontamination, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id, op10_site_quality)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op4_latent_decontamination, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id, op10_site_quality, page_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
