@@ -4,40 +4,56 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import KEY, ORDER
+from .columns import KEY, ORDER, by_series
 
 BLOCK = 256
+#: A row so many times older than 1 / -ln(1 - alpha) weighs less than 1e-17.
+AGES = 39.2
 
 
-def ewm(df: DataFrame, value: str, alpha: float, out: str, key: str = KEY, order: str = ORDER) -> DataFrame:
-    """Adds the weighted mean of ``value`` up to each row with weights (1 - alpha) ** age, nulls left out.
+def ewm(df: DataFrame, means: dict[str, tuple[str, float]], key: str = KEY, order: str = ORDER) -> DataFrame:
+    """Adds for each name the weighted mean of a column up to each row with weights (1 - alpha) ** age, nulls left out.
 
     ``order`` counts from 1. The recursion num = x + (1 - alpha) num is a sum of x scaled
     by a power of 1 / (1 - alpha), which overflows on long series; so rows are dealt into
     blocks of 256, each summed by itself, and what earlier blocks still weigh is added: as many of
-    them as matter to 1e-17. A series of any length is thus many short windows.
+    them as matter to 1e-17. The sum of the block before is that of the last row before which ended one, so one
+    partitioning by ``key`` serves all windows. A series of any length is thus many short windows.
     """
-    decay = 1 - alpha
-    back = math.ceil(39.2 / (BLOCK * -math.log(decay)))
-    block, inside = F.expr(f"({order} - 1) div {BLOCK}"), (F.col(order) - 1) % BLOCK
-    num, den, b, i = f"__{out}_num", f"__{out}_den", f"__{out}_block", f"__{out}_at"
-    df = df.withColumn(b, block).withColumn(i, inside.cast("double"))
-    own = Window.partitionBy(key, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    scale, there = F.pow(F.lit(decay), -F.col(i)), F.col(value).isNotNull()
-    df = df.withColumn(num, F.sum(F.when(there, F.col(value) * scale)).over(own) / scale)
-    df = df.withColumn(den, F.sum(F.when(there, scale)).over(own) / scale)
-    ends = df.groupBy(key, b).agg(F.max_by(num, order).alias("__n"), F.max_by(den, order).alias("__d"))
-    over = Window.partitionBy(key).orderBy(b)
-    carried = [
-        (sum((F.coalesce(F.lag(c, j).over(over), F.lit(0.0)) * decay ** (BLOCK * (j - 1)) for j in range(1, back + 1)), F.lit(0.0)))
-        for c in ("__n", "__d")
-    ]
-    before = ends.select(key, b, carried[0].alias("__pn"), carried[1].alias("__pd"))
-    late = F.pow(F.lit(decay), F.col(i) + 1)
-    total_n = F.coalesce(F.col(num), F.lit(0.0)) + F.col("__pn") * late
-    total_d = F.coalesce(F.col(den), F.lit(0.0)) + F.col("__pd") * late
-    joined = df.join(before, [key, b])
-    return joined.withColumn(out, F.when(total_d > 0, total_n / total_d)).drop(num, den, b, i, "__pn", "__pd")
+    names = [*df.columns, *means]
+    at, block = (F.col(order) - 1) % BLOCK, F.expr(f"({order} - 1) div {BLOCK}")
+    df = df.withColumns({"__block": block, "__at": at.cast("double")})
+    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums: dict[str, Column] = {}
+    for out, (value, alpha) in means.items():
+        scale, there = F.pow(F.lit(1 - alpha), -F.col("__at")), F.col(value).isNotNull()
+        sums[f"__{out}_n0"] = F.coalesce(F.sum(F.when(there, F.col(value) * scale)).over(inside) / scale, F.lit(0.0))
+        sums[f"__{out}_d0"] = F.coalesce(F.sum(F.when(there, scale)).over(inside) / scale, F.lit(0.0))
+    df = df.withColumns(sums)
+    back = {out: math.ceil(AGES / (BLOCK * -math.log(1 - alpha))) for out, (_, alpha) in means.items()}
+    earlier = by_series(key, order).rowsBetween(Window.unboundedPreceding, -1)
+    for j in range(1, max(back.values()) + 1):  # what the j-th block before this one ended with
+        df = df.withColumns(
+            {
+                f"__{out}_{x}{j}": F.coalesce(F.last(F.when(F.col("__at") == BLOCK - 1, F.col(f"__{out}_{x}{j - 1}")), ignorenulls=True).over(earlier), F.lit(0.0))
+                for out in means
+                if j <= back[out]
+                for x in "nd"
+            }
+        )
+
+    def total(out: str, x: str) -> Column:
+        decay = 1 - means[out][1]
+        weight = lambda j: F.pow(F.lit(decay), F.col("__at") + 1 + BLOCK * (j - 1))
+        return sum((F.col(f"__{out}_{x}{j}") * weight(j) for j in range(1, back[out] + 1)), F.col(f"__{out}_{x}0"))
+
+    done = {out: F.when(total(out, "d") > 0, total(out, "n") / total(out, "d")) for out in means}
+    return df.withColumns(done).select(*names)
+
+
+def rows_that_weigh(*alphas: float) -> int:
+    """How many of the last rows make up a mean, or a mean of means, to 1e-17."""
+    return sum(math.ceil(AGES / -math.log(1 - a)) for a in alphas)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -20,3 +20,10 @@ def work_path(spark: SparkSession, name: str) -> str:
         folder = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="candlemill-")
         _LOCAL[app] = folder
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the work folder and reads it back, so that what several results build on is computed once."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlemill.functions.arrays import resample
+from candlemill.functions.columns import KEY
 from candlemill.functions.ewm import ewm
 from candlemill.operators import cleaning, discovery, evaluation, indicators, matching, recognition, serving
 from candlemill.sources import bars as sources
@@ -31,7 +32,7 @@ def test_ewm_is_that_of_pandas_on_long_series(spark, alpha):
     closes = walk(1500)
     closes[[0, 5, 700]] = np.nan
     df = make(spark, closes).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
-    got = [r["e"] for r in ewm(df, "close", alpha, "e").orderBy("seq").collect()]
+    got = [r["e"] for r in ewm(df, {"e": ("close", alpha)}).orderBy("seq").collect()]
     want = pd.Series(closes).ewm(alpha=alpha, adjust=True).mean()
     assert got[0] is None
     np.testing.assert_allclose(np.array(got[1:], dtype=float), want[1:], rtol=1e-10)
@@ -73,6 +74,54 @@ def test_zigzag_alternates():
     assert indicators.zigzag_pivots(high[:1], high[:1], 0.05) == []
 
 
+def test_zigzag_is_that_of_a_bar_by_bar_machine():
+    def machine(high, low, t):
+        out, sign, at, price = [], 1, 0, high[0]
+        for i, (h, l) in enumerate(zip(high, low)):
+            ahead, behind = (h, l) if sign > 0 else (l, h)
+            if i and sign * ahead > sign * price:
+                at, price = i, ahead
+            elif i and sign * behind < sign * price * (1 - sign * t):
+                out.append((at, price, sign))
+                sign, at, price = -sign, i, behind
+        return [*out, (at, price, sign)]
+
+    for seed in range(8):
+        mid = walk(700, seed)
+        high, low = mid * 1.01, mid * 0.985
+        assert indicators.zigzag_pivots(high, low, 0.04) == machine(high, low, 0.04)
+
+
+def test_zigzag_takes_ids_of_any_type(spark):
+    bars = make(spark, walk(200)).union(make(spark, walk(150, 1), 2))
+    want = [tuple(r)[1:] for r in indicators.zigzag(bars).orderBy(KEY, "seq").collect()]
+    named = bars.withColumn(KEY, F.concat(F.lit("s"), KEY))
+    got = [tuple(r) for r in indicators.zigzag(named).orderBy(KEY, "seq").collect()]
+    assert [r[1:] for r in got] == want and {r[0] for r in got} == {"s1", "s2"}
+    for nulled in (bars, named):
+        lost = indicators.zigzag(nulled.withColumn(KEY, F.when(F.col(KEY).cast("string").endswith("1"), F.col(KEY))))
+        assert lost.where(f"{KEY} is null").count() > 0 and lost.where(f"{KEY} is not null").count() > 0
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 8, 9, 12, 40])
+def test_shape_features_are_those_of_numpy(spark, n):
+    x = np.round(walk(n, n), 2)
+    got = [r["value"] for r in indicators.shape_features(spark.createDataFrame([(1, x.tolist()), (2, []), (3, None)], "series_id long, tail array<double>")).orderBy("pos").collect()]
+    s = (x - x.mean()) / (x.std() + 1e-10)
+    want = [0.0, 1.0, s.max(), s.min()]
+    for size, hop in ((5, 2), (10, 5)):
+        for w in np.lib.stride_tricks.sliding_window_view(s, size)[::hop] if n >= size else []:
+            want += [w.mean(), w.std(), w[-1] - w[0]]
+    if n >= 8:
+        power = np.abs(np.fft.rfft(s))[: n // 2]
+        want += [power[0], power[1:4].mean(), power[4:].mean() if n // 2 > 4 else 0.0]
+    wide = np.concatenate([[np.nan] * 2, s, [np.nan] * 2])
+    near = np.array([wide[j : j + n] for j in (0, 1, 3, 4)])
+    inner = (np.arange(n) > 0) & (np.arange(n) < n - 1)
+    tops, bottoms = ((inner & ~(sign * s <= sign * near).any(axis=0)).sum() for sign in (1, -1))
+    np.testing.assert_allclose(got, [*want, tops, bottoms, tops + bottoms], atol=1e-8)
+
+
 def test_cleaning_order_hides_a_good_duplicate(spark):
     raw = make(spark, [10, 11, 12]).withColumn("ingest_seq", F.col("seq") * 2).withColumn("pct_chg", F.lit(1.0))
     again = raw.where("seq = 2").withColumn("ingest_seq", F.lit(5).cast("long"))
