@@ -1,4 +1,4 @@
-"""End-to-end jobs: recognition over the whole market, and backtest to expectancy."""
+"""End-to-end jobs: discovery and recognition over the whole market, and backtest to expectancy."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY
-from ..operators import cleaning, evaluation, recognition
+from ..functions.storage import stored
+from ..operators import cleaning, discovery, evaluation, indicators, matching, recognition
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,14 @@ class Config:
     min_expectancy: float = 0.0
     min_samples: int = evaluation.MIN_SAMPLES
     holdings: tuple[int, ...] = evaluation.HOLDINGS
+    window_bars: int = 8
+    max_clusters: int = 10
+    min_frequency: int = 3
+
+
+LIBRARY = ("pattern_id", "complexity", "frequency", "prototype")
+#: A list of series up to this many is broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def batch_recognize(raw_bars: DataFrame, library: DataFrame, expectancy: DataFrame, config: Config = Config()) -> DataFrame:
@@ -36,12 +45,34 @@ def batch_recognize(raw_bars: DataFrame, library: DataFrame, expectancy: DataFra
 
 
 def backtest(trades: DataFrame, old_expectancy: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Slice metrics, pattern reports and the updated expectancy table."""
-    priced = evaluation.trade_returns(trades)
-    metrics = evaluation.slice_metrics(priced, config.holdings, config.min_samples)
+    """Slice metrics (computed once), pattern reports and the updated expectancy table."""
+    priced = evaluation.trade_returns(trades) if "return_pct" not in trades.columns else trades
+    metrics = stored(evaluation.slice_metrics(priced, config.holdings, config.min_samples), "metrics")
     report = evaluation.pattern_report(priced, metrics)
     return metrics, report, evaluation.update_expectancy(old_expectancy, report)
 
 
+def backtest_history(
+    bars: DataFrame, library: DataFrame, old_expectancy: DataFrame, holding: int = 5, threshold: float = 0.9, config: Config = Config()
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Backtest of the trades that come from matching the library with the whole history; they count in every market."""
+    return backtest(stored(matching.history_trades(bars, library, holding, threshold), "trades"), old_expectancy, config)
+
+
+def discover(raw_bars: DataFrame, library: DataFrame, config: Config = Config()) -> DataFrame:
+    """The library with the patterns found in a market: cleaned bars, feature vectors of series fit for it, clusters of short windows and of vectors.
+
+    New patterns replace old ones of their id.
+    """
+    bars = stored(cleaning.clean_bars(raw_bars), "bars")
+    vectors = stored(indicators.feature_vector(bars), "features")
+    fit = stored(discovery.eligible_series(bars, vectors, config.least_bars).where("eligible").select(KEY), "eligible")
+    chosen = vectors.join(F.broadcast(fit) if fit.count() <= MOST_BROADCAST else fit, KEY, "left_semi")
+    tails = indicators.tail_array(bars.join(fit, KEY, "left_semi"), config.window_bars)
+    short = discovery.discover_simple(tails.select(KEY, indicators.scaled(F.col("tail")).alias("tail")), config.max_clusters, config.min_frequency)
+    found = short.select(*LIBRARY).unionByName(discovery.discover_composite(chosen, config.max_clusters, config.min_frequency).select(*LIBRARY))
+    return discovery.merge_library(library.select(*LIBRARY), found)
+
+
 def scan_report(signals: DataFrame, min_confidence: float = 0.65, n: int = 10) -> DataFrame:
     return recognition.market_scan(signals.where(F.col("pattern_id").isNotNull()), min_confidence, n)

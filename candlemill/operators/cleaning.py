@@ -105,9 +105,22 @@ def walk_forward_splits(
     )
 
 
+def numbered_by_date(rows: DataFrame, key: str, date: str, then: str) -> DataFrame:
+    """Adds ``seq``, each row's number within its key by date and ``then``.
+
+    Rows are numbered within a date, and a date's rows before it are counted from one row a date, so a key's rows needn't meet in one task.
+    """
+    days = rows.groupBy(key, date).agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy(key).orderBy(date).rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(F.col(key).alias("__key"), F.col(date).alias("__date"), F.coalesce(before, F.lit(0).cast("long")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(key, date).orderBy(then))
+    own = rows.withColumn("__at", inside).join(days, F.col(key).eqNullSafe(F.col("__key")) & F.col(date).eqNullSafe(F.col("__date")))
+    return own.withColumn("seq", F.col("__before") + F.col("__at")).drop("__at", "__before", "__key", "__date")
+
+
 def robustness_summary(trades: DataFrame, key: str = "pattern_id", n_splits: int = 5, min_train: int = 100) -> DataFrame:
     """Mean and population deviation over walk-forward test parts of the mean trade return; 0 without parts."""
-    numbered = trades.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("entry_date", "series_id")).cast("long"))
+    numbered = numbered_by_date(trades, key, "entry_date", "series_id")
     splits = walk_forward_splits(numbered, key=key, n_splits=n_splits, min_train=min_train)
     inside = (F.col("seq") > F.col("n_train")) & (F.col("seq") <= F.col("n_train") + F.col("n_test"))
     scores = numbered.join(splits, key).where(inside).groupBy(key, "split").agg(F.avg("return_pct").alias("score"))

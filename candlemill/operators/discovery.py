@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import euclidean_distance, resample
 from ..functions.columns import KEY
+from ..functions.storage import stored
 from .indicators import local_extrema
 
-#: Average linkage holds a distance matrix, so it runs on at most this many windows.
+#: Average linkage holds a distance matrix, so it runs on at most this many cells of windows.
 MOST_LINKED = 2_000
 
 
@@ -86,12 +87,12 @@ def dtw_similarity(pairs: DataFrame, radius: int = 3) -> DataFrame:
     return pairs.withColumn("similarity", F.greatest(F.lit(0.0), 1 - dtw(F.col("va"), F.col("vb"), radius) / far))
 
 
-def average_linkage(distance: np.ndarray, clusters: int) -> np.ndarray:
-    """Labels 0.. of average-linkage clusters of a full distance matrix."""
-    n = len(distance)
+def average_linkage(distance: np.ndarray, clusters: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Labels 0.. of average-linkage clusters of a full distance matrix; a point of weight n counts as n equal ones."""
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
+    size = np.ones(len(d)) if weight is None else weight.astype(float).copy()
+    label, alive = np.arange(len(d)), len(d)
     while alive > clusters:
         i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
         merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
@@ -104,37 +105,44 @@ def average_linkage(distance: np.ndarray, clusters: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def discover_simple(windows: DataFrame, max_clusters: int = 10, min_freq: int = 3, key: str = KEY, values: str = "tail") -> DataFrame:
-    """L2 patterns from short windows: average linkage on a bounded sample, every window to its nearest prototype.
+def shape_cells(windows: DataFrame, values: str, most: int) -> DataFrame:
+    """Adds ``cell``: equal windows share one; if that makes more than ``most``, windows that are equal on a coarser grid, as fine as can be."""
+    for levels in (None, 64, 32, 16, 8, 4, 2, 1):
+        shape = F.col(values) if levels is None else F.transform(values, lambda x: F.round(x * levels))
+        out = windows.withColumn("cell", F.xxhash64(F.size(values), shape))
+        if out.select("cell").distinct().count() <= most:
+            break
+    return out
 
-    At most ``MOST_LINKED`` windows (in hash order) build the tree; all windows are assigned and counted.
+
+def discover_simple(
+    windows: DataFrame, max_clusters: int = 10, min_freq: int = 3, key: str = KEY, values: str = "tail", most: int = MOST_LINKED
+) -> DataFrame:
+    """L2 patterns from windows scaled to 0..1: average linkage by warped distance, prototypes of the median length.
+
+    Every window counts. Equal windows are one cell with its count; if there are more than ``most`` cells, windows join cells on a
+    grid, as fine as that bound allows, whose mean stands for them. Distances between cells come from Spark, the tree is built from the bounded matrix
+    with the counts as weights. Null and empty windows are left out; fewer windows than two clusters need give no rows.
     """
-    sample = windows.orderBy(F.xxhash64(key), key).limit(MOST_LINKED).collect()
-    sample.sort(key=lambda r: r[key])
-    n = len(sample)
-    k = min(max_clusters, n // min_freq)
     spark = windows.sparkSession
-    schema = "pattern_id string, complexity int, frequency long, prototype array<double>, avg_length double, length_std double"
+    windows = stored(shape_cells(windows.where(F.size(values) > 0).select(key, values), values, most), "windows")
+    spots = windows.select("cell", F.posexplode(values).alias("pos", "value")).groupBy("cell", "pos").agg(F.avg("value").alias("value"))
+    cells = stored(vectors_of(spots, "cell").withColumnRenamed("vector", values), "cells")
+    counts = windows.groupBy("cell").count().orderBy("cell").collect()
+    place = {r["cell"]: i for i, r in enumerate(counts)}
+    k = min(max_clusters, sum(r["count"] for r in counts) // min_freq, len(counts))
     if k < 2:
-        return spark.createDataFrame([], schema)
-    arrays = [np.asarray(r[values], dtype=float) for r in sample]
-    distance = np.zeros((n, n))
-    for i in range(n):
-        for size in {len(a) for a in arrays[i + 1 :]}:
-            js = [j for j in range(i + 1, n) if len(arrays[j]) == size]
-            distance[i, js] = dtw_batch(np.repeat(arrays[i][None], len(js), axis=0), np.stack([arrays[j] for j in js]), 1)
-    labels = average_linkage(distance + distance.T, k)
-    middle = []
-    for c in range(k):
-        own = [a for a, lab in zip(arrays, labels) if lab == c]
-        size = int(np.median([len(a) for a in own]))
-        middle.append((c, [float(x) for x in np.mean([np.interp(np.linspace(0, len(a) - 1, size), np.arange(len(a)), a) for a in own], axis=0)]))
-    centres = spark.createDataFrame(middle, "cluster int, prototype array<double>")
-    pairs = windows.join(F.broadcast(centres))
-    near = pairs.withColumn("gap", euclidean_distance(resample(F.col(values), F.size("prototype")), F.col("prototype")))
-    nearest = near.groupBy(key).agg(F.min_by("cluster", F.struct("gap", "cluster")).alias("cluster"), F.first(F.size(values)).alias("length"))
-    found = nearest.groupBy("cluster").agg(F.count("*").alias("frequency"), F.avg("length").alias("avg_length"), F.stddev_pop("length").alias("length_std"))
-    return found.where(F.col("frequency") >= min_freq).join(F.broadcast(centres), "cluster").select(
+        return spark.createDataFrame([], "pattern_id string, complexity int, frequency long, prototype array<double>, avg_length double, length_std double")
+    distance = np.zeros((len(counts), len(counts)))
+    pairs = pairwise_dtw(cells.repartition(spark.sparkContext.defaultParallelism), "cell", values).toArrow()
+    a, b = ([place[c] for c in pairs.column(x).to_pylist()] for x in "ab")
+    distance[a, b] = distance[b, a] = pairs.column("distance").to_numpy()
+    labels = average_linkage(distance, k, np.array([r["count"] for r in counts]))
+    named = spark.createDataFrame([(r["cell"], int(c)) for r, c in zip(counts, labels)], "cell long, cluster int")
+    members = windows.join(F.broadcast(named), "cell").withColumn("__length", F.size(values))
+    found = members.groupBy("cluster").agg(F.count("*").alias("frequency"), F.avg("__length").alias("avg_length"), F.stddev_pop("__length").alias("length_std"))
+    prototypes = vectors_of(barycenter(members, values), "cluster").withColumnRenamed("vector", "prototype")
+    return found.where(F.col("frequency") >= min_freq).join(prototypes, "cluster").select(
         F.format_string("L2-%03d", "cluster").alias("pattern_id"), F.lit(2).alias("complexity"), "frequency", "prototype", "avg_length", "length_std"
     )
 
@@ -172,10 +180,15 @@ def kmeans(vectors: DataFrame, k: int, seeds: range = range(42, 52), column: str
 
 
 def assign_to_centres(vectors: DataFrame, centres: DataFrame, key: str = KEY, column: str = "vector") -> DataFrame:
-    """Nearest centre of every vector (of equally near ones the first) and the distance."""
-    gap = euclidean_distance(F.col(column), F.col("centre"))
-    pairs = vectors.join(F.broadcast(centres)).withColumn("gap", gap)
-    return pairs.groupBy(key).agg(F.min_by("cluster", F.struct("gap", "cluster")).alias("cluster"), F.min("gap").alias("distance"))
+    """Nearest centre of every vector (of equally near ones the first) and the distance, a row for each row.
+
+    The centres, a few, come along as one array; nothing is shuffled.
+    """
+    one = centres.agg(F.collect_list(F.struct("cluster", "centre")).alias("__centres"))
+    gaps = F.transform("__centres", lambda c: F.struct(euclidean_distance(F.col(column), c["centre"]).alias("gap"), c["cluster"].alias("cluster")))
+    return vectors.join(F.broadcast(one)).withColumn("__near", F.array_min(gaps)).select(
+        key, F.col("__near.cluster").alias("cluster"), F.col("__near.gap").alias("distance")
+    )
 
 
 def frequent_clusters(assigned: DataFrame, min_freq: int) -> DataFrame:
@@ -183,9 +196,12 @@ def frequent_clusters(assigned: DataFrame, min_freq: int) -> DataFrame:
 
 
 def discover_composite(vectors: DataFrame, max_clusters: int = 10, min_freq: int = 3) -> DataFrame:
-    """L3 patterns: k-means on standardised feature vectors, frequent clusters only (ids keep gaps)."""
-    arrays = vectors_of(standardise_features(vectors)).persist()
-    k = min(max_clusters, max(2, arrays.count() // min_freq))
+    """L3 patterns: k-means on standardised feature vectors, frequent clusters only (ids keep gaps); none from fewer than two vectors."""
+    arrays = stored(vectors_of(standardise_features(vectors)), "vectors")
+    n = arrays.count()
+    if n < 2:
+        return arrays.sparkSession.createDataFrame([], "pattern_id string, complexity int, frequency long, prototype array<double>")
+    k = min(max_clusters, max(2, n // min_freq))
     centres = kmeans(arrays, k)
     frequent = frequent_clusters(assign_to_centres(arrays, centres), min_freq)
     return frequent.join(centres, "cluster").select(
@@ -220,7 +236,7 @@ def representatives(vectors: DataFrame, centres: DataFrame, min_freq: int = 3) -
 
 def cluster_complex(features: DataFrame, max_clusters: int = 10, min_freq: int = 3) -> DataFrame:
     """L4 patterns: k-means on plain turning-point features; each candidate for itself if no cluster is frequent."""
-    arrays = complex_vectors(features)
+    arrays = stored(complex_vectors(features), "turning-points")
     n = arrays.count()
     single = arrays.select(F.concat(F.lit("L4-"), F.col(KEY)).alias("pattern_id"), F.lit(1).cast("long").alias("cluster_size"), F.col(KEY).alias("representative"))
     k = min(max_clusters, n // min_freq)

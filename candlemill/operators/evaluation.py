@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Boards, strategies, holding periods, costs, weights of the scores, ratings.
 MARKETS = ("main", "growth", "star", "north")
 STRATEGIES = ("chase", "oversold", "trend", "range")
 HOLDINGS = (1, 3, 5, 10, 20)
@@ -74,21 +75,36 @@ def holding_return(trades: DataFrame, holdings: tuple[int, ...] = HOLDINGS) -> D
     return each_holding(trades, holdings).withColumn("holding_return", value)
 
 
-def losses_in_a_row(rows: DataFrame, keys: tuple[str, ...] = SLICE, order: tuple[str, ...] = ("entry_date", "series_id")) -> DataFrame:
-    """Longest run of negative returns of each group (rows without a return left out)."""
-    rows = rows.where("return_pct is not null").withColumn("__loss", F.col("return_pct") < 0)
-    every, same = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys, "__loss").orderBy(*order)
-    island = F.row_number().over(every) - F.row_number().over(same)
-    runs = rows.withColumn("__island", island).groupBy(*keys, "__loss", "__island").count()
-    return runs.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("__loss"), F.col("count"))), F.lit(0)).alias("consecutive_losses"))
+def ordered_risk(rows: DataFrame, keys: tuple[str, ...] = SLICE, date: str = "entry_date", then: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """Deepest fall of the running sum of returns below its highest value so far, and the longest run of losses, of each group.
 
+    Both combine over stretches of time, so a group is summed up month by month, in as many tasks as there are months, and
+    one fold over its months (few, whatever the number of trades) joins them. Rows without a return are left out.
+    """
+    rows = rows.where("return_pct is not null").withColumn("__month", F.trunc(date, "month"))
+    w = Window.partitionBy(*keys, "__month").orderBy(date, *then).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__sum": F.sum("return_pct").over(w), "__n": F.count("*").over(w)})
+    won = F.when(F.col("return_pct") >= 0, F.col("__n"))
+    rows = rows.withColumns({"__top": F.max("__sum").over(w), "__run": F.col("__n") - F.coalesce(F.max(won).over(w), F.lit(0).cast("long"))})
+    months = rows.groupBy(*keys, "__month").agg(
+        F.max_by("__sum", "__n").alias("sum"), F.max("__sum").alias("top"), F.min("__sum").alias("low"), F.min(F.col("__sum") - F.col("__top")).alias("fall"),
+        F.count("*").alias("n"), (F.coalesce(F.min(won) - 1, F.count("*"))).alias("lead"), F.max_by("__run", "__n").alias("tail"), F.max("__run").alias("longest"),
+    )
+    parts = ("sum", "top", "low", "fall", "n", "lead", "tail", "longest")
+    whole = months.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__month", *parts))).alias("__months"))
+    bare = F.transform("__months", lambda m: F.struct(*[m[c].alias(c) for c in parts]))
 
-def drawdowns(rows: DataFrame, keys: tuple[str, ...] = SLICE, order: tuple[str, ...] = ("entry_date", "series_id")) -> DataFrame:
-    """Deepest fall of the running sum of returns below its highest value so far."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.where("return_pct is not null").withColumn("__sum", F.sum("return_pct").over(w))
-    rows = rows.withColumn("__fall", F.col("__sum") - F.max("__sum").over(w))
-    return rows.groupBy(*keys).agg(F.min("__fall").alias("max_drawdown"))
+    def join(a: Column, b: Column) -> Column:
+        return F.struct(
+            (a["sum"] + b["sum"]).alias("sum"), F.greatest(a["top"], a["sum"] + b["top"]).alias("top"), F.least(a["low"], a["sum"] + b["low"]).alias("low"),
+            F.least(a["fall"], b["fall"], a["sum"] + b["low"] - a["top"]).alias("fall"), (a["n"] + b["n"]).alias("n"),
+            F.when(a["lead"] < a["n"], a["lead"]).otherwise(a["n"] + b["lead"]).alias("lead"),
+            F.when(b["tail"] < b["n"], b["tail"]).otherwise(b["n"] + a["tail"]).alias("tail"),
+            F.greatest(a["longest"], b["longest"], a["tail"] + b["lead"]).alias("longest"),
+        )
+
+    whole = whole.withColumn("__all", F.reduce(F.slice(bare, 2, F.greatest(F.size("__months") - 1, F.lit(0))), bare[0], join))
+    return whole.select(*keys, F.col("__all.fall").alias("max_drawdown"), F.col("__all.longest").alias("consecutive_losses"))
 
 
 def slice_statistics(rows: DataFrame, keys: tuple[str, ...] = SLICE) -> DataFrame:
@@ -118,11 +134,15 @@ def slice_metrics(trades: DataFrame, holdings: tuple[int, ...] = HOLDINGS, min_s
     once per (pattern, market, strategy) and repeated last.
     """
     rows = slice_rows(trades)
-    stats = slice_statistics(rows).join(drawdowns(rows), list(SLICE), "left").join(losses_in_a_row(rows), list(SLICE), "left")
+    stats = figures_of(slice_statistics(rows).join(ordered_risk(rows), list(SLICE), "left"), min_samples)
+    return with_sharpe(each_holding(stats, holdings))
+
+
+def figures_of(stats: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
     valid = (F.col("n_rows") >= min_samples) & (F.col("sample_size") > 0)
     reason = F.when(F.col("n_rows") < min_samples, "too few rows").when(F.col("sample_size") == 0, "no returns").otherwise("ok")
     cost = (2 * COMMISSION + 2 * SLIPPAGE) * 100
-    out = stats.withColumns(
+    return stats.withColumns(
         {
             "valid": valid,
             "reason": reason,
@@ -131,9 +151,13 @@ def slice_metrics(trades: DataFrame, holdings: tuple[int, ...] = HOLDINGS, min_s
             "net_expectancy": F.col("avg_return") - cost,
         }
     )
+
+
+def with_sharpe(figures: DataFrame) -> DataFrame:
+    """Needs avg_return, volatility and holding."""
     yearly = F.sqrt(252 / F.greatest(F.col("holding"), F.lit(1)))
     sharpe = F.when(F.col("volatility") > 0, F.col("avg_return") / (F.col("volatility") + 1e-10) * yearly).otherwise(0.0)
-    return each_holding(out, holdings).withColumn("sharpe_ratio", sharpe)
+    return figures.withColumn("sharpe_ratio", sharpe)
 
 
 def scenario() -> Column:
@@ -150,7 +174,7 @@ def first_day(exact: bool) -> Column:
 
 
 def pattern_score(metrics: DataFrame, weights: dict[str, float] | None = None, exact_period: bool = False) -> DataFrame:
-    """Six scores in 0..1 over a pattern's valid slices, their weighted sum, rating and advice."""
+    """Six scores in 0..1 over a pattern's valid slices, their weighted sum, rating and advice; trades and means beside them."""
     weights = weights or WEIGHTS
     early = F.avg(F.when(first_day(exact_period), F.col("expectancy")))
     scores = metrics.where("valid").groupBy("pattern_id").agg(
@@ -160,6 +184,7 @@ def pattern_score(metrics: DataFrame, weights: dict[str, float] | None = None, e
         unit(1 + F.avg("max_drawdown") / 20).alias("risk_control"),
         F.least(F.lit(1.0), F.sum("sample_size") / 500).alias("capacity"),
         F.coalesce(unit(early / 3 + 0.5), F.lit(0.5)).alias("timeliness"),
+        F.sum("sample_size").alias("total_trades"), (F.avg("win_rate") * 100).alias("avg_win_rate"), F.avg("expectancy").alias("avg_expectancy"),
     )
     score = sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))
     return rate(scores.withColumn("score", score))
@@ -201,10 +226,7 @@ def dimension_performance(metrics: DataFrame, exact_period: bool = False, holdin
 def pattern_report(trades: DataFrame, metrics: DataFrame, min_trades: int = 5) -> DataFrame:
     """Status, score, rating and means of every pattern with enough trades."""
     counted = trades.groupBy("pattern_id").agg(F.count("*").alias("n_trades")).where(F.col("n_trades") >= min_trades)
-    means = metrics.where("valid").groupBy("pattern_id").agg(
-        F.sum("sample_size").alias("total_trades"), (F.avg("win_rate") * 100).alias("avg_win_rate"), F.avg("expectancy").alias("avg_expectancy")
-    )
-    out = counted.join(means, "pattern_id", "left").join(pattern_score(metrics), "pattern_id", "left")
+    out = counted.join(pattern_score(metrics), "pattern_id", "left")
     status = F.when(F.col("score").isNull(), "INSUFFICIENT_DATA").otherwise("VALIDATED")
     return out.withColumn("status", status).select(
         "pattern_id", "status", "score", "rating", "n_trades", "total_trades", "avg_win_rate", "avg_expectancy"

@@ -1,4 +1,8 @@
-"""Sliding a pattern library over the whole history of every series."""
+"""Comparing the closes of series with a pattern library, at their end or at every bar.
+
+A library has pattern_id, complexity, frequency and prototype (array of closes). It is
+small next to the bars and goes to all tasks, in parts if it is large.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, ORDER
 
+#: Patterns that go to all tasks at once.
 MOST_PATTERNS = 50_000
 SIMILARITY = "array<struct<pattern: int, similarity: double>>"
 
@@ -38,42 +43,79 @@ def window_hits(windows: np.ndarray, prototypes: np.ndarray, correlated: np.ndar
     return out
 
 
-def hits_udf(prototypes: np.ndarray, correlated: np.ndarray, threshold: float):
+def patterns_of(library: DataFrame, most: int = MOST_PATTERNS) -> list[list]:
+    """The library's rows in parts of about ``most``, each small enough to go to all tasks."""
+    library = library.select("pattern_id", "complexity", "frequency", "prototype").where(F.size("prototype") > 0)
+    parts = -(-library.count() // most)
+    at = F.pmod(F.xxhash64("pattern_id"), F.lit(max(1, parts)))
+    return [library.where(at == p).orderBy("pattern_id").collect() for p in range(parts)]
+
+
+def tail_hits(patterns: list, threshold: float):
+    """A function of tails: the patterns near to each tail's last values, as (pattern, similarity).
+
+    Tails of a batch are compared with all prototypes of one length as one matrix product.
+    """
+    groups = []
+    for size in sorted({len(r["prototype"]) for r in patterns}):
+        at = [i for i, r in enumerate(patterns) if len(r["prototype"]) == size]
+        prototypes = np.array([patterns[i]["prototype"] for i in at], dtype=float)
+        groups.append((size, np.array(at), prototypes, np.array([patterns[i]["complexity"] >= 3 for i in at])))
+
     @F.pandas_udf(SIMILARITY)
     def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            found = window_hits(np.stack(part.to_list()), prototypes, correlated, threshold) if len(part) else []
-            yield pd.Series(found, dtype=object)
+            tails = [np.asarray(t if t is not None else [], dtype=float) for t in part]
+            out: list[list[dict]] = [[] for _ in tails]
+            for size, at, prototypes, correlated in groups:
+                long = [i for i, t in enumerate(tails) if len(t) >= size]
+                if not long:
+                    continue
+                recent = np.stack([tails[i][-size:] for i in long])
+                for i, found in zip(long, window_hits(recent, prototypes, correlated, threshold)):
+                    out[i] += [{"pattern": int(at[h["pattern"]]), "similarity": h["similarity"]} for h in found]
+            yield pd.Series(out, dtype=object)
 
     return hits
 
 
+MATCH = "pattern_id string, complexity int, frequency long, window_size long, similarity double"
+
+
+def compare_tails(tails: DataFrame, library: list[list], threshold: float) -> DataFrame:
+    """Matches of each row's ``tail`` at or above the threshold, one part of the library after the other; its other columns stay."""
+    keep = [c for c in tails.columns if c != "tail"]
+    out = None
+    for patterns in library:
+        known = tails.sparkSession.createDataFrame(
+            [(i, r["pattern_id"], r["complexity"], r["frequency"], len(r["prototype"])) for i, r in enumerate(patterns)],
+            "pattern int, pattern_id string, complexity int, frequency long, window_size long",
+        )
+        hits = tails.withColumn("hit", F.explode(tail_hits(patterns, threshold)("tail"))).select(*keep, "hit.pattern", "hit.similarity")
+        found = hits.join(F.broadcast(known), "pattern").select(*keep, "pattern_id", "complexity", "frequency", "window_size", "similarity")
+        out = found if out is None else out.union(found)
+    if out is None:
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in MATCH.split(", "))]
+        out = tails.where(F.lit(False)).select(*keep, *nothing)
+    return out
+
+
+def longest_of(library: list[list], least: int) -> int:
+    return max([least, *(len(r["prototype"]) for part in library for r in part)])
+
+
 def history_trades(bars: DataFrame, library: DataFrame, holding: int = 5, threshold: float = 0.9, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """Every window of a series that looks like a prototype is a trade: in at the window's last close, out ``holding`` bars later.
 
-    Windows come from the trailing closes of each bar; per prototype length they are
-    compared with all prototypes of that length as one matrix product an Arrow batch, and only hits
-    leave the task. The library's size is checked before it goes to all tasks.
+    The trailing closes of each bar, as many as the longest prototype has, are taken once; a task compares their last ones with all
+    prototypes of each length as one matrix product an Arrow batch, and only hits leave it. Windows with a null close match nothing; an empty library gives no trades.
     """
-    rows = library.select("pattern_id", "complexity", "prototype").orderBy("pattern_id").limit(most_patterns + 1).collect()
-    if len(rows) > most_patterns:
-        raise ValueError("too many patterns for one pass: scan the library in parts")
+    patterns = patterns_of(library, most_patterns)
     w = Window.partitionBy(KEY).orderBy(ORDER)
     ahead = bars.withColumn("exit_price", F.lead("close", holding).over(w)).withColumn("exit_date", F.lead("trade_date", holding).over(w))
-    out = None
-    for size in sorted({len(r["prototype"]) for r in rows if r["prototype"]}):
-        own = [r for r in rows if len(r["prototype"]) == size]
-        prototypes = np.array([r["prototype"] for r in own], dtype=float)
-        correlated = np.array([r["complexity"] >= 3 for r in own])
-        hits = hits_udf(prototypes, correlated, threshold)
-        closes = F.collect_list("close").over(w.rowsBetween(1 - size, 0))
-        full = ahead.withColumn("__window", closes).where((F.size("__window") == size) & F.col("exit_price").isNotNull())
-        names = F.array(*[F.lit(r["pattern_id"]) for r in own])
-        found = full.withColumn("hit", F.explode(hits("__window"))).select(
-            F.element_at(names, F.col("hit.pattern") + 1).alias("pattern_id"), KEY, ORDER, F.col("trade_date").alias("entry_date"), "exit_date",
-            F.col("close").alias("entry_price"), "exit_price", F.col("hit.similarity").alias("similarity"),
-        )
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("the library has no prototypes")
-    return out.withColumn("return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * 100)
+    ahead = ahead.withColumn("tail", F.collect_list(F.coalesce("close", F.lit(float("nan")))).over(w.rowsBetween(1 - longest_of(patterns, 1), 0)))
+    tails = ahead.where("exit_price is not null and close is not null").select(
+        KEY, ORDER, F.col("trade_date").alias("entry_date"), "exit_date", F.col("close").alias("entry_price"), "exit_price", "tail"
+    )
+    found = compare_tails(tails, patterns, threshold)
+    return found.withColumn("return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * 100)

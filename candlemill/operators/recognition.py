@@ -1,21 +1,13 @@
-"""Scanning the latest bars against a pattern library.
-
-A library has pattern_id, complexity, frequency and prototype (array of closes). It is
-small next to the bars and goes to all tasks once its size has been checked.
-"""
+"""Scanning the latest bars against a pattern library, and signals from what is found."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY
 from .indicators import tail_array
-from .matching import MOST_PATTERNS, SIMILARITY, window_hits
+from .matching import compare_tails, longest_of, patterns_of
 
 
 def library_from_points(points: DataFrame) -> DataFrame:
@@ -24,63 +16,12 @@ def library_from_points(points: DataFrame) -> DataFrame:
     return points.groupBy("pattern_id", "complexity", "frequency").agg(F.transform(pairs, lambda x: x["value"]).alias("prototype"))
 
 
-def patterns_of(library: DataFrame) -> list:
-    """The library's rows for all tasks, its size checked; larger ones are scanned in parts."""
-    rows = library.select("pattern_id", "complexity", "frequency", "prototype").orderBy("pattern_id").limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"a scan takes at most {MOST_PATTERNS} patterns: scan the library in parts")
-    return [r for r in rows if r["prototype"]]
-
-
-def tail_hits(patterns: list, threshold: float):
-    """A function of tails: the patterns near to each tail's last values, as (pattern, similarity).
-
-    Tails of a batch are compared with all prototypes of one length as one matrix product.
-    """
-    groups = []
-    for size in sorted({len(r["prototype"]) for r in patterns}):
-        at = [i for i, r in enumerate(patterns) if len(r["prototype"]) == size]
-        prototypes = np.array([patterns[i]["prototype"] for i in at], dtype=float)
-        groups.append((size, np.array(at), prototypes, np.array([patterns[i]["complexity"] >= 3 for i in at])))
-
-    @F.pandas_udf(SIMILARITY)
-    def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            tails = [np.asarray(t if t is not None else [], dtype=float) for t in part]
-            out: list[list[dict]] = [[] for _ in tails]
-            for size, at, prototypes, correlated in groups:
-                long = [i for i, t in enumerate(tails) if len(t) >= size]
-                if not long:
-                    continue
-                recent = np.stack([tails[i][-size:] for i in long])
-                for i, found in zip(long, window_hits(recent, prototypes, correlated, threshold)):
-                    out[i] += [{"pattern": int(at[h["pattern"]]), "similarity": h["similarity"]} for h in found]
-            yield pd.Series(out, dtype=object)
-
-    return hits
-
-
-def compare_tails(tails: DataFrame, patterns: list, threshold: float) -> DataFrame:
-    """Matches of each row's ``tail`` at or above the threshold; its other columns stay."""
-    keep = [c for c in tails.columns if c != "tail"]
-    if not patterns:
-        found = F.struct(F.lit("").alias("pattern_id"), F.lit(0).alias("complexity"), F.lit(0).cast("long").alias("frequency"), F.lit(0).cast("long").alias("window_size"), F.lit(0.0).alias("similarity"))
-        return tails.where(F.lit(False)).select(*keep, found.alias("m")).select(*keep, "m.*")
-    known = tails.sparkSession.createDataFrame(
-        [(i, r["pattern_id"], r["complexity"], r["frequency"], len(r["prototype"])) for i, r in enumerate(patterns)],
-        "pattern int, pattern_id string, complexity int, frequency long, window_size long",
-    )
-    hits = tails.withColumn("hit", F.explode(tail_hits(patterns, threshold)("tail"))).select(*keep, "hit.pattern", "hit.similarity")
-    return hits.join(F.broadcast(known), "pattern").select(*keep, "pattern_id", "complexity", "frequency", "window_size", "similarity")
-
-
 def scan(
     bars: DataFrame, library: DataFrame, levels: tuple[int, ...] = (1, 2, 3), threshold: float = 0.75, least_bars: int = 20
 ) -> DataFrame:
     """(series_id, pattern_id, complexity, frequency, window_size, similarity) at or above the threshold."""
     patterns = patterns_of(library.where(F.col("complexity").isin(*levels)))
-    longest = max([least_bars, *(len(r["prototype"]) for r in patterns)])
-    tails = tail_array(bars, longest).where(F.size("tail") >= least_bars)
+    tails = tail_array(bars, longest_of(patterns, least_bars)).where(F.size("tail") >= least_bars)
     return compare_tails(tails, patterns, threshold)
 
 
@@ -92,7 +33,7 @@ def top_matches(matches: DataFrame, k: int = 5, by: tuple[str, ...] = (KEY,)) ->
 def signals(top: DataFrame, expectancy: DataFrame, min_expectancy: float = 0.0) -> DataFrame:
     """One signal per series from its best match, if that pattern has an expectancy of at least the minimum.
 
-    The second and third match come along; the best one is never replaced by them.
+    A pattern in the expectancy table whose expectancy is null counts as 0; one that isn't there gives no signal. The second and third match come along; the best one is never replaced by them.
     """
     best = top.where("rank = 1")
     others = top.where("rank in (2, 3)").groupBy(KEY).agg(
@@ -101,7 +42,8 @@ def signals(top: DataFrame, expectancy: DataFrame, min_expectancy: float = 0.0)
         F.max(F.when(F.col("rank") == 3, F.col("pattern_id"))).alias("third_id"),
         F.max(F.when(F.col("rank") == 3, F.col("similarity"))).alias("third_confidence"),
     )
-    found = best.join(expectancy.where(F.col("expectancy") >= min_expectancy), "pattern_id").join(others, KEY, "left")
+    known = expectancy.withColumn("expectancy", F.coalesce("expectancy", F.lit(0.0))).where(F.col("expectancy") >= min_expectancy)
+    found = best.join(known, "pattern_id").join(others, KEY, "left")
     reward = F.col("risk_reward") if "risk_reward" in expectancy.columns else F.lit(1.0)
     return found.select(
         KEY, "pattern_id", F.col("similarity").alias("confidence"),
@@ -119,8 +61,7 @@ def scan_multi_window(
 ) -> DataFrame:
     """Per window size the best patterns whose prototype's length is within ``slack`` of it."""
     patterns = patterns_of(library.where(F.col("complexity").isin(2, 3)))
-    longest = max([20, *sizes, *(len(r["prototype"]) for r in patterns)])
-    tails = tail_array(bars, longest).where(F.size("tail") >= 20).withColumn("bars", F.size("tail"))
+    tails = tail_array(bars, longest_of(patterns, max(20, *sizes))).where(F.size("tail") >= 20).withColumn("bars", F.size("tail"))
     found = compare_tails(tails, patterns, threshold)
     near = F.filter(F.array(*[F.lit(s).cast("long") for s in sizes]), lambda s: (F.abs(F.col("window_size") - s) <= slack) & (F.col("bars") >= s))
     return top_matches(found.withColumn("size", F.explode(near)).drop("bars"), k, by=(KEY, "size"))
@@ -140,5 +81,3 @@ def filter_by_expectancy(matches: DataFrame, expectancy: DataFrame, min_win_rate
 def market_scan(found: DataFrame, min_confidence: float = 0.65, n: int = 10) -> DataFrame:
     """The ``n`` signals of highest expected return (a top-k report)."""
     return found.where(F.col("confidence") >= min_confidence).orderBy(F.desc("expected_return"), F.desc("confidence"), KEY).limit(n)
-
-

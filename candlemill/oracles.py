@@ -295,10 +295,57 @@ def r6s(*names: str) -> str:
     return ", ".join(r6(n, n) for n in names)
 
 
+def warped(source: str, rows: int, radius: str, span: int) -> str:
+    """Banded warping of ``source`` (a, b, va, vb, n, m), row by row of the cost table; ``span`` is the widest band."""
+    parts = [f"dp0 as (select *, {radius} as band from {source})"]
+    for i in range(1, rows + 1):
+        cells = []
+        for j in range(max(1, i - span), min(rows, i + span) + 1):
+            near = [f"c{x}_{y}" for x, y in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if x >= 1 and y >= 1 and abs(x - y) <= span]
+            before = f"least({', '.join([*near, '1e300'])})" if i + j > 2 else "0e0"
+            cells.append(f"case when {i} <= n and {j} <= m and abs({i} - {j}) <= band then abs(va[{i}] - vb[{j}]) + {before} else 1e300 end as c{i}_{j}")
+        parts.append(f"dp{i} as (select *, {', '.join(cells)} from dp{i - 1})")
+    ends = [(n, m) for n in range(1, rows + 1) for m in range(max(1, n - span), min(rows, n + span) + 1)]
+    last = " ".join(f"when n = {n} and m = {m} then c{n}_{m}" for n, m in ends)
+    return ",\n".join([*parts, f"warped as (select a, b, n, m, case {last} end as distance from dp{rows})"])
+
+
+SHAPES = f"""tails as (
+  select series_id, 40 - row_number() over (partition by series_id order by seq desc) as i, close as x from bars
+  qualify row_number() over (partition by series_id order by seq desc) <= 40),
+st as (select *, (x - avg(x) over w) / (stddev_pop(x) over w + 1e-10) as s from tails window w as (partition by series_id)),
+starts as (
+  select 5 as size, unnest(range(0, 36, 2)) as b, 4 as base, 2 as hop union all select 10, unnest(range(0, 31, 5)), 4 + 3 * 18, 5),
+wins as (
+  select series_id, base + 3 * (b // hop) as pos, avg(s) as m, stddev_pop(s) + 1e-10 as sd, max_by(s, i) - min_by(s, i) as ch
+  from st join starts on i >= b and i < b + size group by series_id, base, b, hop),
+waves as (
+  select series_id, k, sqrt(pow(sum(s * cos(2 * pi() * k * i / 40)), 2) + pow(sum(s * sin(2 * pi() * k * i / 40)), 2)) as amp
+  from st, (select unnest(range(20)) as k) group by series_id, k),
+turn as (
+  select series_id, i, s, lag(s, 1) over w as l1, lead(s, 1) over w as r1, lag(s, 2) over w as l2, lead(s, 2) over w as r2 from st window w as (partition by series_id order by i)),
+tops as (
+  select series_id, count(*) filter (where s > l1 and s > r1 and coalesce(s > l2, true) and coalesce(s > r2, true)) as p,
+    count(*) filter (where s < l1 and s < r1 and coalesce(s < l2, true) and coalesce(s < r2, true)) as v from turn group by series_id),
+shapes as (
+  select series_id, 0 as pos, 0e0 as value from tops union all select series_id, 1, 1e0 from tops
+  union all select series_id, 2, max(s) from st group by 1 union all select series_id, 3, min(s) from st group by 1
+  union all select series_id, pos, m from wins union all select series_id, pos + 1, sd from wins union all select series_id, pos + 2, ch from wins
+  union all select series_id, 79, amp from waves where k = 0
+  union all select series_id, 80, avg(amp) from waves where k between 1 and 3 group by 1
+  union all select series_id, 81, avg(amp) from waves where k between 4 and 19 group by 1
+  union all select series_id, 82, p from tops union all select series_id, 83, v from tops union all select series_id, 84, p + v from tops)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "bars_load": over("bars", "select series_id, trade_date, seq, open, high, low, close, vol from bars where trade_date between date '1994-01-01' and date '1995-12-31'"),
         "bars_min_history": over("bars", "select series_id, trade_date, close from (select *, count(*) over (partition by series_id) as n from bars) where n > 530"),
+        "bars_csv": over("bars", "select cast(series_id as varchar) as series_id, trade_date, open, high, low, close, vol from (select *, count(*) over (partition by series_id) as n from bars) where n > 500"),
+        "delisted_codes": over("delisted", "select cast(series_id as varchar) as series_id from delisted"),
+        "shape_features": over("bars", f", {SHAPES} select series_id, cast(pos as bigint) as pos, {r6s('value')} from shapes"),
+        "pairwise_dtw": over("bars", f", {WINDOWS}, two as (select a.series_id as a, b.series_id as b, a.v as va, b.v as vb, a.n, b.n as m from windows a join windows b on a.series_id < b.series_id), {warped('two', 8, 'greatest(1, abs(n - m))', 4)} select a, b, {r6s('distance')} from warped"),
+        "sim_dtw": over("library_points", f", {LIB}, {SCALED}, {pairs('scaled', 'pattern_id')}, two as (select a, b, va, vb, m as n, m from pairs), {warped('two', 39, '3', 3)} select a, b, {r6('greatest(0e0, 1 - distance / (2 * sqrt(n) + 1e-10))', 'similarity')} from warped"),
         "library_roundtrip": over("library_points", "select pattern_id, cast(complexity as bigint) as complexity, cast(frequency as bigint) as frequency, cast(pos as bigint) as pos, value from library_points"),
         "state_roundtrip": over("library_points expectancy", f", {LIB} select pattern_id, cast(len as bigint) as len, {r6s('expectancy', 'win_rate')}, rating from lib left join expectancy using (pattern_id)"),
         "results_roundtrip": over("trades", f", {METRICS} select pattern_id, market, strategy, holding, sample_size, {r6s('expectancy')} from metrics"),
@@ -400,7 +447,7 @@ select series_id, size, pattern_id, {r6s('similarity')}, rank from o where rank
 sb as (select *, row_number() over (partition by series_id order by bar_date) as dn from closed),
 sp as (
   select b.series_id, b.bar_date, p.pattern_id, p.complexity, p.len, w.close, p.value
-  from sb b join library_points p on b.dn >= 12 and p.len <= 12
+  from sb b join library_points p on b.dn >= 20 and p.len <= b.dn
   join sb w on w.series_id = b.series_id and w.dn = b.dn - p.len + 1 + p.pos),
 sr as (select *, min(close) over w as lo, max(close) over w as hi, min(value) over w as plo, max(value) over w as phi from sp window w as (partition by series_id, bar_date, pattern_id)),
 su as (select series_id, bar_date, pattern_id, complexity, len, case when hi > lo then (close - lo) / (hi - lo) else 0e0 end as a, case when phi > plo then (value - plo) / (phi - plo) else 0e0 end as b from sr),

@@ -45,6 +45,10 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.slice_metrics(priced(spark, d))
 
 
+def moments(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.slice_statistics(evaluation.slice_rows(priced(spark, d)))
+
+
 def recent(bars: DataFrame, size: Column) -> DataFrame:
     """The last closes of each series, as many as ``size`` says, scaled to 0..1."""
     tails = indicators.tail_array(bars, 8).withColumn("n", size)
@@ -70,6 +74,21 @@ def bars_min_history(spark, d):
     return bar_sources.min_history(load(spark, d, "bars"), 530).select(KEY, "trade_date", "close")
 
 
+@query
+def bars_csv(spark, d):
+    """Bars written as CSV by series and read back, those with more than 500 bars."""
+    folder = work_path(spark, "bars-csv")
+    bar_sources.write_bars_csv(load(spark, d, "bars"), folder)
+    return bar_sources.load_bars_csv(spark, folder, 500).select(KEY, "trade_date", "open", "high", "low", "close", "vol")
+
+
+@query
+def delisted_codes(spark, d):
+    path = work_path(spark, "delisted")
+    load(spark, d, "delisted").select(F.col(KEY).cast("string")).write.text(path)
+    return bar_sources.load_delisted(spark, path)
+
+
 @query
 def library_roundtrip(spark, d):
     path = work_path(spark, "library")
@@ -81,7 +100,8 @@ def library_roundtrip(spark, d):
 @query
 def state_roundtrip(spark, d):
     folder = work_path(spark, "state")
-    state.save_state({"library": library(spark, d), "expectancy": load(spark, d, "expectancy")}, folder)
+    config = state.config_table(spark, {"top_k": 5, "levels": [2, 3]})
+    state.save_state({"library": library(spark, d), "expectancy": load(spark, d, "expectancy"), "config": config}, folder)
     got = state.load_state(spark, folder)
     joined = got["library"].join(got["expectancy"], "pattern_id", "left")
     return joined.select("pattern_id", F.size("prototype").cast("long").alias("len"), r6(F.col("expectancy")).alias("expectancy"), r6(F.col("win_rate")).alias("win_rate"), "rating")
@@ -467,8 +487,9 @@ def stream_alerts(spark, d):
     path = work_path(spark, "finished-bars")
     finished.write.parquet(path)
     bars = spark.readStream.schema(finished.schema).parquet(path).withWatermark("bar_start", "1 day")
-    tails = streams.run_once(streams.tails_of_stream(bars, 20), work_path(spark, "stream-tails"), work_path(spark, "stream-state"))
-    got = streams.alerts_of_tails(tails, lib.where(F.size("prototype") <= 12), load(spark, d, "expectancy"), least_bars=12)
+    longest = streams.closes_needed(lib)
+    tails = streams.run_once(streams.tails_of_stream(bars, longest), work_path(spark, "stream-tails"), work_path(spark, "stream-state"))
+    got = streams.alerts_of_tails(tails, lib, load(spark, d, "expectancy"))
     return rounded(got.select(KEY, F.to_date("bar_start").alias("bar_date"), "pattern_id", "confidence", "expectancy"), "confidence", "expectancy")
 
 
@@ -514,22 +535,24 @@ def slice_metrics(spark, d):
 
 @query
 def slice_sharpe(spark, d):
-    return rounded(metrics(spark, d).select(*evaluation.SLICE, "holding", "sharpe_ratio"), "sharpe_ratio")
+    got = evaluation.with_sharpe(evaluation.each_holding(moments(spark, d)))
+    return rounded(got.select(*evaluation.SLICE, "holding", "sharpe_ratio"), "sharpe_ratio")
 
 
 @query
 def slice_drawdown(spark, d):
-    return rounded(evaluation.drawdowns(evaluation.slice_rows(priced(spark, d))), "max_drawdown")
+    got = evaluation.ordered_risk(evaluation.slice_rows(priced(spark, d)))
+    return rounded(got.select(*evaluation.SLICE, "max_drawdown"), "max_drawdown")
 
 
 @query
 def loss_streaks(spark, d):
-    return evaluation.losses_in_a_row(evaluation.slice_rows(priced(spark, d)))
+    return evaluation.ordered_risk(evaluation.slice_rows(priced(spark, d))).select(*evaluation.SLICE, "consecutive_losses")
 
 
 @query
 def slice_moments(spark, d):
-    got = evaluation.slice_statistics(evaluation.slice_rows(priced(spark, d)))
+    got = moments(spark, d)
     return rounded(got.select(*evaluation.SLICE, "skewness", "kurtosis"), "skewness", "kurtosis")
 
 

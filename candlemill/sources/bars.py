@@ -31,10 +31,17 @@ def min_history(bars: DataFrame, more_than: int = 60) -> DataFrame:
 
 
 def load_bars_csv(spark: SparkSession, folder: str, more_than: int = 60) -> DataFrame:
-    """One CSV file per series, named after it."""
-    raw = spark.read.schema(CSV_SCHEMA).option("header", True).csv(folder)
+    """One CSV file per series, named after it, or a folder of files per series as Spark writes them (``series_id=...``)."""
+    raw = spark.read.schema(CSV_SCHEMA).option("header", True).option("recursiveFileLookup", True).csv(folder)
+    own = F.regexp_extract(F.col("_metadata.file_path"), rf"/{KEY}=([^/]+)/[^/]*$", 1)  # kept as text: codes may begin with 0
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
-    return min_history(raw.withColumn(KEY, name), more_than)
+    return min_history(raw.withColumn(KEY, F.when(own != "", own).otherwise(name)), more_than)
+
+
+def write_bars_csv(bars: DataFrame, folder: str) -> None:
+    """A folder of CSV per series, each written by one task."""
+    columns = [F.col(f.split()[0]) for f in CSV_SCHEMA.split(", ")]
+    bars.select(F.col(KEY).cast("string").alias(KEY), *columns).repartition(KEY).write.partitionBy(KEY).option("header", True).csv(folder)
 
 
 def load_delisted(spark: SparkSession, path: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIBRARY_SCHEMA = "pattern_id string, complexity int, frequency long, prototype array<double>"
 EXPECTANCY_SCHEMA = "pattern_id string, expectancy double, win_rate double, direction string, optimal_holding int, rating string"
-SCHEMAS = {"library": LIBRARY_SCHEMA, "expectancy": EXPECTANCY_SCHEMA}
+CONFIG_SCHEMA = "name string, value string"
+RESULTS_SCHEMA = "pattern_id string, market string, strategy string, holding long, sample_size long, expectancy double"
+SCHEMAS = {"library": LIBRARY_SCHEMA, "expectancy": EXPECTANCY_SCHEMA, "config": CONFIG_SCHEMA}
 
 
 def write_library(library: DataFrame, path: str) -> None:
@@ -37,12 +41,27 @@ def load_state(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def config_table(spark: SparkSession, config: dict) -> DataFrame:
+    """Settings as (name, value), each value as JSON."""
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(config.items())], CONFIG_SCHEMA)
+
+
+def config_of(table: DataFrame) -> dict:
+    return {r["name"]: json.loads(r["value"]) for r in table.collect()}
+
+
 def write_backtest(results: DataFrame, folder: str, run: str) -> None:
     """Adds a run; earlier runs stay."""
     results.withColumn("run_ts", F.lit(run)).write.mode("append").partitionBy("run_ts").parquet(folder)
 
 
-def read_latest_backtest(spark: SparkSession, folder: str) -> DataFrame:
-    runs = spark.read.option("partitionOverwriteMode", "dynamic").parquet(folder)
+def read_latest_backtest(spark: SparkSession, folder: str, schema: str = RESULTS_SCHEMA) -> DataFrame:
+    """The newest run; no rows of ``schema`` if the folder doesn't exist."""
+    try:
+        runs = spark.read.parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
     newest = runs.agg(F.max("run_ts")).first()[0]
     return runs.where(F.col("run_ts") == newest).drop("run_ts")

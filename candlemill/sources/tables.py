@@ -6,6 +6,8 @@ are of integers, so both engines agree to the last bit.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The views that each view builds on.
@@ -134,6 +136,5 @@ def with_views(*names: str, recursive: bool = False) -> str:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the Parquet tables of ``sf_dir``."""
     raw = "events" if name == "ticks" else "lineitem"
-    spark.read.parquet(f"{sf_dir}/{raw}.parquet").createOrReplaceTempView(raw)
-    text = with_views(name)
-    return spark.sql(f"{text}\nselect * from {name}")
+    text = re.sub(rf"\bfrom {raw}\b", f"from {{{raw}}}", with_views(name))  # a table of that name in the session stays as it is
+    return spark.sql(f"{text}\nselect * from {name}", **{raw: spark.read.parquet(f"{sf_dir}/{raw}.parquet")})

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import KEY
-from ..operators.recognition import compare_tails, patterns_of, top_matches
+from ..operators.matching import compare_tails, longest_of, patterns_of
+from ..operators.recognition import top_matches
 
 STATE = "closes array<double>, last timestamp"
 
@@ -44,12 +45,17 @@ def new_path(folder: str, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def closes_needed(library: DataFrame, least: int = 30) -> int:
+    """As many closes as the longest prototype has, and no fewer than ``least``."""
+    return longest_of(patterns_of(library), least)
+
+
 def tails_of_stream(bars: DataFrame, longest: int) -> DataFrame:
     """The last closes of each series after every finished bar, from keyed state of bounded size.
 
-    Bars of a batch are taken in order of their time; a series without bars for 30 days of event time is forgotten.
+    Bars of a batch are taken in order of their time; a series without bars for 30 days of event time is forgotten. Ids may be of any type.
     """
-    schema = f"{KEY} long, bar_start timestamp, tail array<double>"
+    schema = f"{KEY} {bars.schema[KEY].dataType.simpleString()}, bar_start timestamp, tail array<double>"
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,5 +80,6 @@ def alerts_of_tails(tails: DataFrame, library: DataFrame, expectancy: DataFrame,
     """A signal above the confidence for every finished bar whose tail is long enough."""
     found = compare_tails(tails.where(F.size("tail") >= least_bars), patterns_of(library), 0.75)
     best = top_matches(found, 1, by=(KEY, "bar_start"))
-    good = best.join(expectancy.where("expectancy >= 0"), "pattern_id").where(F.col("similarity") > min_confidence)
+    known = expectancy.withColumn("expectancy", F.coalesce("expectancy", F.lit(0.0))).where("expectancy >= 0")
+    good = best.join(known, "pattern_id").where(F.col("similarity") > min_confidence)
     return good.select(KEY, "bar_start", "pattern_id", F.col("similarity").alias("confidence"), "expectancy", "win_rate")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from candlemill.functions.arrays import resample
 from candlemill.functions.columns import KEY
 from candlemill.functions.ewm import ewm
+from candlemill.jobs import market
 from candlemill.operators import cleaning, discovery, evaluation, indicators, matching, recognition, serving
 from candlemill.sources import bars as sources
 from candlemill.sources import state
@@ -152,6 +153,22 @@ def test_history_trades_match_a_loop(spark):
     assert got == want and ("p", 22) in got
 
 
+def test_empty_and_large_libraries(spark):
+    bars, none = make(spark, walk(60)), spark.createDataFrame([], state.LIBRARY_SCHEMA)
+    assert matching.history_trades(bars, none).count() == 0
+    many = spark.createDataFrame([(f"p{i}", 2, 1, [float(x) for x in walk(5, i)]) for i in range(30)], state.LIBRARY_SCHEMA)
+    whole, parts = (matching.history_trades(bars, many, most_patterns=n).select("pattern_id", "seq") for n in (50_000, 7))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() > 0
+
+
+def test_signals_take_a_null_expectancy_as_zero(spark):
+    top = spark.createDataFrame([(1, "p", 2, 1, 0.9, 1), (2, "q", 2, 1, 0.9, 1)], "series_id long, pattern_id string, complexity int, frequency long, similarity double, rank long")
+    known = spark.createDataFrame([("p", None, None, None, None, None)], state.EXPECTANCY_SCHEMA)
+    got = recognition.signals(top, known).collect()
+    assert [(r["series_id"], r["expected_return"]) for r in got] == [(1, 0.0)]
+    assert recognition.signals(top, known, min_expectancy=0.1).count() == 0
+
+
 def test_scan_edges(spark):
     library = spark.createDataFrame([("long", 3, 1, [float(i) for i in range(40)]), ("flat", 3, 1, [1.0] * 10), ("up", 2, 1, [float(i) for i in range(8)]), ("none", 3, 1, [])], state.LIBRARY_SCHEMA)
     bars = make(spark, range(1, 31)).union(make(spark, range(1, 11), 2)).union(make(spark, [5] * 25, 3))
@@ -178,6 +195,83 @@ def test_average_linkage_and_dtw():
     np.testing.assert_allclose(discovery.dtw_batch(a, b, 1), [one(p, q, 1) for p, q in zip(a, b)])
 
 
+WINDOWS = "series_id long, tail array<double>"
+
+
+def test_simple_discovery_counts_every_window(spark):
+    rng = np.random.default_rng(3)
+    shapes = ([0, 0.3, 0.7, 1], [1, 0.6, 0.3, 0], [0, 1, 0, 1, 0])
+    rows = [(i, [float(v) for v in np.clip(np.array(shapes[i % 3]) + 0.02 * rng.random(len(shapes[i % 3])), 0, 1)]) for i in range(60)]
+    odd = [(100, None), (101, [])]
+    for most in (2000, 20):  # with and without a coarser grid
+        got = {tuple(np.round(r["prototype"], 0)): r["frequency"] for r in discovery.discover_simple(spark.createDataFrame(rows + odd, WINDOWS), 3, 3, most=most).collect()}
+        assert sorted(got.values()) == [20, 20, 20] and {len(k) for k in got} == {4, 5}
+    assert discovery.discover_simple(spark.createDataFrame(rows[:2], WINDOWS)).count() == 0
+    assert discovery.discover_simple(spark.createDataFrame([], WINDOWS)).count() == 0
+
+
+def test_weighted_linkage_is_that_of_repeated_points():
+    x = np.array([0, 0.1, 0.35, 2, 2.4, 5])
+    n = np.array([3, 1, 4, 2, 2, 1])
+    plain = np.repeat(x, n)
+    far = lambda v: np.abs(v[:, None] - v[None])
+    for k in (2, 3, 4):
+        a, b = np.repeat(discovery.average_linkage(far(x), k, n), n), discovery.average_linkage(far(plain), k)
+        assert ((a[:, None] == a[None]) == (b[:, None] == b[None])).all()
+
+
+FEATURES = "series_id long, pos long, value double"
+
+
+def test_composite_discovery_finds_separate_clusters(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, p, float(10 * (i % 3) * (p + 1) + rng.random())) for i in range(30) for p in range(4)]
+    got = discovery.discover_composite(spark.createDataFrame(rows, FEATURES), max_clusters=3).collect()
+    assert sorted(r["frequency"] for r in got) == [10, 10, 10] and {r["complexity"] for r in got} == {3}
+    centres = sorted(r["prototype"][0] for r in got)
+    z = np.array([v for i, p, v in rows if p == 0])
+    z = (z - z.mean()) / z.std()
+    np.testing.assert_allclose(centres, sorted(z[k::3].mean() for k in range(3)), atol=1e-6)
+    for few in (rows[:4], []):
+        assert discovery.discover_composite(spark.createDataFrame(few, FEATURES)).count() == 0
+
+
+def test_complex_discovery_has_the_member_nearest_to_each_centre(spark):
+    rows = [(i, 5 * (1 + i % 2) + i // 20, 5 * (1 + i % 2), 1.0, 10.0 * (1 + i % 2) + i / 100, 1) for i in range(20)]
+    schema = "series_id long, n_peaks long, n_valleys long, peak_valley_ratio double, total_variation double, trend_direction long"
+    got = discovery.cluster_complex(spark.createDataFrame(rows, schema), max_clusters=2).collect()
+    assert sorted(r["cluster_size"] for r in got) == [10, 10] and {r["representative"] % 2 for r in got} == {0, 1}
+    for r in got:
+        own = [x for x in rows if x[0] % 2 == r["representative"] % 2]
+        middle = np.mean([x[4] for x in own])
+        assert abs(rows[r["representative"]][4] - middle) == pytest.approx(min(abs(x[4] - middle) for x in own))
+    assert discovery.cluster_complex(spark.createDataFrame(rows[:1], schema)).count() == 1
+    assert discovery.cluster_complex(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_centres_keep_repeated_and_null_ids(spark):
+    vectors = spark.createDataFrame([(1, [0.0]), (1, [9.0]), (None, [1.0])], "series_id long, vector array<double>")
+    centres = spark.createDataFrame([(0, [0.0]), (1, [10.0])], "cluster int, centre array<double>")
+    got = sorted((r["series_id"] or 0, r["cluster"], r["distance"]) for r in discovery.assign_to_centres(vectors, centres).collect())
+    assert got == [(0, 0, 1.0), (1, 0, 0.0), (1, 1, 1.0)]
+
+
+def test_market_jobs_end_to_end(spark):
+    parts = [make(spark, walk(90, i), i) for i in range(12)]
+    bars = parts[0]
+    for p in parts[1:]:
+        bars = bars.union(p)
+    raw = bars.withColumn("ingest_seq", F.col("seq")).withColumn("pct_chg", F.lit(1.0)).drop("seq")
+    old = spark.createDataFrame([("L9-000", 2, 5, [float(x) for x in walk(8, 2)])], state.LIBRARY_SCHEMA)
+    library = market.discover(raw, old)
+    found = {r["pattern_id"][:2] for r in library.collect()}
+    assert {"L2", "L3", "L9"} <= found
+    metrics, report, table = market.backtest_history(bars, old, spark.createDataFrame([], state.EXPECTANCY_SCHEMA), threshold=0.6)
+    assert metrics.count() > 0 and report.count() == 1 and table.count() <= 1
+    nothing = market.backtest_history(bars, old.limit(0), spark.createDataFrame([], state.EXPECTANCY_SCHEMA))
+    assert all(df.count() == 0 for df in nothing)
+
+
 def test_resample_is_linear_interpolation(spark):
     df = spark.createDataFrame([([1.0, 3.0, 2.0, 5.0],)], "v array<double>")
     for n in (2, 3, 4, 7, 11):
@@ -209,6 +303,19 @@ def test_slice_metrics_are_those_of_pandas(spark, returns):
         assert got["skewness"] == pytest.approx(r.skew()) and got["kurtosis"] == pytest.approx(r.kurtosis())
 
 
+def test_risk_joins_months_as_one_sequence(spark):
+    rng = np.random.default_rng(7)
+    returns = [float(x) for x in rng.normal(-0.2, 1, 300)]
+    returns[40:95] = [-1.0] * 55  # a run over several months
+    got = evaluation.ordered_risk(trades(spark, returns), keys=("pattern_id",)).first()
+    total = np.cumsum(returns)
+    best = run = 0
+    for x in returns:
+        run = run + 1 if x < 0 else 0
+        best = max(best, run)
+    assert got["max_drawdown"] == pytest.approx((total - np.maximum.accumulate(total)).min()) and got["consecutive_losses"] == best
+
+
 def test_absent_columns_and_unknown_markets(spark):
     plain = trades(spark, [1.0] * 6)
     assert {r["strategy"] for r in evaluation.apply_strategy(plain).collect()} == {"chase", "trend"}
@@ -232,6 +339,11 @@ def test_sources_round_trip(spark, tmp_path):
     assert {r["series_id"] for r in got.select("series_id").distinct().collect()} == {"AAA"} and got.count() == 70
     (tmp_path / "gone.txt").write_text("AAA \n\n BBB\nAAA\n")
     assert {r[0] for r in sources.load_delisted(spark, str(tmp_path / "gone.txt")).collect()} == {"AAA", "BBB"}
+    sources.write_bars_csv(make(spark, walk(70)).union(make(spark, walk(50), 2)), str(tmp_path / "by-series"))
+    assert {r["series_id"] for r in sources.load_bars_csv(spark, str(tmp_path / "by-series")).collect()} == {"1"}
+    state.save_state({"config": state.config_table(spark, {"k": 5, "levels": [2, 3]})}, str(tmp_path / "state"))
+    assert state.config_of(state.load_state(spark, str(tmp_path / "state"))["config"]) == {"k": 5, "levels": [2, 3]}
+    assert state.read_latest_backtest(spark, str(tmp_path / "nothing")).count() == 0
     empty = state.load_state(spark, str(tmp_path / "nothing"))
     assert all(df.count() == 0 for df in empty.values())
     assert serving.status_summary(empty["library"], empty["expectancy"]).first()["n_patterns"] == 0
