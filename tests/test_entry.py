@@ -16,7 +16,7 @@ from candlemill import oracles, queries
 
 ROOT, DATA = Path(__file__).resolve().parents[1], "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = {"discover_l3", "discover_l4", "standardise_features"}
+SLOW = {"discover_l3", "discover_l4"}
 
 
 def test_entry_is_lazy_and_has_rows(spark):
