@@ -5,6 +5,10 @@
 3. decontamination: documents that hold a benchmark item go;
 4. secrets: every secret in a text becomes a mark, the documents stay;
 5. packing: the token ids of what is left, in full sequences.
+
+Every stage takes null and empty texts, texts of any length, null ids, repeated rows, ties and empty tables as its operator says, works on
+the whole of what it is given and, but for the last, returns its columns unchanged in name and type. Columns it doesn't know
+come through; names beginning with two underscores are kept for the stages.
 """
 
 from __future__ import annotations
@@ -20,13 +24,14 @@ from candlemill.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents below the threshold, so null, empty and blank texts go; the others stay as they are. Labels of ids that aren't there don't matter."""
     labels = table(spark, sf_dir, "labels")
     judged = quality.judge(docs, labels, docs.columns, host=F.col("source"), path=F.col("lang"), prefix="__quality_")
     return judged.where("__quality_kept").select(*docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated rows (one doc_id, one text) become one; rows of a null doc_id stay."""
+    """Of each group the row of the smallest doc_id stays, and texts without words; repeated rows (one doc_id, one text) become one; rows of a null doc_id stay."""
     found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
     own = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
@@ -35,17 +40,22 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a leak. An empty benchmark drops none; null and empty texts stay."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), column="__leaks")
     return found.where(F.size("__leaks") == 0).drop("__leaks")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every row; spans become a mark, and n_chars, if there is one, follows the text (null for a null text)."""
     clean = secrets.redact(secrets.scan_secrets(docs, keep=docs.columns, out="__spans"), spans="__spans")
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(docs, tokenizer_path()), "ids")
+    """A row for each piece; a null text is a document of one id. Sources are mixed as in the query of the packing operator."""
+    return packing.digest(packing.pack(docs, tokenizer_path(), temperature=0.7), "ids")
 
 
 STAGES = [
