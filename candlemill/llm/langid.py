@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 #: Bounded, documented samples of labelled rows: landmarks and ridge training rows.
 LANDMARKS, TRAIN_ROWS = 160, 12_000
 LANDMARK_CHARS = (100, 4_000)
-MOST_CLASSES = 2_000
+#: Where the languages are so many that four each make more landmarks than this, the landmarks are those of the lowest hash.
+MOST_LANDMARKS = 1_000
 UNKNOWN = "und"
 
 
@@ -124,11 +125,13 @@ def _normal_equations(model: KernelModel):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, c = model.root.shape[1] + 1, len(model.classes)
         gram, right = np.zeros((d, d)), np.zeros((d, c))
+        place = {k: i for i, k in enumerate(model.classes)}
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for at in range(0, len(texts), 256):
                 phi = model.features(texts[at : at + 256])
-                y = np.array([[1.0 if lang == k else -1.0 for k in model.classes] for lang in langs[at : at + 256]])
+                y = np.full((len(phi), c), -1.0)
+                y[np.arange(len(phi)), [place[lang] for lang in langs[at : at + 256]]] = 1
                 gram += phi.T @ phi
                 right += phi.T @ y
         yield pa.RecordBatch.from_pydict({"sums": pa.array([np.hstack([gram, right]).tobytes()], pa.binary())})
@@ -139,22 +142,22 @@ def _normal_equations(model: KernelModel):
 def fit(docs: DataFrame, landmarks: int, train_rows: int, ridge: float = 1e-2) -> KernelModel | None:
     """Learns from labelled rows (text, lang): a bounded hash-ordered sample of the training part."""
     ids = docs.select("key", "lang", "length")
-    classes = sorted(r[0] for r in ids.select("lang").distinct().limit(MOST_CLASSES + 1).collect())
+    sample = ids.orderBy(F.xxhash64(F.lit(3), "key"), "key").limit(train_rows).select("key", "lang")
+    classes = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not classes:
         return None
-    if len(classes) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} languages")
     per_class = max(4, landmarks // len(classes))
     low, high = LANDMARK_CHARS
     misfit = F.when(F.col("length").between(low, high), 0).otherwise(F.abs(F.col("length") - F.lit(low)))
     first = Window.partitionBy("lang").orderBy(misfit, F.xxhash64("key"), "key")  # a grouped top-k, cut before the shuffle
-    chosen = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_class).select("key")
+    learned = docs.sparkSession.createDataFrame([(c,) for c in classes], "lang string")
+    chosen = ids.join(F.broadcast(learned), "lang", "left_semi").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_class)
+    chosen = chosen.orderBy(F.xxhash64("key"), "key").limit(min(per_class * len(classes), max(landmarks, MOST_LANDMARKS))).select("key")
     rows = docs.join(F.broadcast(chosen), "key", "left_semi").select("text", "lang", "key")
-    rows = rows.orderBy("lang", "key").limit(per_class * len(classes)).collect()
+    rows = rows.orderBy("lang", "key").limit(max(landmarks, MOST_LANDMARKS)).collect()
     texts = list(dict.fromkeys(r["text"] for r in rows))
     model = landmarks_model(texts, classes)
-    sample = ids.orderBy(F.xxhash64(F.lit(3), "key")).limit(train_rows).select("key")
-    train = docs.join(F.broadcast(sample), "key", "left_semi").select("text", "lang")
+    train = docs.join(F.broadcast(sample), ["key", "lang"], "left_semi").select("text", "lang")
     d = model.root.shape[1] + 1
     total = np.zeros((d, d + len(classes)))
     for r in train.mapInArrow(_normal_equations(model), "sums binary").toLocalIterator():
@@ -168,8 +171,8 @@ def identify(docs: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRAI
     """Predicts the language of every whole text from texts and languages of the training part.
 
     The training part are rows of non-null lang whose crc32(doc_id as text) mod 4 is not 2.
-    Landmarks are at most ``landmarks`` (4 a language at least) of its texts, ridge rows at
-    most ``train_rows``, both in hash order; language, source and doc_id aren't inputs of a prediction.
+    Ridge rows are at most ``train_rows`` of it in hash order, the learned languages those among them, however many; landmarks
+    are at most ``landmarks`` of its texts (4 a language at least, up to 1,000); language, source and doc_id aren't inputs of a prediction.
     A text without letters, empty or null, is "und" with score 0; without training rows
     every text is. Ties go to the alphabetically first language; equal texts get equal results;
     an empty table gives no rows; further columns are ignored.

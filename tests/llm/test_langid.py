@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from candlemill.llm.langid import Alphabet, identify
+from candlemill.llm.langid import Alphabet, identify, landmarks_model
 
 
 def test_held_out_accuracy(make_docs, words):
@@ -32,3 +32,24 @@ def test_spectrum_is_the_same_both_ways():
     long = short * 1000
     assert set(a.spectrum(short).tolist()) <= set(a.spectrum(long).tolist())
     assert len(a.spectrum(long)) == len(np.unique(a.spectrum(long)))
+
+
+def test_kernel_is_shared_grams_over_all_grams(words):
+    """Against sets of strings: letters beyond the landmarks' are one letter, all else a space."""
+    marks = [words(12, i, lang) for i, lang in enumerate(["en", "es", "de", "en"])]
+    texts = [words(20, 50, "es"), "Ab, cd! 123", "中文 and ñu", "x", "", "a" * 30_000 + " b"]
+    known = {c for t in marks for c in t}
+
+    def grams(text):
+        plain = "".join((c if c in known else "?") if c.isalpha() else " " for c in text.lower())
+        return {plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)}
+
+    want = [[len(grams(t) & grams(m)) / (len(grams(t)) * len(grams(m))) ** 0.5 if t else 0.0 for m in marks] for t in texts]
+    assert np.allclose(landmarks_model(marks, ["en"]).kernel(texts), want, atol=1e-6)
+
+
+def test_many_languages(make_docs, words):
+    rows = [(i, words(8, i), f"l{i % 600:04d}") for i in range(2400)]
+    got = identify(make_docs(rows)).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {r[2] for r in rows}
+    assert len({r["lang_pred"] for r in got}) > 100
