@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import logistic_fit
+from .common import logistic_fit, materialize
 
 #: An open list of common English insults; each word is one voter.
 LEXICON = (
@@ -195,7 +195,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     ids = marks.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(train_rows)
     marks = marks.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = plain.join(F.broadcast(marks), "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
-    model = fit(labelled, train_rows)
+    model = fit(materialize(labelled, "labelled"), train_rows)  # a few thousand rows, read three times
     if model is None:
         share = marks.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         return plain.select(
