@@ -111,10 +111,16 @@ _BYTES = np.arange(256)
 _INSIDE = {
     "alnum": (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)),
     "space": (_BYTES != 32) & ((_BYTES < 9) | (_BYTES > 13)),
+    "cased": (_BYTES != 32) & ((_BYTES < 9) | (_BYTES > 13)),
+    "pieces": (_BYTES != 32) & ((_BYTES < 9) | (_BYTES > 13)) & ~np.isin(_BYTES, list(b".,;:!?")),
 }
-#: A random number for each byte, A-Z as a-z, nothing for what separates words.
+#: A random number for each byte, A-Z as a-z (but for "cased"), nothing for what separates words.
 _VALUES = {
-    split: np.where(inside, mix64(np.arange(1, 257, dtype=np.uint64))[np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)], np.uint64(0))
+    split: np.where(
+        inside,
+        mix64(np.arange(1, 257, dtype=np.uint64))[np.where((_BYTES >= 65) & (_BYTES <= 90) & (split != "cased"), _BYTES + 32, _BYTES)],
+        np.uint64(0),
+    )
     for split, inside in _INSIDE.items()
 }
 _BASE = 0xD1342543DE82EF95
@@ -157,7 +163,8 @@ def word_spans(data: np.ndarray, ends: np.ndarray, split: str) -> tuple[np.ndarr
 def hashed_words(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts one after the other, and the place where each text's words start.
 
-    ``split`` is "alnum" (as ``alnum_words``) or "space" (as ``space_words``). The places have one entry more than
+    ``split`` is "alnum" (as ``alnum_words``), "space" (as ``space_words``), "cased" (the same with A-Z kept) or
+    "pieces" (as "space", cut at ``.,;:!?`` too). The places have one entry more than
     there are texts. Works on the bytes of the whole column at once: a word's hash is a
     polynomial of its bytes modulo 2^64, cut out of one running product over all bytes. A null text has no words.
     """

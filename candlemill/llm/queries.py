@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embedding_dedup, langid, licenses, minhash_dedup, packing, quality, secrets, sharding, toxicity
+from . import collocations, decontam, embedding_dedup, langid, licenses, minhash_dedup, oracles, packing, periodic_runs, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -68,6 +68,16 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(c).alias(c.removeprefix("quality_")) for c in judged.columns[1:]])
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document after repeats are planted in every tenth."""
+    docs = periodic_runs.plant_repeats(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.find_runs(docs, ["doc_id"]))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its score by real sites: the host and the first directory of its address; learned from ``documents``."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", page_text(F.col("html")).alias("text"))
@@ -86,8 +96,8 @@ def page_text(html: Column) -> Column:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op4_latent_decontamination, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id, op10_site_quality, page_quality)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op4_latent_decontamination, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id, op10_site_quality, op11_periodic_runs, op13_phrase_collocations, page_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
