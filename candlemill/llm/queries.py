@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontam, embedding_dedup, langid, licenses, minhash_dedup, oracles, packing, periodic_runs, quality, secrets, sharding, toxicity
+from . import collocations, decontam, embedding_dedup, langid, licenses, lm_scoring, minhash_dedup, oracles, packing, periodic_runs, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find_runs(docs, ["doc_id"]))
 
 
+def op12_recurrent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -96,7 +100,7 @@ def page_text(html: Column) -> Column:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op4_latent_decontamination, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id, op10_site_quality, op11_periodic_runs, op13_phrase_collocations, page_quality)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_itq_near_dedup, op3_secret_scan, op4_latent_decontamination, op5_weak_toxicity, op6_license_diagonals, op7_minhash_near_dedup, op8_mixture_packing, op9_kernel_language_id, op10_site_quality, op11_periodic_runs, op12_recurrent_scoring, op13_phrase_collocations, page_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
