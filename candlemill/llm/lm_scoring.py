@@ -21,6 +21,8 @@ CLASSES, CLASS_WORDS = 32, 64
 OTHER, END = 0, 1
 #: Units, texts side by side, steps of a window (beyond which no gradient goes back), rounds of training, step size, largest gradient norm.
 UNITS, LANES, WINDOW, ROUNDS, RATE, CLIP = 16, 256, 32, 4, 0.1, 5.0
+#: Training goes over a longer text in stretches of so many ids, each from an empty state, so that no lane runs on alone.
+STRETCH = 1024
 #: Scores of classes and words lie within these bounds, so padding has a share of 1e-24.
 BOUND = 55.0
 #: Added to every count.
@@ -214,8 +216,10 @@ def _next(windows, state):
 
 
 def learn(w: Weights, squares: Weights, ids: np.ndarray, lengths: np.ndarray, lanes: int = LANES) -> int:
-    """One pass of truncated backpropagation over the texts; changes weights and squared gradients (Adagrad) in place; returns the ids seen."""
-    dealt = Lanes(ids, lengths, lanes)
+    """One pass of truncated backpropagation over all the texts' ids; changes weights and squared gradients (Adagrad) in place; returns the ids seen."""
+    parts = -(-lengths // STRETCH)
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    dealt = Lanes(ids, np.minimum(np.repeat(lengths, parts) - place * STRETCH, STRETCH), lanes)
     windows = dealt.windows(w["inner"].shape[0])
     step = next(windows, None)
     while step is not None:
