@@ -15,9 +15,8 @@ from ..functions.arrays import euclidean_distance, resample
 from ..functions.columns import KEY
 from ..functions.storage import stored
 from .indicators import local_extrema
-
-#: Average linkage holds a distance matrix, so it runs on at most this many cells of windows.
-MOST_LINKED = 2_000
+from .linkage import linked_windows
+from .neighbours import fine
 
 
 def eligible_series(bars: DataFrame, vectors: DataFrame, least_bars: int = 20, least_vectors: int = 10) -> DataFrame:
@@ -87,59 +86,20 @@ def dtw_similarity(pairs: DataFrame, radius: int = 3) -> DataFrame:
     return pairs.withColumn("similarity", F.greatest(F.lit(0.0), 1 - dtw(F.col("va"), F.col("vb"), radius) / far))
 
 
-def average_linkage(distance: np.ndarray, clusters: int, weight: np.ndarray | None = None) -> np.ndarray:
-    """Labels 0.. of average-linkage clusters of a full distance matrix; a point of weight n counts as n equal ones."""
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(len(d)) if weight is None else weight.astype(float).copy()
-    label, alive = np.arange(len(d)), len(d)
-    while alive > clusters:
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        alive -= 1
-    return np.unique(label, return_inverse=True)[1]
-
-
-def shape_cells(windows: DataFrame, values: str, most: int) -> DataFrame:
-    """Adds ``cell``: equal windows share one; if that makes more than ``most``, windows that are equal on a coarser grid, as fine as can be."""
-    for levels in (None, 64, 32, 16, 8, 4, 2, 1):
-        shape = F.col(values) if levels is None else F.transform(values, lambda x: F.round(x * levels))
-        out = windows.withColumn("cell", F.xxhash64(F.size(values), shape))
-        if out.select("cell").distinct().count() <= most:
-            break
-    return out
-
-
-def discover_simple(
-    windows: DataFrame, max_clusters: int = 10, min_freq: int = 3, key: str = KEY, values: str = "tail", most: int = MOST_LINKED
-) -> DataFrame:
+def discover_simple(windows: DataFrame, max_clusters: int = 10, min_freq: int = 3, key: str = KEY, values: str = "tail") -> DataFrame:
     """L2 patterns from windows scaled to 0..1: average linkage by warped distance, prototypes of the median length.
 
-    Every window counts. Equal windows are one cell with its count; if there are more than ``most`` cells, windows join cells on a
-    grid, as fine as that bound allows, whose mean stands for them. Distances between cells come from Spark, the tree is built from the bounded matrix
-    with the counts as weights. Null and empty windows are left out; fewer windows than two clusters need give no rows.
+    Every window counts, equal ones as one of their weight; the tree is that of all different windows, whatever their number (see ``linkage``).
+    Null and empty windows and those with null or non-finite values are left out; fewer windows than two clusters need give no rows. Patterns are
+    numbered by the smallest key of their cluster.
     """
     spark = windows.sparkSession
-    windows = stored(shape_cells(windows.where(F.size(values) > 0).select(key, values), values, most), "windows")
-    spots = windows.select("cell", F.posexplode(values).alias("pos", "value")).groupBy("cell", "pos").agg(F.avg("value").alias("value"))
-    cells = stored(vectors_of(spots, "cell").withColumnRenamed("vector", values), "cells")
-    counts = windows.groupBy("cell").count().orderBy("cell").collect()
-    place = {r["cell"]: i for i, r in enumerate(counts)}
-    k = min(max_clusters, sum(r["count"] for r in counts) // min_freq, len(counts))
+    windows = stored(windows.where(fine(values)).select(key, values), "windows")
+    rows, shapes = windows.agg(F.count("*"), F.count_distinct(values)).first()
+    k = min(max_clusters, rows // min_freq, shapes)
     if k < 2:
         return spark.createDataFrame([], "pattern_id string, complexity int, frequency long, prototype array<double>, avg_length double, length_std double")
-    distance = np.zeros((len(counts), len(counts)))
-    pairs = pairwise_dtw(cells.repartition(spark.sparkContext.defaultParallelism), "cell", values).toArrow()
-    a, b = ([place[c] for c in pairs.column(x).to_pylist()] for x in "ab")
-    distance[a, b] = distance[b, a] = pairs.column("distance").to_numpy()
-    labels = average_linkage(distance, k, np.array([r["count"] for r in counts]))
-    named = spark.createDataFrame([(r["cell"], int(c)) for r, c in zip(counts, labels)], "cell long, cluster int")
-    members = windows.join(F.broadcast(named), "cell").withColumn("__length", F.size(values))
+    members = stored(linked_windows(windows, k, key=key, values=values), "linked").join(windows, key).withColumn("__length", F.size(values))
     found = members.groupBy("cluster").agg(F.count("*").alias("frequency"), F.avg("__length").alias("avg_length"), F.stddev_pop("__length").alias("length_std"))
     prototypes = vectors_of(barycenter(members, values), "cluster").withColumnRenamed("vector", "prototype")
     return found.where(F.col("frequency") >= min_freq).join(prototypes, "cluster").select(

@@ -337,6 +337,9 @@ shapes as (
   union all select series_id, 82, p from tops union all select series_id, 83, v from tops union all select series_id, 84, p + v from tops)"""
 
 
+TWO = "two as (select a.series_id as a, b.series_id as b, a.v as va, b.v as vb, a.n, b.n as m from windows a join windows b on a.series_id < b.series_id)"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "bars_load": over("bars", "select series_id, trade_date, seq, open, high, low, close, vol from bars where trade_date between date '1994-01-01' and date '1995-12-31'"),
@@ -345,6 +348,14 @@ def oracle_sql() -> dict[str, str]:
         "delisted_codes": over("delisted", "select cast(series_id as varchar) as series_id from delisted"),
         "shape_features": over("bars", f", {SHAPES} select series_id, cast(pos as bigint) as pos, {r6s('value')} from shapes"),
         "pairwise_dtw": over("bars", f", {WINDOWS}, two as (select a.series_id as a, b.series_id as b, a.v as va, b.v as vb, a.n, b.n as m from windows a join windows b on a.series_id < b.series_id), {warped('two', 8, 'greatest(1, abs(n - m))', 4)} select a, b, {r6s('distance')} from warped"),
+        "near_windows": over("bars", f""", {WINDOWS}, {TWO}, {warped('two', 8, 'greatest(1, abs(n - m))', 4)},
+near as (select a, b from warped where distance <= 0.5e0 union all select b, a from warped where distance <= 0.5e0)
+select series_id, (select min(x.series_id) from windows x where x.v = w.v) as class_id, (select count(*) from near where a = series_id) as n_links from windows w"""),
+        "nearest_windows": over("bars", f""", {WINDOWS}, {TWO}, {warped('two', 8, 'greatest(1, abs(n - m))', 4)},
+firsts as (select min(series_id) as id from windows group by v),
+near as (select a, b, distance from warped union all select b, a, distance from warped),
+ranked as (select a as id, row_number() over (partition by a order by distance, b) as rank, b as neighbour, distance from near semi join firsts x on a = x.id semi join firsts y on b = y.id)
+select id, rank, neighbour, {r6s('distance')} from ranked where rank <= 3"""),
         "sim_dtw": over("library_points", f", {LIB}, {SCALED}, {pairs('scaled', 'pattern_id')}, two as (select a, b, va, vb, m as n, m from pairs), {warped('two', 39, '3', 3)} select a, b, {r6('greatest(0e0, 1 - distance / (2 * sqrt(n) + 1e-10))', 'similarity')} from warped"),
         "library_roundtrip": over("library_points", "select pattern_id, cast(complexity as bigint) as complexity, cast(frequency as bigint) as frequency, cast(pos as bigint) as pos, value from library_points"),
         "state_roundtrip": over("library_points expectancy", f", {LIB} select pattern_id, cast(len as bigint) as len, {r6s('expectancy', 'win_rate')}, rating from lib left join expectancy using (pattern_id)"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.columns import KEY, ORDER, r6
 from .functions.storage import work_path
 from .jobs import market
-from .operators import cleaning, discovery, evaluation, indicators, matching, recognition, serving
+from .operators import cleaning, discovery, evaluation, indicators, matching, neighbours, recognition, serving
 from .sources import bars as bar_sources
 from .sources import state
 from .sources.tables import load
@@ -302,6 +302,17 @@ def pairwise_dtw(spark, d):
     return rounded(discovery.pairwise_dtw(short_windows(spark, d)), "distance")
 
 
+@query
+def near_windows(spark, d):
+    """Windows of 4 to 8 closes and how many others lie within a warped distance of 0.5."""
+    return neighbours.near_windows(short_windows(spark, d), 0.5)
+
+
+@query
+def nearest_windows(spark, d):
+    return rounded(neighbours.nearest_windows(short_windows(spark, d), 3), "distance").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query
 def discover_l2(spark, d):
     return rounded(discovery.discover_simple(short_windows(spark, d)).drop("prototype"), "avg_length", "length_std")

@@ -11,7 +11,7 @@ from candlemill.functions.arrays import resample
 from candlemill.functions.columns import KEY
 from candlemill.functions.ewm import ewm
 from candlemill.jobs import market
-from candlemill.operators import cleaning, discovery, evaluation, indicators, matching, recognition, serving
+from candlemill.operators import cleaning, discovery, evaluation, indicators, linkage, matching, recognition, serving
 from candlemill.sources import bars as sources
 from candlemill.sources import state
 
@@ -179,7 +179,7 @@ def test_scan_edges(spark):
 
 def test_average_linkage_and_dtw():
     x = np.array([0, 0.1, 5, 5.1, 5.2, 9])
-    labels = discovery.average_linkage(np.abs(x[:, None] - x[None]), 3)
+    labels = linkage.average_linkage(np.abs(x[:, None] - x[None]), 3)
     assert len(set(labels[:2])) == 1 and len(set(labels[2:5])) == 1 and len(set(labels)) == 3
     rng = np.random.default_rng(0)
     a, b = rng.random((20, 6)), rng.random((20, 6))
@@ -203,9 +203,8 @@ def test_simple_discovery_counts_every_window(spark):
     shapes = ([0, 0.3, 0.7, 1], [1, 0.6, 0.3, 0], [0, 1, 0, 1, 0])
     rows = [(i, [float(v) for v in np.clip(np.array(shapes[i % 3]) + 0.02 * rng.random(len(shapes[i % 3])), 0, 1)]) for i in range(60)]
     odd = [(100, None), (101, [])]
-    for most in (2000, 20):  # with and without a coarser grid
-        got = {tuple(np.round(r["prototype"], 0)): r["frequency"] for r in discovery.discover_simple(spark.createDataFrame(rows + odd, WINDOWS), 3, 3, most=most).collect()}
-        assert sorted(got.values()) == [20, 20, 20] and {len(k) for k in got} == {4, 5}
+    got = {tuple(np.round(r["prototype"], 0)): r["frequency"] for r in discovery.discover_simple(spark.createDataFrame(rows + odd, WINDOWS), 3, 3).collect()}
+    assert sorted(got.values()) == [20, 20, 20] and {len(k) for k in got} == {4, 5}
     assert discovery.discover_simple(spark.createDataFrame(rows[:2], WINDOWS)).count() == 0
     assert discovery.discover_simple(spark.createDataFrame([], WINDOWS)).count() == 0
 
@@ -216,7 +215,7 @@ def test_weighted_linkage_is_that_of_repeated_points():
     plain = np.repeat(x, n)
     far = lambda v: np.abs(v[:, None] - v[None])
     for k in (2, 3, 4):
-        a, b = np.repeat(discovery.average_linkage(far(x), k, n), n), discovery.average_linkage(far(plain), k)
+        a, b = np.repeat(linkage.average_linkage(far(x), k, n), n), linkage.average_linkage(far(plain), k)
         assert ((a[:, None] == a[None]) == (b[:, None] == b[None])).all()
 
 
