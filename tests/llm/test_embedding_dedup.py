@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from candlemill.llm.embedding_dedup import fit_itq, link_vectors, table_recall, tables_needed
+from candlemill.llm.embedding_dedup import MOST_TABLES, fit_itq, link_vectors, planted_agreement, recall_of, tables_needed
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string, key string, copies string"
 
@@ -65,15 +65,47 @@ def test_codes_are_balanced():
     assert q.bits == 128 and np.abs(q.codes(x).mean(axis=0) - 0.5).max() < 0.15
 
 
-@pytest.mark.parametrize("key_bits", [17, 20])  # those of a million and of ten million rows
-def test_isolated_pairs_are_found_with_long_substrings(spark, key_bits):
-    assert table_recall(0.95, key_bits, tables_needed(0.95, key_bits)) >= 0.99
-    rng = np.random.default_rng(key_bits)
-    a, b = rng.standard_normal((2, 800, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
-    b = 0.951 * a + np.sqrt(1 - 0.951**2) * b
-    rows = [(i, [float(v) for v in x], 0, "a", "b", "c") for i, x in enumerate(np.vstack([a, b]))]
-    got = link_vectors(spark.createDataFrame(rows, SCHEMA), cosine=0.95, key_bits=key_bits)
-    assert got.where("n_links = 1").count() >= 0.97 * len(rows)
+def cone(rng, n, mean, d=32):
+    """Vectors whose cosines to each other are ``mean`` on average."""
+    around = rng.standard_normal((n, d))
+    around /= np.linalg.norm(around, axis=1, keepdims=True)
+    axis = np.zeros(d)
+    axis[0] = 1
+    return np.sqrt(mean) * axis + np.sqrt(1 - mean) * around
+
+
+@pytest.mark.parametrize("mean,key_bits", [(0.0, None), (0.5, None), (0.8, None), (0.9, None), (0.0, 17), (0.0, 20), (0.5, 17), (0.5, 20), (0.8, 17), (0.9, 20)])
+def test_recall_wherever_vectors_lie(spark, mean, key_bits):
+    """Pairs just above the cosine in narrow and wide cones, with the substrings of 1e6 and 1e7 rows too."""
+    rng = np.random.default_rng(int(10 * mean))
+    x = cone(rng, 1000, mean)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = cone(rng, 1000, mean) - x  # towards others like them
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * turn
+    rows = [(i, v.tolist(), 0, "a", "b", "c") for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    both = np.array([r[1] for r in rows])
+    want = (both @ both.T >= 0.95).sum() - len(both)
+    got = link_vectors(df, key_bits=key_bits).agg({"n_links": "sum"}).first()[0]
+    assert want >= 2000 and 0.98 * want <= got <= want
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8, 0.9])
+@pytest.mark.parametrize("key_bits", [10, 17, 20])
+def test_tables_reach_their_share(mean, key_bits):
+    unit = cone(np.random.default_rng(1), 2000, mean)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    agreement = planted_agreement(fit_itq(unit, 3), unit, 0.95, 4)
+    bits, tables = tables_needed(agreement, key_bits)
+    assert bits <= key_bits and tables <= MOST_TABLES and recall_of(agreement, bits, tables) >= 0.99
+
+
+def test_vectors_of_one_id_stay_apart(spark):
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    near = lambda v: (v + 0.01 * np.eye(8)[5]).tolist()
+    rows = [(5, a.tolist()), (5, b.tolist()), (6, near(a)), (7, near(b)), (4, near(b))]
+    for order in (rows, rows[::-1]):
+        got = link_vectors(spark.createDataFrame(order, "vec_id long, embedding array<double>")).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(4, 2, 4), (5, 1, 5), (5, 2, 4), (6, 1, 5), (7, 2, 4)]
