@@ -10,13 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.chunks import CHUNK, over_chunks
 from ..functions.columns import KEY, ORDER
 
 #: Patterns that go to all tasks at once.
 MOST_PATTERNS = 50_000
+#: Numbers of a matrix product at once.
+CELLS = 1 << 21
 SIMILARITY = "array<struct<pattern: int, similarity: double>>"
 
 
@@ -51,16 +56,22 @@ def patterns_of(library: DataFrame, most: int = MOST_PATTERNS) -> list[list]:
     return [library.where(at == p).orderBy("pattern_id").collect() for p in range(parts)]
 
 
-def tail_hits(patterns: list, threshold: float):
-    """A function of tails: the patterns near to each tail's last values, as (pattern, similarity).
-
-    Tails of a batch are compared with all prototypes of one length as one matrix product.
-    """
+def by_length(patterns: list) -> list:
+    """(length, numbers, prototypes, whether they are compared by correlation) for each length there is."""
     groups = []
     for size in sorted({len(r["prototype"]) for r in patterns}):
         at = [i for i, r in enumerate(patterns) if len(r["prototype"]) == size]
         prototypes = np.array([patterns[i]["prototype"] for i in at], dtype=float)
         groups.append((size, np.array(at), prototypes, np.array([patterns[i]["complexity"] >= 3 for i in at])))
+    return groups
+
+
+def tail_hits(patterns: list, threshold: float):
+    """A function of tails: the patterns near to each tail's last values, as (pattern, similarity).
+
+    Tails of a batch are compared with all prototypes of one length as one matrix product.
+    """
+    groups = by_length(patterns)
 
     @F.pandas_udf(SIMILARITY)
     def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,18 +115,57 @@ def longest_of(library: list[list], least: int) -> int:
     return max([least, *(len(r["prototype"]) for part in library for r in part)])
 
 
-def history_trades(bars: DataFrame, library: DataFrame, holding: int = 5, threshold: float = 0.9, most_patterns: int = MOST_PATTERNS) -> DataFrame:
+def sliding_hits(closes: np.ndarray, before: int, groups: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (from ``before`` on) whose trailing closes look like a prototype, the prototype and the similarity.
+
+    Windows of one length are a view of the closes; a stretch of them is compared with all prototypes of that length as one matrix product.
+    Windows with a missing close are left out.
+    """
+    rows, found, similar = [], [], []
+    for size, at, prototypes, correlated in groups:
+        if len(closes) < size:
+            continue
+        windows = np.lib.stride_tricks.sliding_window_view(closes, size)
+        ends = np.arange(max(before, size - 1), len(closes))
+        ends = ends[~np.isnan(windows[ends - size + 1]).any(axis=1)] if np.isnan(closes).any() else ends
+        step = max(1, CELLS // (size + len(at)))
+        for s in range(0, len(ends), step):
+            part = ends[s : s + step]
+            for row, hits in zip(part.tolist(), window_hits(windows[part - size + 1], prototypes, correlated, threshold)):
+                rows += [row] * len(hits)
+                found += [int(at[h["pattern"]]) for h in hits]
+                similar += [h["similarity"] for h in hits]
+    return np.array(rows, dtype=np.int64), np.array(found, dtype=np.int32), np.array(similar, dtype=np.float64)
+
+
+def history_trades(
+    bars: DataFrame, library: DataFrame, holding: int = 5, threshold: float = 0.9, most_patterns: int = MOST_PATTERNS, chunk: int = CHUNK
+) -> DataFrame:
     """Every window of a series that looks like a prototype is a trade: in at the window's last close, out ``holding`` bars later.
 
-    The trailing closes of each bar, as many as the longest prototype has, are taken once; a task compares their last ones with all
-    prototypes of each length as one matrix product an Arrow batch, and only hits leave it. Windows with a null close match nothing; an empty library gives no trades.
+    Series are cut into chunks that repeat as many rows from before as the longest prototype has; a task slides over a chunk's closes, and only hits
+    leave it, so a bar is sent about once however long prototypes are. Windows with a null close match nothing; an empty library gives no trades.
     """
     patterns = patterns_of(library, most_patterns)
     w = Window.partitionBy(KEY).orderBy(ORDER)
-    ahead = bars.withColumn("exit_price", F.lead("close", holding).over(w)).withColumn("exit_date", F.lead("trade_date", holding).over(w))
-    ahead = ahead.withColumn("tail", F.collect_list(F.coalesce("close", F.lit(float("nan")))).over(w.rowsBetween(1 - longest_of(patterns, 1), 0)))
-    tails = ahead.where("exit_price is not null and close is not null").select(
-        KEY, ORDER, F.col("trade_date").alias("entry_date"), "exit_date", F.col("close").alias("entry_price"), "exit_price", "tail"
-    )
-    found = compare_tails(tails, patterns, threshold)
-    return found.withColumn("return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * 100)
+    ahead = bars.select(KEY, ORDER, F.col("trade_date").alias("entry_date"), F.col("close").cast("double").alias("entry_price"))
+    ahead = ahead.withColumn("exit_date", F.lead("entry_date", holding).over(w)).withColumn("exit_price", F.lead("entry_price", holding).over(w))
+    own = [KEY, ORDER, "entry_date", "exit_date", "entry_price", "exit_price"]
+    added = [T.StructField("pattern", T.IntegerType()), T.StructField("similarity", T.DoubleType())]
+    trades = None
+    for part in patterns or [[]]:
+        groups = by_length(part)
+
+        def slide(table: pa.Table, before: int, groups: list = groups) -> pa.Table:
+            closes = table.column("entry_price").to_numpy().astype(float)
+            rows, found, similar = sliding_hits(closes, before, groups, threshold)
+            return table.take(pa.array(rows)).append_column("pattern", pa.array(found)).append_column("similarity", pa.array(similar))
+
+        hits = over_chunks(ahead.select(*own), longest_of([part], 1) - 1, slide, added, chunk).where("exit_price is not null")
+        known = bars.sparkSession.createDataFrame(
+            [(i, r["pattern_id"], r["complexity"], r["frequency"], len(r["prototype"])) for i, r in enumerate(part)],
+            "pattern int, pattern_id string, complexity int, frequency long, window_size long",
+        )
+        named = hits.join(F.broadcast(known), "pattern").select(*own, "pattern_id", "complexity", "frequency", "window_size", "similarity")
+        trades = named if trades is None else trades.union(named)
+    return trades.withColumn("return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * 100)
