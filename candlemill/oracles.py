@@ -261,20 +261,20 @@ STREAM = """days as (
     max_by(price, (ts, event_id)) as close, sum(size) as vol
   from ticks group by 1, 2),
 closed as (select * from days where bar_date + interval 1 day <= (select max(ts) - interval 1 hour from ticks))"""
-HISTORY = """wins as (
-  select b.series_id, b.seq, p.pattern_id, p.complexity, p.len, w.close, p.value
-  from bars b join library_points p on b.seq >= p.len
-  join bars w on w.series_id = b.series_id and w.seq = b.seq - p.len + 1 + p.pos),
-wr as (select *, min(close) over w as lo, max(close) over w as hi, min(value) over w as plo, max(value) over w as phi
-  from wins where complexity < 3 window w as (partition by series_id, seq, pattern_id)),
+HISTORY = """tails as (select series_id, seq, list(close) over (partition by series_id order by seq rows between 38 preceding and current row) as tail from bars),
+protos as (select pattern_id, complexity, len, list(value order by pos) as p from library_points group by all),
+pairs as (
+  select series_id, seq, pattern_id, complexity, tail[len(tail) - protos.len + 1 :] as v, p from tails join protos on seq >= protos.len),
+spans as (select *, list_min(v) as lo, list_max(v) as hi, list_min(p) as plo, list_max(p) as phi, list_avg(v) as m, list_avg(p) as pm from pairs),
 ws as (
-  select series_id, seq, pattern_id, case when max(close) > min(close) and max(value) > min(value) then (corr(close, value) + 1) / 2 else 0e0 end as similarity
-  from wins where complexity >= 3 group by series_id, seq, pattern_id
+  select series_id, seq, pattern_id, case when hi > lo and phi > plo
+    then (list_cosine_similarity(list_transform(v, lambda x: x - m), list_transform(p, lambda x: x - pm)) + 1) / 2 else 0e0 end as similarity
+  from spans where complexity >= 3
   union all
-  select series_id, seq, pattern_id, greatest(0e0, 1 - sqrt(sum((a - b) * (a - b))) / sqrt(count(*)))
-  from (select series_id, seq, pattern_id, case when hi > lo then (close - lo) / (hi - lo) else 0e0 end as a,
-          case when phi > plo then (value - plo) / (phi - plo) else 0e0 end as b from wr)
-  group by series_id, seq, pattern_id)"""
+  select series_id, seq, pattern_id, greatest(0e0, 1 - list_distance(
+    list_transform(v, lambda x: case when hi > lo then (x - lo) / (hi - lo) else 0e0 end),
+    list_transform(p, lambda x: case when phi > plo then (x - plo) / (phi - plo) else 0e0 end)) / sqrt(len(v)))
+  from spans where complexity < 3)"""
 REGIME = f"""g0 as (select *, close / lag(close) over ({S}) - 1 as ret from bars),
 g1 as (select *, case when seq > 20 then round(stddev_samp(ret) over {trail(20)}, 12) end as vol20,
   abs({full(f'avg(close) over {trail(20)}', 20)} - {full(f'avg(close) over {trail(50)}', 50)}) / close as strength from g0),
