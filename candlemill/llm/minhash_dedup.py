@@ -15,6 +15,8 @@ from .graph import components, map_groups, smallest_reachable
 #: 32 bands of 5 minima: at a similarity of 0.8 a pair meets in no band with probability 3e-6.
 BANDS, ROWS = 32, 5
 BLOCK = 256
+#: A class of more rows than this, and than a 100,000th of all, is broadcast to its rows.
+MANY, MANY_CLASSES = 10_000, 100_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -43,6 +45,14 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that depend on every shingle of a set."""
+    return (
+        int((s * np.uint64(0xD6E8FEB86659FD93)).sum().astype(np.int64)),
+        int(np.bitwise_xor.reduce(s * s * np.uint64(0xA0761D6478BD642F) + s).astype(np.int64)),
+    )
+
+
 def _sign(k: int, seed: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _universal(seed)
@@ -58,9 +68,9 @@ def _sign(k: int, seed: int):
                     keys.append(None)
                     continue
                 sig = signature(s, a, b)
-                # the class of equal sets: 128 bits that depend on every shingle
-                fp1.append(int((s * np.uint64(0xD6E8FEB86659FD93)).sum().astype(np.int64)))
-                fp2.append(int(np.bitwise_xor.reduce(s * s * np.uint64(0xA0761D6478BD642F) + s).astype(np.int64)))
+                one, two = fingerprint(s)
+                fp1.append(one)
+                fp2.append(two)
                 x = (sig.reshape(BANDS, ROWS) * odd).sum(axis=1) ^ weights
                 keys.append((x ^ (x >> np.uint64(31))).astype(np.int64))
             yield pa.RecordBatch.from_pydict(
@@ -79,12 +89,33 @@ def _sign(k: int, seed: int):
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices_of(whole)):
-            found = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "shingles": pa.array(found, pa.binary())})
+            found = list(shingle_sets(batch.column("text"), k))
+            prints = [fingerprint(s) if len(s) else (None, None) for s in found]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "rep": batch.column("doc_id"), "fp1": pa.array([x for x, _ in prints], pa.int64()),
+                    "fp2": pa.array([y for _, y in prints], pa.int64()), "shingles": pa.array([s.tobytes() for s in found], pa.binary()),
+                }
+            )
 
     return sets
 
 
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` with the ``columns`` of their class, by ``keys``. Classes of very many ``copies``, of which there are few, are broadcast, so
+    that their rows stay spread over all tasks."""
+    most = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") > max(MANY, most // MANY_CLASSES)
+    few = classes.where(hot).select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in columns])
+    rows = rows.join(F.broadcast(few), keys, "left")
+    salt = F.when(F.col(f"__hot_{columns[0]}").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    rest = classes.where(~hot).select(*keys, F.shiftright("copies", 62).alias("__salt"), *columns)  # always 0
+    joined = rows.withColumn("__salt", salt).join(rest, [*keys, "__salt"], "left")
+    for c in columns:
+        joined = joined.withColumn(c, F.coalesce(f"__hot_{c}", c))
+    return joined.drop("__salt", *[f"__hot_{c}" for c in columns])
+
+
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Symmetric matrix of 100 * intersection >= percent * union, counted on the full sets."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -111,7 +142,7 @@ def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _verify(percent: int):
     def verify(cell: pa.Table) -> pa.Table | None:
-        reps = np.asarray(cell.column("rep").to_numpy())
+        reps = np.asarray(cell.column("cid").to_numpy())
         reps, keep = np.unique(reps, return_index=True)
         if len(reps) < 2:
             return None
@@ -132,16 +163,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
     linked if 100 * intersection >= percent * union. Steps:
 
     1. signatures and band keys of all texts, written once; documents of equal sets are one
-       class from here on, whatever their number, and its smallest id stands for it;
+       class with a key of its own from here on, whatever their number;
     2. classes that share a band key make candidate groups (connected components);
     3. candidate groups are dealt into blocks of at most 256 classes, and each pair of blocks
        that share a band key is compared by its full sets, as a matrix product inside a
        task; tasks give back one link per class at most, never all pairs;
-    4. connected components of these links.
+    4. connected components of these links and of links between the classes of one doc_id, whose rows count as one document.
 
     Returns doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id =
     component_id), one row per input row. Null or empty texts and texts without words have
-    no shingles and are linked with nothing; rows of one doc_id count as one document; a null doc_id
+    no shingles and are linked with nothing; a null doc_id
     is linked with nothing; an empty table gives no rows; further columns, whatever their names, are ignored.
     Texts of any length are compared whole.
     """
@@ -150,39 +181,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
         light.mapInArrow(_sign(k, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>"), "signed"
     )
     usable = signed.where("fp1 is not null and doc_id is not null")
-    classes = usable.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    firsts = usable.join(classes.select("rep").distinct().withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    rows = firsts.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top")
+    classes = usable.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    prints = ["n_shingles", "fp1", "fp2"]
+    firsts = usable.join(classes.select(*prints, F.col("rep").alias("doc_id"), "cid"), [*prints, "doc_id"])
+    rows = firsts.select("cid", F.explode("keys").alias("key"))
+    hubs = rows.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub < top")
     shared = materialize(rows.join(hubs.select("key", "hub"), "key"), "shared")
 
-    groups = components(shared.select("rep", "hub").distinct(), "rep", "hub").withColumnRenamed("node", "rep")
-    indexed, _ = global_index(groups.select("rep", "component"), [F.col("component"), F.col("rep")], "__row")
+    groups = components(shared.select("cid", "hub").distinct(), "cid", "hub").withColumnRenamed("node", "cid")
+    indexed, _ = global_index(groups.select("cid", "component"), [F.col("component"), F.col("cid")], "__row")
     spans = indexed.groupBy("component").agg(F.min("__row").alias("first"), F.count("*").alias("members"))
     placed = indexed.join(spans, "component").select(
-        "component", "rep", F.expr(f"(__row - first) div {BLOCK}").alias("block"), (F.col("members") > BLOCK).alias("large")
+        "component", "cid", F.expr(f"(__row - first) div {BLOCK}").alias("block"), (F.col("members") > BLOCK).alias("large")
     )
     placed = materialize(placed, "placed")
 
     small = placed.where("not large").select("component", "block", F.col("block").alias("i"), F.col("block").alias("j")).distinct()
-    meets = shared.join(placed.where("large"), "rep").select("key", "component", "block").distinct()
+    meets = shared.join(placed.where("large"), "cid").select("key", "component", "block").distinct()
     pairs = meets.join(meets.withColumnRenamed("block", "other"), ["key", "component"]).where("block <= other")
     pairs = pairs.select("component", F.col("block").alias("i"), F.col("other").alias("j")).distinct()
     cells = pairs.select("component", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j").union(small)
 
-    texts = light.join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.withColumnRenamed("doc_id", "rep").mapInArrow(_sets(k), "rep long, shingles binary")
-    dealt = sets.join(placed, "rep").join(cells, ["component", "block"]).select("component", "i", "j", "rep", "shingles")
+    named = placed.join(classes.select("cid", "rep", "fp1", "fp2"), "cid")
+    texts = light.join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(k), "rep long, fp1 long, fp2 long, shingles binary")
+    dealt = sets.join(named, ["rep", "fp1", "fp2"]).join(cells, ["component", "block"]).select("component", "i", "j", "cid", "shingles")
     links = map_groups(dealt, ["component", "i", "j"], _verify(percent), "a long, b long")
-    found = components(links, "a", "b")
 
-    class_of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("n_shingles").alias("__n"), F.col("fp1").alias("__f1"), F.col("fp2").alias("__f2"),
-        F.coalesce("component", "rep").alias("component_id"),
-    )
-    own = signed.select("doc_id", "n_shingles", "fp1", "fp2")
-    joined = own.join(class_of, (own.n_shingles == class_of.__n) & (own.fp1 == class_of.__f1) & (own.fp2 == class_of.__f2), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    own = signed.select("doc_id", *prints)
+    coded = materialize(with_class(own.where("fp1 is not null and doc_id is not null"), classes, prints, ["cid"]).select("doc_id", "n_shingles", "cid"), "coded")
+    several = coded.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).where("b < top").select("doc_id", "b")
+    same = coded.join(several, "doc_id").where("cid <> b").select(F.col("cid").alias("a"), "b")
+    found = components(links.union(same), "a", "b").withColumnRenamed("node", "cid")
+
+    ends = classes.select("cid", "rep", "copies").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    smallest = ends.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ends = ends.join(smallest, "component").select("cid", "copies", "component_id")
+    joined = with_class(coded, ends, ["cid"], ["component_id"]).select("doc_id", "n_shingles", "component_id")
+    alone = own.where("fp1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

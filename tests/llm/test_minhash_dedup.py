@@ -63,3 +63,20 @@ def test_exact_links():
         for j, b in enumerate(sets):
             a_, b_ = set(a.tolist()), set(b.tolist())
             assert got[i, j] == (100 * len(a_ & b_) >= 50 * len(a_ | b_))
+
+
+def test_one_id_with_several_texts_is_one_document(make_docs, words):
+    a, b, c = (words(60, k) for k in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (4, None), (4, c + " z"), (9, c), (1, a)]
+    for order in (rows, rows[::-1]):
+        got = near_duplicates(make_docs(order)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (9, 4)} and len(got) == len(rows)
+
+
+def test_very_many_copies(make_docs, words, monkeypatch):
+    from candlemill.llm import minhash_dedup
+
+    monkeypatch.setattr(minhash_dedup, "MANY", 5)
+    rows = [(i, words(30, 0)) for i in range(10, 60)] + [(i, words(30, i)) for i in range(100, 130)] + [(5, words(30, 0) + " end")]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows)).collect()}
+    assert got == {i: 5 if i < 100 else i for i, _ in rows}
