@@ -36,12 +36,43 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
+#: What names a license. A span of a label must hold, word for word and unbroken, one of those that its template holds.
+NAMES = (
+    ("gpl", "GNU General Public License"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("apache", "Apache License, Version 2.0"),
+    ("mit", "MIT License"),
+    ("mit", "this software and associated documentation files"),
+    ("bsd", "Redistribution and use in source and binary"),
+    ("isc", "this software for any purpose with or without fee"),
+    ("mpl", "Mozilla Public License"),
+    ("unlicense", "released into the public domain"),
+    ("cc-by", "Creative Commons Attribution 4.0"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0"),
+    ("cc-by-nd", "Creative Commons Attribution-NoDerivatives 4.0"),
+    ("cc-by-nc-sa", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"),
+    ("cc-by-nc-nd", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"),
+    ("cc-by-sa", "CC BY-SA 4.0"),
+    ("cc-by-nc", "CC BY-NC 4.0"),
+    ("cc-by-nd", "CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "CC BY-NC-ND 4.0"),
+    ("cc0", "waived all copyright and related or neighboring rights"),
+)
+
 K, DRIFT, LEAST_COVER = 4, 3, 0.7
 BASE = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>"
 
@@ -104,6 +135,17 @@ def word_hashes_of(text: str) -> np.ndarray:
     return hashed_words(pa.array([text]), "alnum")[0]
 
 
+def names_in(words: np.ndarray, label: str, names: tuple[tuple[str, str], ...]) -> list[list[int]]:
+    """Positions of each place in a template's words at which one of its label's names stands."""
+    whole = np.array([0, len(words)])
+    found = []
+    for of, name in names:
+        phrase = word_hashes_of(name)
+        if of == label:
+            found += [list(range(at, at + len(phrase))) for at in phrase_places(words, whole, phrase)[1].tolist()]
+    return found
+
+
 def best_of_overlapping(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Of spans of one text that overlap, those that no overlapping one beats.
 
@@ -128,7 +170,8 @@ def best_of_overlapping(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def scan_licenses(
-    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, cover: float = LEAST_COVER
+    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, cover: float = LEAST_COVER,
+    names: tuple[tuple[str, str], ...] = NAMES,
 ) -> DataFrame:
     """License phrases and near-verbatim license notices in every whole text.
 
@@ -136,22 +179,23 @@ def scan_licenses(
     (a broadcast of as many rows as the template list has words). Hits vote for (document,
     template, diagonal = word position - template position); neighbouring diagonals, at most
     3 apart, are merged, so a few inserted or missing words don't break a notice; a merged span counts if
-    the template words under its hits are at least ``cover`` of the template and the span is no
-    longer than one and a half templates. Of verified spans that overlap, as those of notices that differ in a word or two do,
+    the template words under its hits are at least ``cover`` of the template, the span is no
+    longer than one and a half templates, and one diagonal of it holds a whole name of the license (of ``names``; a template
+    that holds none of its label's needs none), so words that tell notices apart may be neither missing nor split. Of verified spans that overlap, as those of notices that differ in a word or two do,
     only the one nearest to its template counts.
 
     A null or empty text has no words; a text of any length is scanned whole; equal rows get equal results; an empty table gives no
     rows; further columns, whatever their names, are ignored. Returns doc_id, n_words, n_base, first_word,
-    last_word, base_labels, labels (arrays), score (the best cover; 1 with a phrase), spans.
+    last_word, base_labels, labels (arrays), score (1 with a phrase, else the best cover, half of it for spans without a label), spans.
     """
     spark = docs.sparkSession
     rows, sizes = [], []
     for t, (label, text) in enumerate(templates):
         words = word_hashes_of(text)
-        sizes.append((t, label, len(words)))
+        sizes.append((t, label, len(words), names_in(words, label, names)))
         rows += [(int(h), t, p) for p, h in enumerate(rolling(words, K).view(np.int64))]
     positions = spark.createDataFrame(rows, "gram long, template int, at int")
-    sizes_df = spark.createDataFrame(sizes, "template int, label string, size int")
+    sizes_df = spark.createDataFrame(sizes, "template int, label string, size int, places array<array<int>>")
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = plain.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(5), "text", "doc_id"))
@@ -163,7 +207,11 @@ def scan_licenses(
         hits.withColumn("diagonal", F.col("pos") - F.col("at"))
         .groupBy("k1", "k2", "template", "diagonal")
         .agg(F.collect_set("at").alias("ats"))
+        .join(F.broadcast(sizes_df.select("template", "places")), "template")
     )
+    under = F.flatten(F.transform("ats", lambda a: F.sequence(a, a + K - 1)))
+    named = (F.size("places") == 0) | F.exists("places", lambda p: F.size(F.array_except(p, under)) == 0)
+    diagonals = diagonals.withColumn("named", named).drop("places")
     w = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > DRIFT).cast("int"), F.lit(0))
     merged = (
@@ -172,21 +220,24 @@ def scan_licenses(
         .groupBy("k1", "k2", "template", "island")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
+            F.bool_or("named").alias("named"),
             F.min(F.array_min("ats") + F.col("diagonal")).alias("first"),
             (F.max(F.array_max("ats") + F.col("diagonal")) + K - 1).alias("last"),
         )
-        .join(F.broadcast(sizes_df), "template")
+        .join(F.broadcast(sizes_df.drop("places")), "template")
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + K - 1)))))
+    covered = F.size(F.array_distinct(under))
     cover_of = F.least(F.lit(1.0), covered / F.col("size"))
     merged = merged.withColumn("cover", cover_of).withColumn(
-        "verified", (F.col("cover") >= cover) & (F.col("last") - F.col("first") + 1 <= 1.5 * F.col("size"))
+        "verified", F.col("named") & (F.col("cover") >= cover) & (F.col("last") - F.col("first") + 1 <= 1.5 * F.col("size"))
     )
     merged = materialize(merged.withColumn("covered", covered).drop("ats"), "spans")
     kept = best_of_overlapping(merged.where("verified"), ("k1", "k2")).groupBy("k1", "k2").agg(
         F.collect_set("label").alias("found"), F.array_sort(F.collect_list(F.struct("first", "last", "label"))).alias("spans")
     )
-    per_doc = merged.groupBy("k1", "k2").agg(F.max("cover").alias("best")).join(kept, ["k1", "k2"], "left")
+    per_doc = merged.groupBy("k1", "k2").agg(
+        F.max(F.col("cover") * F.when(F.col("verified"), 1.0).otherwise(0.5)).alias("best")
+    ).join(kept, ["k1", "k2"], "left")
     none = F.array().cast("array<string>")
     joined = base.join(per_doc, ["k1", "k2"], "left")
     return joined.select(
