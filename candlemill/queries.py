@@ -494,13 +494,12 @@ def stream_bars(spark, d):
 @query
 def stream_alerts(spark, d):
     lib = library(spark, d)
-    finished = _stream_bars(spark, d)
-    path = work_path(spark, "finished-bars")
-    finished.write.parquet(path)
-    bars = spark.readStream.schema(finished.schema).parquet(path).withWatermark("bar_start", "1 day")
-    longest = streams.closes_needed(lib)
-    tails = streams.run_once(streams.tails_of_stream(bars, longest), work_path(spark, "stream-tails"), work_path(spark, "stream-state"))
-    got = streams.alerts_of_tails(tails, lib, load(spark, d, "expectancy"))
+    ticks, out = _ticks(spark, d), work_path(spark, "alerts")
+    query = streams.alert_query(
+        ticks, lambda: lib, lambda: load(spark, d, "expectancy"), out, work_path(spark, "alert-state"), streams.closes_needed(lib), {"availableNow": True}
+    )
+    query.awaitTermination()
+    got = streams.alerts_written(spark, out, ticks.schema[KEY].dataType.simpleString())
     return rounded(got.select(KEY, F.to_date("bar_start").alias("bar_date"), "pattern_id", "confidence", "expectancy"), "confidence", "expectancy")
 
 
