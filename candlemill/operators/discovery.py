@@ -6,14 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import euclidean_distance, resample
 from ..functions.columns import KEY
 from ..functions.storage import stored
+from .centres import best_centres
 from .indicators import local_extrema
 from .linkage import linked_windows
 from .neighbours import fine
@@ -127,16 +126,10 @@ def vectors_of(values: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def kmeans(vectors: DataFrame, k: int, seeds: range = range(42, 52), column: str = "vector") -> DataFrame:
-    """(cluster, centre) of the best of several starts, numbered by size and centre."""
-    data = vectors.select(array_to_vector(column).alias("features")).persist()
-    try:
-        best = min((KMeans(k=k, seed=s).fit(data) for s in seeds), key=lambda m: m.summary.trainingCost)
-    finally:
-        data.unpersist()
-    sizes = best.summary.clusterSizes
-    centres = sorted(zip(sizes, map(list, best.clusterCenters())), key=lambda x: (-x[0], x[1]))
-    rows = [(i, [float(v) for v in c]) for i, (_, c) in enumerate(centres)]
-    return vectors.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
+    """(cluster, centre) of the best of several starts, numbered by size and centre; all starts share every pass (see ``centres``)."""
+    found, sizes, _ = best_centres(vectors, k, seeds, column)
+    ordered = sorted(zip(sizes.tolist(), found.tolist()), key=lambda x: (-x[0], x[1]))
+    return vectors.sparkSession.createDataFrame([(i, c) for i, (_, c) in enumerate(ordered)], "cluster int, centre array<double>")
 
 
 def assign_to_centres(vectors: DataFrame, centres: DataFrame, key: str = KEY, column: str = "vector") -> DataFrame:
