@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +26,8 @@ BLOCK_PASSAGES = 20_000
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.3, 0.7, 0.5, 5, 0.8
 #: A single passage of so many words of a longer item, and the share of it that counts as a leak by itself.
 WHOLE_PASSAGE_WORDS, WHOLE_PASSAGE = 32, 0.9
+#: An item may also stand spread over so many times its words if it has this share of them in order.
+SPREAD_BY, SPREAD_WORDS = 2, 0.9
 HIT = pa.struct(
     [
         ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("passage", pa.float64()),
@@ -181,6 +184,22 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def spread_words(want: list[int], words: list[int], start: int, end: int) -> tuple[float, int, int]:
+    """The largest share of ``want`` in order in a stretch of ``SPREAD_BY`` times its words (and a quarter more) that holds the window, and that stretch.
+
+    Stretches begin every quarter of the item, so that no place of a spread item is between two. 0 where the words there can't reach ``SPREAD_WORDS``.
+    """
+    step = max(STEP, len(want) // 4)
+    size = SPREAD_BY * len(want) + step
+    times, best = Counter(want), (0.0, start, end)
+    for low in range(max(0, end - size), start + step, step):
+        here = words[low : low + size]
+        if sum((Counter(here) & times).values()) >= SPREAD_WORDS * len(want):
+            share = common_words(want, [w for w in here if w in times]) / len(want)
+            best = max(best, (share, low, low + len(here)), key=lambda b: b[0])
+    return best
+
+
 def rare_words(rows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The rarest words of a passage, how often it has each, and how many of these places a text must hold.
 
@@ -301,8 +320,6 @@ class Search:
             low, high = max(0, start - s - STEP), min(len(words), end + (len(want) - e) + STEP)
             here = list(filter(known.__contains__, words[low:high]))  # no other words can be in common
             at_most = len(here) / len(want)
-            if at_most < PARAPHRASE and e - s < WHOLE_PASSAGE_WORDS:
-                continue
             common = common_words(want, here) / len(want) if at_most >= PARAPHRASE else 0.0
             if e - s == len(want) or e - s < WHOLE_PASSAGE_WORDS:
                 passage = common
@@ -310,6 +327,12 @@ class Search:
                 near_by = list(filter(known.__contains__, words[max(0, start - STEP) : end + STEP]))
                 passage = common_words(want[s:e], near_by) / (e - s) if len(near_by) >= WHOLE_PASSAGE * (e - s) else 0.0
             common = max(common, passage * (e - s) / len(want))
+            spread = 0.0
+            if common < VERBATIM:
+                spread, first, last = spread_words(want, words, start, end)
+                if spread >= SPREAD_WORDS:
+                    common, low, high = spread, first, last
+                    here = list(filter(known.__contains__, words[low:high]))
             if item in best and best[item]["common"] >= common:
                 continue
             tail = want[-ANSWER_WORDS:]

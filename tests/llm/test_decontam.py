@@ -96,3 +96,27 @@ def test_one_passage_of_a_long_item_is_a_leak(spark, make_docs):
     rows = [(1, " ".join(zipf_words(rng, 50) + long[80:180] + zipf_words(rng, 50))), (2, " ".join(zipf_words(rng, 90) + long[:20]))]
     got = {r["doc_id"]: r["leaks"] for r in contamination(make_docs(rows), bench).collect()}
     assert got[1][0]["passage"] >= 0.9 and got[1][0]["common"] < 0.5 and not got[2]
+
+
+def test_items_with_a_filler_after_each_word_are_found(spark, make_docs):
+    """Common subsequence 1.0 over twice the words: fillers from the benchmark's own words, and words of no item; brute force on what else is found."""
+    rng = np.random.default_rng(31)
+    items = [(i, zipf_words(rng, int(rng.integers(20, 120)))) for i in range(400)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    rows, want = [], set()
+    for k in range(120):
+        i, own = items[3 * k]
+        fill = zipf_words(rng, len(own)) if k % 2 else [f"filler{k}x{j}" for j in range(len(own))]
+        body = zipf_words(rng, 200)
+        if k % 3:
+            body[k : k] = [w for pair in zip(own, fill) for w in pair]
+            want.add((k, i))
+        rows.append((k, " ".join(body)))
+    found = [(r["doc_id"], x) for r in contamination(make_docs(rows), bench).collect() for x in r["leaks"]]
+    got, text, words = {(d, x["item_id"]) for d, x in found}, dict(rows), dict(items)
+    assert len(got & want) >= 0.95 * len(want)
+    for d, x in found:
+        stretch = text[d].split()[x["first_word"] : x["first_word"] + x["n_words"]]
+        share = lcs(words[x["item_id"]], stretch) / len(words[x["item_id"]])
+        assert share >= 0.5
+    assert not {d for d, _ in got} - {d for d, _ in want}
