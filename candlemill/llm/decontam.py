@@ -215,10 +215,11 @@ def rare_words(rows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Search:
-    """What every task needs of the benchmark, or of a block of it."""
+    """What every task needs of the benchmark, or of a block of it, beside the space that all blocks share:
+
+    ``place`` (hashed term -> row of ``weighted``, or -1) and ``weighted`` (terms of the benchmark x rank: the basis times the terms' weights).
+    """
 
-    place: np.ndarray  # hashed term -> row of weighted, or -1
-    weighted: np.ndarray  # terms of the benchmark x rank: the basis times the terms' weights
     items: list[tuple[int, list[int]]]  # item_id, word hashes
     owner: np.ndarray  # passage -> item
     span: np.ndarray  # passage -> (first word, end)
@@ -254,7 +255,7 @@ class Search:
         key = np.concatenate([np.empty(0, dtype=np.int64), *found])
         return key % width, key // width
 
-    def cosines(self, rows: np.ndarray, step: np.ndarray, inside: np.ndarray, first: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def cosines(self, weighted: np.ndarray, rows: np.ndarray, step: np.ndarray, inside: np.ndarray, first: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each stretch (its first step) and passage the step of the best window there and its cosine in the latent space.
 
         ``rows`` are the words in any stretch, ``step`` the step of ``STEP`` words each stands in and ``inside`` its place there. The best window is, of those at
@@ -263,7 +264,7 @@ class Search:
         sums = np.zeros((int(first.max()) + SPREAD * BUCKET // STEP + max(SCALES) // STEP, self.vectors.shape[1]), dtype=np.float32)
         for j in range(STEP):  # a step has one word at most at each of its places
             own = np.flatnonzero(inside == j)
-            sums[step[own]] += self.weighted[rows[own]]
+            sums[step[own]] += weighted[rows[own]]
         at, cosine = np.zeros(len(first), dtype=np.int64), np.full(len(first), -1.0)
         size, windows = 1, sums
         for k, scale in enumerate(SCALES):
@@ -280,10 +281,10 @@ class Search:
                 at[own], cosine[own] = np.take_along_axis(place, best, 1)[:, 0], np.take_along_axis(near, best, 1)[:, 0]
         return at, np.minimum(cosine, 1.0)
 
-    def find(self, texts: pa.Array) -> list[list[dict]]:
-        hashes, starts = folded_words(texts)
-        out: list[list[dict]] = [[] for _ in range(len(texts))]
-        rows = self.place[terms_of(hashes)].astype(np.int64)
+    def find(self, hashes: np.ndarray, starts: np.ndarray, place: np.ndarray, weighted: np.ndarray) -> list[list[dict]]:
+        """The leaks of each text, from the word hashes of all texts and where each text's words start."""
+        out: list[list[dict]] = [[] for _ in range(len(starts) - 1)]
+        rows = place[terms_of(hashes)].astype(np.int64)
         known = np.flatnonzero(rows >= 0)
         rows, sizes = rows[known], np.diff(starts)
         base = np.concatenate([[0], np.cumsum(-(-sizes // BUCKET) + SPREAD)])  # no stretch reaches into the next text
@@ -298,7 +299,7 @@ class Search:
         for j in range(SPREAD):
             wanted[bucket + j] = True
         on = wanted[base[text] + place // BUCKET]
-        at, cosine = self.cosines(rows[on], base[text[on]] * steps + place[on] // STEP, place[on] % STEP, bucket * steps, passage)
+        at, cosine = self.cosines(weighted, rows[on], base[text[on]] * steps + place[on] // STEP, place[on] % STEP, bucket * steps, passage)
         near: dict[int, list[tuple[int, int, int, float]]] = {}
         for i in np.flatnonzero(cosine >= COSINE).tolist():
             t, p = int(np.searchsorted(base, bucket[i], side="right")) - 1, int(passage[i])
@@ -369,7 +370,7 @@ def _search(latent: Latent, rows: list) -> Search:
     order = np.argsort(row, kind="stable")
     length = np.array([e - s for s, e in span], dtype=int)
     return Search(
-        latent.place, latent.basis * latent.weight[:, None], items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2),
+        items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2),
         np.array(vectors, dtype=np.float32).reshape(len(owner), -1),
         np.searchsorted(SCALES, length),
         np.searchsorted(row[order], np.arange(len(latent.basis) + 1)), posting[order], np.array(least, dtype=np.int64),
@@ -387,10 +388,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
     that a copy has a cosine near one however many passages there are. Windows at
     ``COSINE`` or more are checked: the item is there if its longest common subsequence with the text is
     at least 0.7 of its words, or 0.5 of them and its answer (its last five words) is there
-    too, or 0.9 of one passage of at least 32 words of a longer item.
+    too, or 0.9 of one passage of at least 32 words of a longer item, or 0.9 of its words in order within
+    two and a quarter times as many (an item with fillers between its words).
 
-    The benchmark is searched in blocks of items, each a scan of the documents, so what is
-    broadcast is bounded. Null or empty texts and items without words or id have no leaks; equal
+    The benchmark is searched in blocks of items, one after the other for each batch of texts, whose words are hashed once; the latent
+    space is sent once for all blocks. A task holds the whole benchmark. Null or empty texts and items without words or id have no leaks; equal
     rows have equal leaks; of equal cosines the first window counts; repeated items are found under each of their ids; an empty
     benchmark finds nothing. Texts of any length are searched whole, in stretches. A column of the name ``column`` is replaced; other columns stay as they are.
     """
@@ -402,18 +404,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
     latent = latent_space(bench, terms, term_weights(docs, terms), seed)
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, int(np.ceil(total / 4 / PASSAGE_WORDS / BLOCK_PASSAGES)))
-    found = []
+    space = spark.sparkContext.broadcast((latent.place, latent.basis * latent.weight[:, None]))
+    searches = []
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(_search(latent, rows))
-
-        @F.arrow_udf(LEAKS)
-        def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in parts:
-                leaks: list[list[dict]] = []
-                for batch in slices_of(pa.RecordBatch.from_arrays([texts], names=["text"])):
-                    leaks += shared.value.find(batch.column("text"))
-                yield pa.array(leaks, pa.list_(HIT))
-
-        found.append(find("text"))
-    return docs.withColumn(column, F.concat(*found) if len(found) > 1 else found[0])
+        searches.append(spark.sparkContext.broadcast(_search(latent, rows)))
+
+    @F.arrow_udf(LEAKS)
+    def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            leaks: list[list[dict]] = []
+            for batch in slices_of(pa.RecordBatch.from_arrays([texts], names=["text"])):
+                words = folded_words(batch.column("text"))
+                found = [search.value.find(*words, *space.value) for search in searches]
+                leaks += [sum(own, []) for own in zip(*found)]
+            yield pa.array(leaks, pa.list_(HIT))
+
+    return docs.withColumn(column, find("text"))

@@ -120,3 +120,12 @@ def test_items_with_a_filler_after_each_word_are_found(spark, make_docs):
         share = lcs(words[x["item_id"]], stretch) / len(words[x["item_id"]])
         assert share >= 0.5
     assert not {d for d, _ in got} - {d for d, _ in want}
+
+
+def test_blocks_find_what_one_search_finds(spark, make_docs, words, monkeypatch):
+    bench = spark.createDataFrame([(i, words(30 + i, 50 + i)) for i in range(30)], "item_id long, text string")
+    docs = make_docs([(i, words(40, 900 + i) + " " + words(30 + i, 50 + i)) for i in range(0, 30, 2)] + [(99, None)])
+    found = lambda: sorted((r["doc_id"], x["item_id"], x["common"]) for r in contamination(docs, bench).collect() for x in r["leaks"])
+    whole = found()
+    monkeypatch.setattr("candlemill.llm.decontam.BLOCK_PASSAGES", 5)
+    assert found() == whole and {(i, i) for i in range(0, 30, 2)} <= {(d, x) for d, x, _ in whole}
