@@ -371,7 +371,7 @@ def _search(latent: Latent, rows: list) -> Search:
     length = np.array([e - s for s, e in span], dtype=int)
     return Search(
         items, np.array(owner, dtype=int), np.array(span, dtype=int).reshape(-1, 2),
-        np.array(vectors, dtype=np.float32).reshape(len(owner), -1),
+        np.array(vectors, dtype=np.float32).reshape(len(owner), latent.basis.shape[1]),
         np.searchsorted(SCALES, length),
         np.searchsorted(row[order], np.arange(len(latent.basis) + 1)), posting[order], np.array(least, dtype=np.int64),
     )
@@ -408,7 +408,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
     searches = []
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        searches.append(spark.sparkContext.broadcast(_search(latent, rows)))
+        if (search := _search(latent, rows)).items:
+            searches.append(spark.sparkContext.broadcast(search))
 
     @F.arrow_udf(LEAKS)
     def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -417,7 +418,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "leaks",
             for batch in slices_of(pa.RecordBatch.from_arrays([texts], names=["text"])):
                 words = folded_words(batch.column("text"))
                 found = [search.value.find(*words, *space.value) for search in searches]
-                leaks += [sum(own, []) for own in zip(*found)]
+                leaks += [sum(own, []) for own in zip(*found)] if found else [[]] * batch.num_rows
             yield pa.array(leaks, pa.list_(HIT))
 
     return docs.withColumn(column, find("text"))
