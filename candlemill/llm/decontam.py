@@ -184,15 +184,19 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def spread_words(want: list[int], words: list[int], start: int, end: int) -> tuple[float, int, int]:
+def spread_words(want: list[int], known: set[int], words: list[int], start: int, end: int) -> tuple[float, int, int]:
     """The largest share of ``want`` in order in a stretch of ``SPREAD_BY`` times its words (and a quarter more) that holds the window, and that stretch.
 
     Stretches begin every quarter of the item, so that no place of a spread item is between two. 0 where the words there can't reach ``SPREAD_WORDS``.
     """
     step = max(STEP, len(want) // 4)
     size = SPREAD_BY * len(want) + step
-    times, best = Counter(want), (0.0, start, end)
-    for low in range(max(0, end - size), start + step, step):
+    best = (0.0, start, end)
+    first = max(0, end - size)
+    if len(known) - len(known.intersection(words[first : start + step + size])) > (1 - SPREAD_WORDS) * len(want):
+        return best  # each word of the item that isn't there is at least one place less
+    times = Counter(want)
+    for low in range(first, start + step, step):
         here = words[low : low + size]
         if sum((Counter(here) & times).values()) >= SPREAD_WORDS * len(want):
             share = common_words(want, [w for w in here if w in times]) / len(want)
@@ -330,7 +334,7 @@ class Search:
             common = max(common, passage * (e - s) / len(want))
             spread = 0.0
             if common < VERBATIM:
-                spread, first, last = spread_words(want, words, start, end)
+                spread, first, last = spread_words(want, known, words, start, end)
                 if spread >= SPREAD_WORDS:
                     common, low, high = spread, first, last
                     here = list(filter(known.__contains__, words[low:high]))
