@@ -6,7 +6,9 @@ small next to the bars and goes to all tasks, in parts if it is large.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,30 +24,74 @@ from ..functions.columns import KEY, ORDER
 MOST_PATTERNS = 50_000
 #: Numbers of a matrix product at once.
 CELLS = 1 << 21
+#: Fewer prototypes than this are one ball; what rounding may add to a distance.
+FEW, SLACK = 64, 1e-6
 SIMILARITY = "array<struct<pattern: int, similarity: double>>"
 
 
-def window_hits(windows: np.ndarray, prototypes: np.ndarray, correlated: np.ndarray, threshold: float) -> list[list[dict]]:
-    """Prototypes near to each row of ``windows``, both scaled to 0..1."""
+@dataclass(frozen=True)
+class Balls:
+    """Prototypes of one length and one kind of comparison, in balls around pivots.
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
-        return np.where(high > low, (x - low) / np.where(high > low, high - low, 1), 0.0)
-
-    def centred(x: np.ndarray) -> np.ndarray:
-        c = x - x.mean(axis=1, keepdims=True)
-        n = np.sqrt((c * c).sum(axis=1, keepdims=True))
-        return np.where(n > 1e-12, c / np.where(n > 1e-12, n, 1), np.nan)
+    Both similarities fall with a distance: of shapes scaled to 0..1, or, by correlation, of those centred and at unit length. A window further from a
+    pivot than the ball's radius and the distance that the threshold allows together is near none of the ball's prototypes, so whole balls are left
+    out, exactly, before any matrix product.
+    """
 
-    w, p = unit(windows), unit(prototypes)
-    corr = np.nan_to_num((centred(w) @ centred(p).T + 1) / 2, nan=0.0)
-    square = np.maximum((w * w).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * w @ p.T, 0)
-    euclid = np.maximum(0, 1 - np.sqrt(square) / np.sqrt(windows.shape[1]))
-    similarity = np.where(correlated[None, :], corr, euclid)
-    out: list[list[dict]] = [[] for _ in windows]
-    for i, j in np.argwhere(similarity >= threshold):
-        out[i].append({"pattern": int(j), "similarity": float(similarity[i, j])})
-    return out
+    correlated: bool
+    at: np.ndarray  # numbers of the prototypes, ball by ball
+    shapes: np.ndarray
+    varied: np.ndarray  # prototypes that aren't constant
+    first: np.ndarray  # ball -> its first prototype, and the end
+    pivots: np.ndarray
+    radius: np.ndarray
+
+    @classmethod
+    def of(cls, prototypes: np.ndarray, at: np.ndarray, correlated: bool) -> Balls:
+        shapes, varied = shapes_of(prototypes, correlated)
+        many = int(np.sqrt(len(at))) if len(at) >= FEW else 1
+        pivots = shapes[np.arange(many) * len(at) // many]
+        own, gap = np.zeros(len(at), dtype=np.int64), np.zeros(len(at))
+        for s in range(0, len(at), max(1, CELLS // many)):
+            gaps = distances(shapes[s : s + max(1, CELLS // many)], pivots)
+            own[s : s + len(gaps)], gap[s : s + len(gaps)] = gaps.argmin(axis=1), gaps.min(axis=1)
+        radius = np.zeros(many)
+        np.maximum.at(radius, own, gap)
+        order = np.argsort(own, kind="stable")
+        return cls(correlated, at[order], shapes[order], varied[order], np.searchsorted(own[order], np.arange(many + 1)), pivots, radius)
+
+    def hits(self, windows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(window, prototype's number, similarity) of all at or above the threshold, and with how many prototypes each window was compared."""
+        shapes, varied = shapes_of(windows, self.correlated)
+        reach = np.inf if threshold <= 0 else 2 * np.sqrt(max(0, 1 - threshold)) if self.correlated else max(0, 1 - threshold) * np.sqrt(windows.shape[1])
+        inside = distances(shapes, self.pivots) <= self.radius + reach + SLACK
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        for ball in np.flatnonzero(inside.any(axis=0)):
+            rows, part = np.flatnonzero(inside[:, ball]), slice(self.first[ball], self.first[ball + 1])
+            if self.correlated:
+                similarity = np.where(varied[rows, None] & self.varied[None, part], (shapes[rows] @ self.shapes[part].T + 1) / 2, 0.0)
+            else:
+                similarity = np.maximum(0, 1 - distances(shapes[rows], self.shapes[part]) / np.sqrt(windows.shape[1]))
+            i, j = np.nonzero(similarity >= threshold)
+            found.append((rows[i], self.at[part][j], similarity[i, j]))
+        row, number, similar = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((number, row))
+        return row[order], number[order], similar[order], inside @ np.diff(self.first)
+
+
+def shapes_of(windows: np.ndarray, correlated: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Windows scaled to 0..1, by correlation also centred and at unit length, and which aren't constant."""
+    low, high = windows.min(axis=1, keepdims=True), windows.max(axis=1, keepdims=True)
+    x = np.where(high > low, (windows - low) / np.where(high > low, high - low, 1), 0.0)
+    if not correlated:
+        return x, (high > low)[:, 0]
+    x = x - x.mean(axis=1, keepdims=True)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.where(norm > 1e-12, x / np.where(norm > 1e-12, norm, 1), 0.0), (norm > 1e-12)[:, 0]
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
 def patterns_of(library: DataFrame, most: int = MOST_PATTERNS) -> list[list]:
@@ -56,36 +102,42 @@ def patterns_of(library: DataFrame, most: int = MOST_PATTERNS) -> list[list]:
     return [library.where(at == p).orderBy("pattern_id").collect() for p in range(parts)]
 
 
-def by_length(patterns: list) -> list:
-    """(length, numbers, prototypes, whether they are compared by correlation) for each length there is."""
-    groups = []
-    for size in sorted({len(r["prototype"]) for r in patterns}):
-        at = [i for i, r in enumerate(patterns) if len(r["prototype"]) == size]
+def by_length(patterns: list) -> list[tuple[int, list[Balls]]]:
+    """The prototypes of each length there is, in balls, those compared by correlation (complexity 3 and more) for themselves."""
+    kinds: dict[tuple[int, bool], list[int]] = {}
+    for i, r in enumerate(patterns):
+        kinds.setdefault((len(r["prototype"]), r["complexity"] >= 3), []).append(i)
+    groups: dict[int, list[Balls]] = {}
+    for (size, correlated), at in sorted(kinds.items()):
         prototypes = np.array([patterns[i]["prototype"] for i in at], dtype=float)
-        groups.append((size, np.array(at), prototypes, np.array([patterns[i]["complexity"] >= 3 for i in at])))
-    return groups
+        groups.setdefault(size, []).append(Balls.of(prototypes, np.array(at), correlated))
+    return list(groups.items())
 
 
 def tail_hits(patterns: list, threshold: float):
-    """A function of tails: the patterns near to each tail's last values, as (pattern, similarity).
+    """A function of tails: the patterns near to each tail's last values, as (pattern, similarity), and how many it was compared with.
 
-    Tails of a batch are compared with all prototypes of one length as one matrix product.
+    Tails of a batch are compared with the prototypes of one length ball by ball, as matrix products.
     """
     groups = by_length(patterns)
 
-    @F.pandas_udf(SIMILARITY)
-    def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"hits {SIMILARITY}, compared long")
+    def hits(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             tails = [np.asarray(t if t is not None else [], dtype=float) for t in part]
             out: list[list[dict]] = [[] for _ in tails]
-            for size, at, prototypes, correlated in groups:
+            compared = np.zeros(len(tails), dtype=np.int64)
+            for size, kinds in groups:
                 long = [i for i, t in enumerate(tails) if len(t) >= size]
                 if not long:
                     continue
                 recent = np.stack([tails[i][-size:] for i in long])
-                for i, found in zip(long, window_hits(recent, prototypes, correlated, threshold)):
-                    out[i] += [{"pattern": int(at[h["pattern"]]), "similarity": h["similarity"]} for h in found]
-            yield pd.Series(out, dtype=object)
+                for balls in kinds:
+                    row, number, similar, looked = balls.hits(recent, threshold)
+                    compared[long] += looked
+                    for i, n, x in zip(row.tolist(), number.tolist(), similar.tolist()):
+                        out[long[i]].append({"pattern": n, "similarity": x})
+            yield pd.DataFrame({"hits": pd.Series(out, dtype=object), "compared": compared})
 
     return hits
 
@@ -102,7 +154,7 @@ def compare_tails(tails: DataFrame, library: list[list], threshold: float) -> Da
             [(i, r["pattern_id"], r["complexity"], r["frequency"], len(r["prototype"])) for i, r in enumerate(patterns)],
             "pattern int, pattern_id string, complexity int, frequency long, window_size long",
         )
-        hits = tails.withColumn("hit", F.explode(tail_hits(patterns, threshold)("tail"))).select(*keep, "hit.pattern", "hit.similarity")
+        hits = tails.withColumn("hit", F.explode(tail_hits(patterns, threshold)("tail")["hits"])).select(*keep, "hit.pattern", "hit.similarity")
         found = hits.join(F.broadcast(known), "pattern").select(*keep, "pattern_id", "complexity", "frequency", "window_size", "similarity")
         out = found if out is None else out.union(found)
     if out is None:
@@ -111,6 +163,17 @@ def compare_tails(tails: DataFrame, library: list[list], threshold: float) -> Da
     return out
 
 
+def pairs_compared(tails: DataFrame, library: list[list], threshold: float) -> DataFrame:
+    """Each row's number of prototypes its ``tail`` is long enough for (``pairs``) and with how many of these it is compared; its other columns stay."""
+    keep = [c for c in tails.columns if c != "tail"]
+    compared, pairs = F.lit(0), F.lit(0)
+    for patterns in library:
+        compared += tail_hits(patterns, threshold)("tail")["compared"]
+        for size, many in sorted(Counter(len(r["prototype"]) for r in patterns).items()):
+            pairs += F.when(F.size("tail") >= size, many).otherwise(0)
+    return tails.select(*keep, pairs.cast("long").alias("pairs"), compared.cast("long").alias("compared"))
+
+
 def longest_of(library: list[list], least: int) -> int:
     return max([least, *(len(r["prototype"]) for part in library for r in part)])
 
@@ -118,24 +181,26 @@ def longest_of(library: list[list], least: int) -> int:
 def sliding_hits(closes: np.ndarray, before: int, groups: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (from ``before`` on) whose trailing closes look like a prototype, the prototype and the similarity.
 
-    Windows of one length are a view of the closes; a stretch of them is compared with all prototypes of that length as one matrix product.
+    Windows of one length are a view of the closes; a stretch of them is compared with the prototypes of that length ball by ball.
     Windows with a missing close are left out.
     """
     rows, found, similar = [], [], []
-    for size, at, prototypes, correlated in groups:
+    for size, kinds in groups:
         if len(closes) < size:
             continue
         windows = np.lib.stride_tricks.sliding_window_view(closes, size)
         ends = np.arange(max(before, size - 1), len(closes))
         ends = ends[~np.isnan(windows[ends - size + 1]).any(axis=1)] if np.isnan(closes).any() else ends
-        step = max(1, CELLS // (size + len(at)))
-        for s in range(0, len(ends), step):
-            part = ends[s : s + step]
-            for row, hits in zip(part.tolist(), window_hits(windows[part - size + 1], prototypes, correlated, threshold)):
-                rows += [row] * len(hits)
-                found += [int(at[h["pattern"]]) for h in hits]
-                similar += [h["similarity"] for h in hits]
-    return np.array(rows, dtype=np.int64), np.array(found, dtype=np.int32), np.array(similar, dtype=np.float64)
+        for balls in kinds:
+            step = max(1, CELLS // (size + len(balls.at)))
+            for s in range(0, len(ends), step):
+                part = ends[s : s + step]
+                row, number, similarity, _ = balls.hits(windows[part - size + 1], threshold)
+                rows.append(part[row])
+                found.append(number)
+                similar.append(similarity)
+    rows, found, similar = (np.concatenate([np.empty(0), *x]) for x in (rows, found, similar))
+    return rows.astype(np.int64), found.astype(np.int32), similar
 
 
 def history_trades(

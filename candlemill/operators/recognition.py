@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEY
 from .indicators import tail_array
-from .matching import compare_tails, longest_of, patterns_of
+from .matching import compare_tails, longest_of, pairs_compared, patterns_of
 
 
 def library_from_points(points: DataFrame) -> DataFrame:
@@ -25,6 +25,13 @@ def scan(
     return compare_tails(tails, patterns, threshold)
 
 
+def scan_work(bars: DataFrame, library: DataFrame, levels: tuple[int, ...] = (1, 2, 3), threshold: float = 0.75, least_bars: int = 20) -> DataFrame:
+    """(series_id, pairs, compared): of the prototypes a series is long enough for, how many ``scan`` compares it with."""
+    patterns = patterns_of(library.where(F.col("complexity").isin(*levels)))
+    tails = tail_array(bars, longest_of(patterns, least_bars)).where(F.size("tail") >= least_bars)
+    return pairs_compared(tails.select(KEY, "tail"), patterns, threshold)
+
+
 def top_matches(matches: DataFrame, k: int = 5, by: tuple[str, ...] = (KEY,)) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.desc("similarity"), "complexity", "pattern_id")
     return matches.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -441,6 +441,12 @@ select a, b, {r6('case when max(x) > min(x) and max(y) > min(y) then (corr(x, y)
 select pattern_id, cast(complexity as bigint) as complexity, frequency from lib where pattern_id not in (select pattern_id from new)
 union all select pattern_id, cast(complexity as bigint), frequency from new"""),
         "library_stats": over("library_points", f", {LIB} select cast(complexity as bigint) as complexity, count(*) as n_patterns, cast(sum(frequency) as bigint) as total_frequency, {r6('avg(frequency)', 'avg_frequency')} from lib group by rollup (complexity)"),
+        "scan_work": over("library_points", """, sizes as (select pattern_id, count(*) as len from library_points group by pattern_id),
+  series as (select series_id, count(*) as n from bars group by series_id having count(*) >= 20)
+  select series_id, count(len) as pairs, true as within from series left join sizes on len <= n group by series_id"""),
+        "bar_store": over("bars", f", bars_of as (select * from bars where trade_date between date '1994-01-01' and date '1995-12-31'), {RSI.replace('from bars', 'from bars_of')} select series_id, trade_date, seq, {r6s('rsi')} from rsis"),
+        "state_upsert": over("expectancy", f""" select pattern_id, any_value(frequency) + case when any_value(complexity) = 3 then 100 else 0 end as frequency, {r6('any_value(e.expectancy)', 'expectancy')}
+  from library_points left join expectancy e using (pattern_id) group by pattern_id"""),
         "scan_matches": over("library_points", f", {matches()} select series_id, pattern_id, complexity, frequency, window_size, {r6s('similarity')} from matches"),
         "top_matches": over("library_points", f", {matches()} select series_id, pattern_id, {r6s('similarity')}, rk as rank from ranked where rk <= 5"),
         "signals": over("expectancy", f", {matches()}, {SIGNALS} select series_id, {SIGNAL_COLUMNS} from found"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,6 +83,27 @@ def bars_csv(spark, d):
     return bar_sources.load_bars_csv(spark, folder, 500).select(KEY, "trade_date", "open", "high", "low", "close", "vol")
 
 
+@query
+def bar_store(spark, d):
+    """The relative strength of two years read back from a store by month and series."""
+    name, path = f"bars_{uuid.uuid4().hex}", work_path(spark, "bar-store")
+    bar_sources.write_bar_store(load(spark, d, "bars"), name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    got = indicators.rsi(bar_sources.read_bar_store(spark, name, start="1994-01-01", end="1995-12-31"))
+    return rounded(got.select(KEY, "trade_date", ORDER, "rsi"), "rsi")
+
+
+@query
+def state_upsert(spark, d):
+    """A stored library and expectancy after an upsert of the patterns of complexity 3, read back."""
+    folder, lib = work_path(spark, "state"), library(spark, d)
+    state.save_state({"library": lib, "expectancy": load(spark, d, "expectancy")}, folder)
+    changed = lib.where("complexity = 3").withColumn("frequency", F.col("frequency") + 100)
+    state.upsert_state(spark, {"library": changed}, folder)
+    got = state.load_state(spark, folder)
+    joined = got["library"].join(got["expectancy"], "pattern_id", "left")
+    return joined.select("pattern_id", "frequency", r6(F.col("expectancy")).alias("expectancy"))
+
+
 @query
 def delisted_codes(spark, d):
     path = work_path(spark, "delisted")
@@ -419,6 +441,13 @@ def scan_matches(spark, d):
     return rounded(_matches(spark, d).withColumn("complexity", F.col("complexity").cast("long")), "similarity")
 
 
+@query
+def scan_work(spark, d):
+    """How many prototypes each series is long enough for; that no more are compared is part of the result."""
+    got = recognition.scan_work(load(spark, d, "bars"), library(spark, d), threshold=0.9)
+    return got.select(KEY, "pairs", (F.col("compared") <= F.col("pairs")).alias("within"))
+
+
 @query
 def top_matches(spark, d):
     got = recognition.top_matches(_matches(spark, d))
