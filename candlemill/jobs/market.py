@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,15 @@ class Config:
     window_bars: int = 8
     max_clusters: int = 10
     min_frequency: int = 3
+    discover_levels: tuple[int, ...] = (2, 3, 4)
+    complex_bars: int = 60
+
+    @classmethod
+    def of(cls, settings: dict) -> Config:
+        """From settings by name, as a stored config table holds them (lists become tuples); an unknown name is an error."""
+        if unknown := settings.keys() - {f.name for f in fields(cls)}:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})
 
 
 LIBRARY = ("pattern_id", "complexity", "frequency", "prototype")
@@ -60,17 +69,23 @@ def backtest_history(
 
 
 def discover(raw_bars: DataFrame, library: DataFrame, config: Config = Config()) -> DataFrame:
-    """The library with the patterns found in a market: cleaned bars, feature vectors of series fit for it, clusters of short windows and of vectors.
+    """The library with the patterns found in a market: cleaned bars, then, of series fit for it, clusters of short windows, of feature vectors and of turning points.
 
-    New patterns replace old ones of their id.
+    The closes of a series that count are its last ``window_bars`` (L2) and ``complex_bars`` (L4). New patterns replace old ones of their id.
     """
     bars = stored(cleaning.clean_bars(raw_bars), "bars")
     vectors = stored(indicators.feature_vector(bars), "features")
     fit = stored(discovery.eligible_series(bars, vectors, config.least_bars).where("eligible").select(KEY), "eligible")
-    chosen = vectors.join(F.broadcast(fit) if fit.count() <= MOST_BROADCAST else fit, KEY, "left_semi")
-    tails = indicators.tail_array(bars.join(fit, KEY, "left_semi"), config.window_bars)
-    short = discovery.discover_simple(tails.select(KEY, indicators.scaled(F.col("tail")).alias("tail")), config.max_clusters, config.min_frequency)
-    found = short.select(*LIBRARY).unionByName(discovery.discover_composite(chosen, config.max_clusters, config.min_frequency).select(*LIBRARY))
+    few = F.broadcast(fit) if fit.count() <= MOST_BROADCAST else fit
+    own, found = bars.join(few, KEY, "left_semi"), library.select(*LIBRARY).limit(0)
+    if 2 in config.discover_levels:
+        tails = indicators.tail_array(own, config.window_bars).select(KEY, indicators.scaled(F.col("tail")).alias("tail"))
+        found = found.unionByName(discovery.discover_simple(tails, config.max_clusters, config.min_frequency).select(*LIBRARY))
+    if 3 in config.discover_levels:
+        chosen = vectors.join(few, KEY, "left_semi")
+        found = found.unionByName(discovery.discover_composite(chosen, config.max_clusters, config.min_frequency).select(*LIBRARY))
+    if 4 in config.discover_levels:
+        found = found.unionByName(discovery.discover_complex(own, config.max_clusters, config.min_frequency, config.complex_bars).select(*LIBRARY))
     return discovery.merge_library(library.select(*LIBRARY), found)
 
 

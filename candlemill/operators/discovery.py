@@ -13,7 +13,7 @@ from ..functions.arrays import euclidean_distance, resample
 from ..functions.columns import KEY
 from ..functions.storage import stored
 from .centres import best_centres
-from .indicators import local_extrema
+from .indicators import local_extrema, scaled, tail_array
 from .linkage import linked_windows
 from .neighbours import fine
 
@@ -200,6 +200,18 @@ def cluster_complex(features: DataFrame, max_clusters: int = 10, min_freq: int =
     return named if named.take(1) else single
 
 
+def discover_complex(bars: DataFrame, max_clusters: int = 10, min_freq: int = 3, window: int = 60, least_bars: int = 30) -> DataFrame:
+    """L4 patterns as library rows: clusters of the turning points of each series' last ``window`` bars; the representative's closes, scaled, are the prototype.
+
+    The frequency is the cluster's size, or 1 for a candidate that stands for itself. Series with fewer than ``least_bars`` bars take no part.
+    """
+    back = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("seq")))
+    recent = bars.withColumn("__back", back).where(F.col("__back") <= window).drop("__back")
+    found = cluster_complex(complex_features(recent, least_bars), max_clusters, min_freq)
+    shapes = tail_array(bars, window).select(F.col(KEY).alias("representative"), scaled(F.col("tail")).alias("prototype"))
+    return found.join(shapes, "representative").select("pattern_id", F.lit(4).alias("complexity"), F.col("cluster_size").alias("frequency"), "prototype")
+
+
 def library_pairs(library: DataFrame) -> DataFrame:
     """All pairs a < b of prototypes resampled to the shorter."""
     return pairs_of(library, "pattern_id", "prototype")

@@ -62,3 +62,15 @@ def system_report(library: DataFrame, expectancy: DataFrame, results: DataFrame,
     top = top.select(F.lit("top").alias("section"), F.col("pattern_id").alias("key"), F.col("expectancy").alias("value"))
     levels = library.groupBy("complexity").count().select(F.lit("complexity").alias("section"), F.concat(F.lit("L"), "complexity").alias("key"), F.col("count").cast("double").alias("value"))
     return sizes.union(top).union(levels)
+
+
+def markdown_report(report: DataFrame, title: str = "Pattern report") -> DataFrame:
+    """(line, text): a ``system_report`` as Markdown, a table a section, values from high to low; lines are few, as the report is."""
+    titled = report.sparkSession.createDataFrame([("", 0, f"# {title}")], "section string, part int, text string")
+    heads = report.select("section").distinct().select(
+        "section", F.posexplode(F.array(F.lit(""), F.concat(F.lit("## "), "section"), F.lit(""), F.lit("| key | value |"), F.lit("|-|-|"))).alias("part", "text")
+    )
+    rows = report.select("section", F.lit(5).alias("part"), F.format_string("| %s | %.4f |", F.replace("key", F.lit("|"), F.lit("\\|")), "value").alias("text"), "value", "key")
+    lines = titled.union(heads).select("*", F.lit(0.0).alias("value"), F.lit("").alias("key")).unionByName(rows)
+    place = F.row_number().over(Window.orderBy("section", "part", F.desc("value"), "key"))
+    return lines.select(place.cast("long").alias("line"), "text")

@@ -264,7 +264,12 @@ def test_market_jobs_end_to_end(spark):
     old = spark.createDataFrame([("L9-000", 2, 5, [float(x) for x in walk(8, 2)])], state.LIBRARY_SCHEMA)
     library = market.discover(raw, old)
     found = {r["pattern_id"][:2] for r in library.collect()}
-    assert {"L2", "L3", "L9"} <= found
+    assert {"L2", "L3", "L4", "L9"} <= found
+    settings = state.config_of(state.config_table(spark, {"discover_levels": [4], "complex_bars": 40}))
+    only = market.discover(raw, old, market.Config.of(settings)).where("complexity = 4").collect()
+    assert only and all(len(r["prototype"]) == 40 and min(r["prototype"]) == 0 and max(r["prototype"]) == 1 for r in only)
+    with pytest.raises(ValueError, match="colour"):
+        market.Config.of({"colour": 1})
     metrics, report, table = market.backtest_history(bars, old, spark.createDataFrame([], state.EXPECTANCY_SCHEMA), threshold=0.6)
     assert metrics.count() > 0 and report.count() == 1 and table.count() <= 1
     nothing = market.backtest_history(bars, old.limit(0), spark.createDataFrame([], state.EXPECTANCY_SCHEMA))
@@ -346,3 +351,10 @@ def test_sources_round_trip(spark, tmp_path):
     empty = state.load_state(spark, str(tmp_path / "nothing"))
     assert all(df.count() == 0 for df in empty.values())
     assert serving.status_summary(empty["library"], empty["expectancy"]).first()["n_patterns"] == 0
+
+
+def test_markdown_report(spark):
+    report = spark.createDataFrame([("size", "library", 2.0), ("top", "a|b", 0.5), ("top", "c", None), ("top", "d", 1.5)], "section string, key string, value double")
+    got = [r["text"] for r in serving.markdown_report(report).orderBy("line").collect()]
+    table = ["", "| key | value |", "|-|-|"]
+    assert got == ["# Pattern report", "", "## size", *table, "| library | 2.0000 |", "", "## top", *table, "| d | 1.5000 |", "| a\\|b | 0.5000 |", "| c | null |"]
