@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunks import CHUNK
 from ..functions.columns import KEY, ORDER
+from ..functions.storage import stored
 
 #: A leg: its direction (+1 rising), its highest price so far (negative prices for a falling one) and the row of that (-1: before these rows).
 Leg = tuple[int, float, int]
@@ -125,6 +126,7 @@ def zigzag(bars: DataFrame, threshold: float = 0.05, size: int = CHUNK) -> DataF
 
     A turn depends on all before it, but only by the leg that is open. So every chunk first says what it makes of any leg that enters it (``effect``:
     a few rows, as paths soon meet), one fold of these a series gives the leg that does enter each, and with it every chunk finds its pivots.
+    Series of a single chunk need no fold and are walked once.
     Ids may be of any type, null being one of them; rows without a high or a low are left out; a series of one row has no pivot.
     """
     kind = bars.schema[KEY].dataType.simpleString()
@@ -162,9 +164,21 @@ def zigzag(bars: DataFrame, threshold: float = 0.05, size: int = CHUNK) -> DataF
         rows = [(name(key), int(order[i]), price, "peak" if mark > 0 else "valley", mark) for i, price, mark in found]
         return table(rows, [KEY, ORDER, "price", "type", "mark"])
 
+    def pivots_at_once(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ORDER)
+        order, found = pdf[ORDER].to_numpy(), zigzag_pivots(pdf["high"].to_numpy(), pdf["low"].to_numpy(), threshold)
+        return table([(name(key), int(order[i]), price, "peak" if mark > 0 else "valley", mark) for i, price, mark in found], [KEY, ORDER, "price", "type", "mark"])
+
+    pivots = f"{KEY} {kind}, {ORDER} long, price double, type string, mark int"
+    own = Window.partitionBy(KEY)
+    whole = stored(whole.withColumn("many", F.min("chunk").over(own) < F.max("chunk").over(own)), "bars")
+    short, whole = whole.where("not many"), whole.where("many").drop("many")
+    at_once = short.select(KEY, ORDER, "high", "low").groupBy(KEY).applyInPandas(pivots_at_once, pivots)
+    if not whole.take(1):
+        return at_once
     chunks = whole.groupBy(KEY, "chunk")
     effects = chunks.applyInPandas(
         effects_of, f"{KEY} {kind}, chunk long, n long, sign int, bound double, out_sign int, out_top double, out_at long"
     )
     entries = effects.groupBy(KEY).applyInPandas(entries_of, f"{KEY} {kind}, chunk long, sign int, top double, at long, closes boolean")
-    return chunks.cogroup(entries.groupBy(KEY, "chunk")).applyInPandas(pivots_of, f"{KEY} {kind}, {ORDER} long, price double, type string, mark int")
+    return at_once.union(chunks.cogroup(entries.groupBy(KEY, "chunk")).applyInPandas(pivots_of, pivots))
