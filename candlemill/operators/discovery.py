@@ -151,7 +151,7 @@ def frequent_clusters(assigned: DataFrame, min_freq: int) -> DataFrame:
 
 def discover_composite(vectors: DataFrame, max_clusters: int = 10, min_freq: int = 3) -> DataFrame:
     """L3 patterns: k-means on standardised feature vectors, frequent clusters only (ids keep gaps); none from fewer than two vectors."""
-    arrays = stored(vectors_of(standardise_features(vectors)), "vectors")
+    arrays = stored(vectors_of(standardise_features(stored(vectors, "features"))), "vectors")  # read twice: for the moments and for the scores
     n = arrays.count()
     if n < 2:
         return arrays.sparkSession.createDataFrame([], "pattern_id string, complexity int, frequency long, prototype array<double>")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from candlemill import queries
 from candlemill.functions.columns import KEY
-from candlemill.operators import turns
+from candlemill.operators import discovery, turns
 from candlemill.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -35,3 +35,17 @@ def test_series_of_one_chunk_are_walked_once(spark, monkeypatch, size):
         high, low = (np.array([b[c] for b in r["x"]], dtype=float) for c in ("high", "low"))
         want += [(r[KEY], r["x"][i]["seq"], p, m) for i, p, m in turns.zigzag_pivots(high, low, 0.05)]
     assert got == sorted(want)
+
+
+def test_features_are_computed_once(spark):
+    """Moments and scores of the composite patterns come from one computation of the features."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rows = [(i, p, float((i * 7 + p) % 5)) for i in range(40) for p in range(4)]
+    vectors = spark.createDataFrame(rows, "series_id long, pos long, value double").mapInPandas(count, "series_id long, pos long, value double")
+    assert discovery.discover_composite(vectors).count() and seen.value == len(rows)
