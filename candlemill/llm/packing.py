@@ -37,6 +37,8 @@ _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t\\n\\r
 #: The split pattern and word end of tokenizers for which the above holds.
 WORD_SPLIT, WORD_END = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "</w>"
 _CACHE_WORDS = 750_000
+#: Pieces are Python objects, some 200 bytes each, and needed for new words only.
+_CACHE_PIECES = 200_000
 
 
 def split_words(text: str) -> list[str]:
@@ -69,8 +71,8 @@ class Encoder:
         )
         self.pieces: dict[str, bytes] = {}  # of plain words
         self.words: dict[str, bytes] = {}  # any other words, as they are
-        # plain words by their hash: place 0 is the id that ends a document
-        self.place: dict[int, int] = {}
+        # hashes of plain words in order, and their places: place 0 is the id that ends a document
+        self.known, self.place = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         self.ids, self.first = np.array([END], dtype=self.dtype), np.array([0, 1])
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -95,12 +97,13 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keeps the words seen first, which are the commonest."""
-        keep = _CACHE_WORDS * 2 // 3
-        for name in ("pieces", "words"):
-            if len(cache := getattr(self, name)) > _CACHE_WORDS:
-                setattr(self, name, dict(islice(cache.items(), keep)))
+        for name, most in (("pieces", _CACHE_PIECES), ("words", _CACHE_WORDS)):
+            if len(cache := getattr(self, name)) > most:
+                setattr(self, name, dict(islice(cache.items(), most * 2 // 3)))
         if len(self.place) > _CACHE_WORDS:
-            self.place = {h: p for h, p in self.place.items() if p < keep}
+            keep = _CACHE_WORDS * 2 // 3
+            kept = self.place < keep
+            self.known, self.place = self.known[kept], self.place[kept]
             self.first = self.first[: keep + 1]
             self.ids = self.ids[: self.first[-1]]
 
@@ -110,23 +113,26 @@ class Encoder:
         first, inside = word_spans(data, ends, "space")
         starts = np.flatnonzero(first)
         own, at, which = np.unique(hashes_at(data, starts, "space"), return_index=True, return_inverse=True)
-        known = self.place
-        places = [known.get(h, -1) for h in own.tolist()]
-        new = [i for i, p in enumerate(places) if p < 0]
-        if new:
+        near = np.searchsorted(self.known, own)
+        places = np.full(len(own), -1, dtype=np.int64)
+        hit = np.flatnonzero(np.append(self.known, np.uint64(0))[near] == own)
+        hit = hit[near[hit] < len(self.known)]
+        places[hit] = self.place[near[hit]]
+        new = np.flatnonzero(places < 0)
+        if len(new):
             stop = np.flatnonzero(~inside | np.append(first[1:], True))  # where a word ends, or the byte before another
             begin = starts[at[new]]
             last = stop[np.searchsorted(stop, begin)]
             last += inside[last]
             raw = data.tobytes()
             ids = self._ids_of_plain([raw[s:e].decode() for s, e in zip(begin.tolist(), last.tolist())])
-            for i, p in zip(new, range(len(self.first) - 1, len(self.first) - 1 + len(new))):
-                places[i] = known[int(own[i])] = p
+            places[new] = np.arange(len(self.first) - 1, len(self.first) - 1 + len(new))
+            self.known, self.place = np.insert(self.known, near[new], own[new]), np.insert(self.place, near[new], places[new])
             sizes = np.cumsum([len(x) for x in ids]) // self.ids.itemsize
             self.first = np.append(self.first, self.first[-1] + sizes)
             self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), dtype=self.dtype))
         where = np.searchsorted(starts, ends)
-        word = np.insert(np.array(places, dtype=np.int64)[which] if len(own) else np.empty(0, dtype=np.int64), where[1:], 0)
+        word = np.insert(places[which], where[1:], 0)
         begin, size = self.first[word], np.diff(self.first)[word]
         after = np.cumsum(size)
         ids = self.ids[np.repeat(begin - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
@@ -176,6 +182,7 @@ def _tokenize(path: str):
                         "ids": pa.Array.from_buffers(pa.binary(), len(rows), [None, places, pa.py_buffer(np.ascontiguousarray(ids))]),
                     }
                 )
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return tokenize
 
