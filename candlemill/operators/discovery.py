@@ -115,7 +115,8 @@ def barycenter(clusters: DataFrame, values: str = "tail") -> DataFrame:
 
 
 def standardise_features(vectors: DataFrame) -> DataFrame:
-    """Z-scores of each position (population deviation); 0 for a constant one."""
+    """Z-scores of each position (population deviation); 0 for a constant one. The vectors are stored: moments and scores read them."""
+    vectors = stored(vectors, "features")
     stats = vectors.groupBy("pos").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
     z = F.when(F.col("high") > F.col("low"), (F.col("value") - F.col("m")) / F.col("sd")).otherwise(0.0)
     return vectors.join(F.broadcast(stats), "pos").select(KEY, "pos", z.alias("value"))
@@ -151,7 +152,7 @@ def frequent_clusters(assigned: DataFrame, min_freq: int) -> DataFrame:
 
 def discover_composite(vectors: DataFrame, max_clusters: int = 10, min_freq: int = 3) -> DataFrame:
     """L3 patterns: k-means on standardised feature vectors, frequent clusters only (ids keep gaps); none from fewer than two vectors."""
-    arrays = stored(vectors_of(standardise_features(stored(vectors, "features"))), "vectors")  # read twice: for the moments and for the scores
+    arrays = stored(vectors_of(standardise_features(vectors)), "vectors")
     n = arrays.count()
     if n < 2:
         return arrays.sparkSession.createDataFrame([], "pattern_id string, complexity int, frequency long, prototype array<double>")
