@@ -55,7 +55,7 @@ def batch_recognize(raw_bars: DataFrame, library: DataFrame, expectancy: DataFra
 
 def backtest(trades: DataFrame, old_expectancy: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Slice metrics (computed once), pattern reports and the updated expectancy table."""
-    priced = evaluation.trade_returns(trades) if "return_pct" not in trades.columns else trades
+    priced = stored(evaluation.trade_returns(trades) if "return_pct" not in trades.columns else trades, "trades")
     metrics = stored(evaluation.slice_metrics(priced, config.holdings, config.min_samples), "metrics")
     report = evaluation.pattern_report(priced, metrics)
     return metrics, report, evaluation.update_expectancy(old_expectancy, report)
@@ -65,7 +65,7 @@ def backtest_history(
     bars: DataFrame, library: DataFrame, old_expectancy: DataFrame, holding: int = 5, threshold: float = 0.9, config: Config = Config()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Backtest of the trades that come from matching the library with the whole history; they count in every market."""
-    return backtest(stored(matching.history_trades(bars, library, holding, threshold), "trades"), old_expectancy, config)
+    return backtest(matching.history_trades(bars, library, holding, threshold), old_expectancy, config)
 
 
 def discover(raw_bars: DataFrame, library: DataFrame, config: Config = Config()) -> DataFrame:

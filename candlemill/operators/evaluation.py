@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 #: Boards, strategies, holding periods, costs, weights of the scores, ratings.
 MARKETS = ("main", "growth", "star", "north")
 STRATEGIES = ("chase", "oversold", "trend", "range")
@@ -131,9 +133,9 @@ def slice_metrics(trades: DataFrame, holdings: tuple[int, ...] = HOLDINGS, min_s
     """All figures of every (pattern, market, strategy, holding) slice; ``valid`` and ``reason`` say which count.
 
     Everything but the Sharpe ratio is the same for all holding periods, so it is computed
-    once per (pattern, market, strategy) and repeated last.
+    once per (pattern, market, strategy) and repeated last. The rows of the slices are stored: statistics and ordered risk read them.
     """
-    rows = slice_rows(trades)
+    rows = stored(slice_rows(trades).select(*SLICE, "entry_date", "series_id", "return_pct"), "slices")
     stats = figures_of(slice_statistics(rows).join(ordered_risk(rows), list(SLICE), "left"), min_samples)
     return with_sharpe(each_holding(stats, holdings))
 
