@@ -1,21 +1,23 @@
-"""Average linkage of windows by warped distance, in Spark rounds over a sparse graph of near clusters."""
+"""Average linkage of windows by warped distance: rounds of merges in Spark, the top of the tree from a matrix."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY
 from ..functions.storage import stored
-from .neighbours import candidates, different, envelope, sums_of_blocks
+from .blocks import distances
+from .neighbours import different, warped_blocks
 
-#: The tree's top is built from a matrix of at most this many clusters; windows of a block; what a distance grows by from level to level.
-LAST, BLOCK, GROWTH = 512, 128, 2.0
-#: Levels tried between one that leaves too many clusters and one that leaves too few.
-HALVINGS = 6
+#: The tree's top is built from a matrix of at most this many clusters; windows of a block, about; pairs of blocks a task; windows compared at once.
+LAST, BLOCK, TASK, STEP = 2048, 512, 16, 2048
 
 
 def average_linkage(distance: np.ndarray, clusters: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -36,134 +38,148 @@ def average_linkage(distance: np.ndarray, clusters: int, weight: np.ndarray | No
     return np.unique(label, return_inverse=True)[1]
 
 
-@dataclass(frozen=True)
-class State:
-    """Windows (id, copies, v) with their cluster, the distance sums known of pairs of clusters (a, b, total, met), and how many clusters there are."""
-
-    members: DataFrame
-    known: DataFrame | None
-    clusters: int
-
-
-def _blocks(members: DataFrame) -> DataFrame:
-    """(c, weight of the whole cluster, v, w): members in arrays of about BLOCK, so a large cluster is many rows."""
-    sizes = members.groupBy("c").agg(F.count("*").alias("__n"), F.sum("copies").alias("weight"))
-    at = F.expr(f"pmod(xxhash64(id), (__n - 1) div {BLOCK} + 1)")
-    return members.join(sizes, "c").groupBy("c", "weight", at.alias("__block")).agg(F.collect_list("v").alias("v"), F.collect_list("copies").alias("w")).drop("__block")
-
-
-def _sums(pairs: DataFrame, members: DataFrame, radius: int) -> DataFrame:
-    """(a, b, total) of pairs of clusters: every pair of blocks is warped inside a task and leaves one number."""
-    kind = members.schema["c"].dataType.simpleString()
-    blocks = _blocks(members)
-    left = blocks.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("w").alias("wa"))
-    right = blocks.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("w").alias("wb"))
-    dealt = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "va", "wa", "vb", "wb")
-    return dealt.mapInArrow(sums_of_blocks(radius), f"a {kind}, b {kind}, total double").groupBy("a", "b").agg(F.sum("total").alias("total"))
-
-
-def _summaries(members: DataFrame, radius: int, lengths: list[int]) -> DataFrame:
-    """(id, weight, mid, low, high) of each cluster, for a lower bound of mean distances.
-
-    Windows of one length have their values and envelopes; of several lengths only their ends can be compared, as the ends of two windows
-    meet each other (halved if there are windows of one value, whose ends are the same).
+def average_tree(distance: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float]]:
+    """All merges (kept, merged, mean distance) of average linkage of a full matrix, the nearest first; a merged cluster keeps the smaller place."""
+    d, size, out = distance.astype(float).copy(), weight.astype(float).copy(), []
+    np.fill_diagonal(d, np.inf)
+    near = d.argmin(1)
+    low = d[np.arange(len(d)), near]
+    for _ in range(len(d) - 1):
+        i = int(np.argmin(low))
+        i, j = sorted((i, int(near[i])))
+        out.append((i, j, float(d[i, j])))
+        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = merged, merged
+        d[i, i] = d[j] = d[:, j] = np.inf
+        size[i] += size[j]
+        low[j] = np.inf
+        again = np.flatnonzero(((near == i) | (near == j)) & np.isfinite(low))  # a mean is no less than the nearer of two, so the others keep their nearest
+        again = np.union1d(again, [i])
+        near[again] = d[again].argmin(1)
+        low[again] = d[again, near[again]]
+    return out
+
+
+def _clusters_of(block: pa.StructArray) -> tuple[pa.StructArray, np.ndarray, pa.Array, np.ndarray]:
+    """A block's windows by cluster, the place of each one's cluster among them, the clusters in order, and their weights."""
+    place = np.asarray(pc.rank(block.field("c"), tiebreaker="dense")).astype(np.int64) - 1
+    order = np.argsort(place, kind="stable")
+    block, place = block.take(pa.array(order)), place[order]
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return block, place, block.field("c").take(pa.array(first)), np.bincount(place, np.asarray(block.field("w")).astype(float))
+
+
+def _means(x: pa.StructArray, y: pa.StructArray, same: bool, radius: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Mean distances of all clusters of two blocks; of one block with itself infinite on the diagonal."""
+    (x, at_x, a, weight_x), (y, at_y, b, weight_y) = _clusters_of(x), _clusters_of(y)
+    total = np.zeros((len(a), len(b)))
+    for s in range(0, len(x), STEP):
+        for t in range(0, len(y), STEP):
+            left, right = x.slice(s, STEP), y.slice(t, STEP)
+            d = distances(left, right, lambda v, w: warped_blocks(v, w, radius))[0]
+            d *= np.asarray(left.field("w")).astype(float)[:, None] * np.asarray(right.field("w")).astype(float)
+            (rows, r), (cols, c) = (np.unique(p, return_index=True) for p in (at_x[s : s + STEP], at_y[t : t + STEP]))
+            total[np.ix_(rows, cols)] += np.add.reduceat(np.add.reduceat(d, r, axis=0), c, axis=1)
+    mean = total / (weight_x[:, None] * weight_y)
+    if same:
+        mean = np.triu(mean, 1) + np.triu(mean, 1).T  # one number for both directions
+        np.fill_diagonal(mean, np.inf)
+    return a, b, mean
+
+
+def _by_blocks(members: DataFrame, windows: int, radius: int, nearest: bool) -> DataFrame:
+    """(a, b, d) of clusters by mean distance: for each cluster the nearest of each block, of equally near ones the first, or all pairs a < b.
+
+    A block holds all windows of its clusters, about ``BLOCK``; a task meets two blocks at a time, so no pair of windows leaves it.
     """
-    if len(lengths) == 1:
-        low, high = envelope("v", "size(v)", radius)
-        own = members.withColumns({"mid": F.col("v"), "low": low, "high": high})
-    else:
-        share = 0.5 if lengths and lengths[0] == 1 else 1.0
-        ends = F.array(F.element_at("v", 1) * share, F.element_at("v", -1) * share)
-        own = members.withColumns({"mid": ends, "low": ends, "high": ends})
-    size = max(lengths) if len(lengths) == 1 else 2
-    means = [F.expr(f"array({', '.join(f'sum({c}[{i}] * copies) / sum(copies)' for i in range(size))})").alias(c) for c in ("mid", "low", "high")]
-    return own.groupBy(F.col("c").alias("id")).agg(F.sum("copies").alias("weight"), *means)
-
-
-def _round(state: State, within: float, radius: int, lengths: list[int]) -> State | None:
-    """One round of merges of mean distance <= ``within``; None if there is no such pair."""
-    clusters = stored(_summaries(state.members, radius, lengths), "clusters")
-    near = candidates(clusters.select("id", "mid"), clusters.select("id", "low", "high"), within).where("a < b")
-    weight = clusters.select("id", "weight")
-    near = near.join(weight.toDF("a", "na"), "a").join(weight.toDF("b", "nb"), "b")
-    near = near.withColumn("all", F.col("na") * F.col("nb"))
-    if state.known is not None:
-        near = near.join(state.known, ["a", "b"], "left").withColumn("total", F.when(F.col("met") == F.col("all"), F.col("total")))
-    else:
-        near = near.withColumn("total", F.lit(None).cast("double"))
-    near = stored(near.select("a", "b", "all", "total"), "near")
-    fresh = _sums(near.where("total is null"), state.members, radius)
-    known = near.where("total is not null").select("a", "b", "total", "all").union(
-        near.where("total is null").select("a", "b", "all").join(fresh, ["a", "b"]).select("a", "b", "total", "all")
-    )
-    known = stored(known.withColumnRenamed("all", "met"), "known")
-    edges = known.where(F.col("total") / F.col("met") <= within).select("a", "b", F.struct((F.col("total") / F.col("met")).alias("d"), "a", "b").alias("e"))
-    best = edges.select(F.col("a").alias("x"), "e").union(edges.select(F.col("b").alias("x"), "e")).groupBy("x").agg(F.min("e").alias("e"))
-    merges = best.groupBy("e").count().where("count = 2").select(F.col("e.b").alias("c"), F.col("e.a").alias("__to"))
-    merges = stored(merges, "merges")
-    n = merges.count()
-    if not n:
-        return None if state.known is None else State(state.members, known, state.clusters)
-    members = stored(state.members.join(merges, "c", "left").select("id", "copies", "v", F.coalesce("__to", "c").alias("c")), "members")
-    renamed = known
+    kind, many = members.schema["c"].dataType.simpleString(), max(1, math.ceil(windows / BLOCK))
+    placed = members.withColumn("i", F.pmod(F.xxhash64("c"), F.lit(many)).cast("int"))
+    blocks = stored(placed.groupBy("i").agg(F.collect_list(F.struct("c", "v", F.col("copies").alias("w"))).alias("x")), "blocks")
+    names = blocks.select("i")
+    pairs = names.join(F.broadcast(names.toDF("j")), F.col("i") <= F.col("j"))
+    dealt = pairs.join(blocks, "i").join(blocks.toDF("j", "y"), "j").select("i", "j", "x", "y").repartition(math.ceil(many * (many + 1) / 2 / TASK), "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, x, y in zip(*(batch.column(c) for c in ("i", "j", "x", "y"))):
+                a, b, mean = _means(x.values, y.values, i == j, radius)
+                if not nearest:
+                    ids = pc.rank(pa.concat_arrays([a, b]), tiebreaker="dense").to_numpy().astype(np.int64)
+                    row, col = np.nonzero(ids[: len(a), None] < ids[len(a) :] if i == j else np.ones(mean.shape, dtype=bool))
+                    yield _rows(a.take(pa.array(row)), b.take(pa.array(col)), mean[row, col])
+                    continue
+                for own, others, d in ((a, b, mean), *([] if i == j else [(b, a, mean.T)])):
+                    best = d.argmin(1)
+                    low = d[np.arange(len(own)), best]
+                    some = np.flatnonzero(np.isfinite(low))
+                    yield _rows(own.take(pa.array(some)), others.take(pa.array(best[some])), low[some])
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, d double")
+
+
+def _rows(a: pa.Array, b: pa.Array, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a, b, pa.array(d)], names=["a", "b", "d"])
+
+
+def _renamed(members: DataFrame, merges: DataFrame) -> DataFrame:
+    return members.join(merges.select("c", "__to"), "c", "left").select("id", "copies", "v", F.coalesce("__to", "c").alias("c"))
+
+
+def _round(members: DataFrame, heights: DataFrame, windows: int, radius: int) -> DataFrame:
+    """(c, __to, h): clusters that are each other's nearest, the larger name merging into the smaller; h never falls from a cluster to what it becomes."""
+    best = stored(_by_blocks(members, windows, radius, True).groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select("a", "n.b", "n.d"), "nearest")
+    back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    both = best.join(back, ["a", "b"]).where("a < b")
     for side in "ab":
-        renamed = renamed.join(merges.toDF(side, "__to"), side, "left").withColumn(side, F.coalesce("__to", side)).drop("__to")
-    renamed = renamed.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("total").alias("total"), F.sum("met").alias("met"))
-    return State(members, stored(renamed, "known"), state.clusters - n)
-
-
-def _settle(state: State, within: float, radius: int, lengths: list[int]) -> State:
-    """Merges until no two clusters have a mean distance of at most ``within``."""
-    while True:
-        after = _round(state, within, radius, lengths)
-        if after is None or after.clusters == state.clusters:
-            return after or state
-        state = after
+        both = both.join(heights.toDF(side, f"h{side}"), side, "left")
+    return stored(both.select(F.col("b").alias("c"), F.col("a").alias("__to"), F.greatest("d", "ha", "hb").alias("h")), "merges")
 
 
 def linked_windows(windows: DataFrame, clusters: int, radius: int = 1, key: str = KEY, values: str = "tail", last: int = LAST) -> DataFrame:
     """(key, cluster) of every usable window: average linkage by warped distance, cut at ``clusters`` clusters, numbered by their smallest key.
 
-    Equal windows are one of their weight. While there are more than ``last`` clusters:
-
-    1. a distance is taken that grows from level to level; clusters whose means and mean envelopes lie within it are candidates, a
-       superset of those whose mean distance does (see ``neighbours``);
-    2. mean distances of candidates come from sums known of the clusters they were made of, else from all their windows, block by block in tasks;
-    3. clusters that are each other's nearest merge, all of a round at once. Average linkage is reducible, so this gives the tree of
-       one merge after the other; a level ends when no pair lies within its distance.
+    Equal windows are one of their weight. While there are more than ``last`` clusters, those that are each other's nearest merge, all of a round at once: average
+    linkage is reducible, so this gives the tree of one merge after the other. A round computes the mean distances of all clusters from their windows, block by block
+    in tasks that give the nearest ones only, and leaves about two thirds of the clusters. The rest of the tree comes from the full matrix of at most ``last`` cluster means.
 
-    The rest of the tree comes from the full matrix of at most ``last`` cluster means, whose sums Spark computes likewise. A level that would leave less than
-    ``clusters`` is taken back and halved; if many pairs are exactly equally far, so that no level lies between, the matrix is as large as they
-    leave it. Ties of distance go to the smaller keys. All distances of a merged pair are computed once, so the work grows with the square of the
-    different windows, spread over tasks; no pair of windows leaves them.
+    The tree is then cut: of all its merges the ``clusters`` - 1 farthest are left out (they may be of any round), the others are followed once more from the windows on.
+    Ties of distance go to the smaller keys. The work of a round grows with the square of the different windows, spread over tasks.
     """
-    classes, members = different(windows, key, values)
-    state = State(stored(classes.withColumn("c", F.col("id")), "members"), None, classes.count())
-    lengths = sorted(r[0] for r in classes.select(F.size("v")).distinct().collect())
-    if state.clusters > last:
-        low, high = classes.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
-        below, within, tries = 0.0, max(lengths[-1] * (high - low) / np.sqrt(state.clusters) / 2, 1e-9), 0
-        while state.clusters > last and tries < HALVINGS:
-            after = _settle(state, within, radius, lengths)
-            if after.clusters < clusters:
-                within, tries = (below + within) / 2, tries + 1
-            else:
-                state, below = after, within
-                within *= GROWTH if not tries else 1.1
-    kind = classes.schema["id"].dataType.simpleString()
-    found = state.members.groupBy("c").agg(F.sum("copies").alias("n")).orderBy("c").collect()
-    place = {r["c"]: i for i, r in enumerate(found)}
-    weight = np.array([r["n"] for r in found], dtype=float)
-    if len(found) > clusters:
-        names = state.members.select("c").distinct()
-        pairs = names.toDF("a").join(F.broadcast(names.toDF("b")), F.col("a") < F.col("b"))
-        sums = _sums(pairs, state.members, radius).toArrow()
-        a, b = (np.array([place[c] for c in sums.column(x).to_pylist()], dtype=int) for x in "ab")
-        distance = np.zeros((len(found), len(found)))
-        distance[a, b] = distance[b, a] = sums.column("total").to_numpy() / (weight[a] * weight[b])
-        labels = average_linkage(distance, clusters, weight)
-    else:
-        labels = np.arange(len(found))
-    first = {c: i for i, c in enumerate(dict.fromkeys(labels.tolist()))}
-    named = windows.sparkSession.createDataFrame([(r["c"], first[c]) for r, c in zip(found, labels.tolist())], f"c {kind}, cluster int")
-    return members.join(state.members.select("id", "c"), "id").join(F.broadcast(named), "c").select(key, "cluster")
+    classes, owners = different(windows, key, values)
+    start = stored(classes.withColumn("c", F.col("id")), "members")
+    members, total = start, classes.count()
+    left, last, rounds = total, max(last, 2 * clusters), []  # a round halves the clusters at most
+    heights = start.select("c", F.lit(0.0).alias("h")).limit(0)
+    while left > last:
+        merges = _round(members, heights, total, radius)
+        rounds.append(merges)
+        left -= merges.count()
+        members = stored(_renamed(members, merges), "members")
+        heights = stored(heights.join(merges.select("c"), "c", "left_anti").union(merges.select(F.col("__to").alias("c"), "h")).groupBy("c").agg(F.max("h").alias("h")), "heights")
+    found = members.groupBy("c").agg(F.sum("copies").alias("n")).join(heights, "c", "left").orderBy("c").toArrow()
+    names, weight = found.column("c").combine_chunks(), found.column("n").to_numpy().astype(float)
+    height = np.nan_to_num(found.column("h").to_numpy(zero_copy_only=False).astype(float))
+    pairs = _by_blocks(members, total, radius, False).toArrow()
+    a, b = (np.asarray(pc.index_in(pairs.column(x), value_set=names)).astype(np.int64) for x in "ab")
+    distance = np.zeros((len(names), len(names)))
+    distance[a, b] = distance[b, a] = pairs.column("d").to_numpy()
+    top = []
+    for i, j, d in average_tree(distance, weight):
+        height[i] = max(d, height[i], height[j])
+        top.append((float(height[i]), len(rounds), i, j))
+    cut = [(r["h"], at, r["c"], None) for at, m in enumerate(rounds) for r in m.orderBy(F.desc("h"), "c").limit(max(clusters - 1, 0)).collect()]
+    cut = sorted([*cut, *((h, at + n, i, j) for n, (h, at, i, j) in enumerate(top))], key=lambda x: x[:2])[::-1][: max(clusters - 1, 0)]
+    kind, spark = classes.schema["id"].dataType, windows.sparkSession
+    members = start
+    for at, merges in enumerate(rounds):
+        out = [c for _, n, c, j in cut if j is None and n == at]
+        members = _renamed(members, merges.where(~F.col("c").isin(out)) if out else merges)
+    left_out, label, names = {(i, j) for _, _, i, j in cut if j is not None}, {}, names.to_pylist()
+    for _, _, i, j in reversed(top):  # from the root down, so that a place's own label is known first
+        if (i, j) not in left_out:
+            label[names[j]] = label.get(names[i], names[i])
+    members = stored(members, "members")
+    own = [r["c"] for r in members.select("c").distinct().orderBy("c").collect()]  # at most ``last`` and those cut off
+    number = {c: n for n, c in enumerate(c for c in own if c not in label)}
+    named = spark.createDataFrame([(c, number[label.get(c, c)]) for c in own], f"c {kind.simpleString()}, cluster int")
+    return owners.join(members.select("id", "c"), "id").join(F.broadcast(named), "c").select(key, "cluster")
