@@ -65,7 +65,9 @@ def further_seeds(points: DataFrame, sets: list[np.ndarray], costs: list[float],
             for s, (c, cost) in enumerate(zip(sets, costs)):
                 if cost > 0:
                     luck = (part[f"u{s}"].to_numpy() % (1 << 30)) / (1 << 30)
-                    yield pd.DataFrame({"start": s, "x": [v.tolist() for v in x[luck < wanted * w * gaps(x, c).min(1) / cost]]})
+                    drawn = x[luck < wanted * w * gaps(x, c).min(1) / cost]
+                    if len(drawn):  # an empty column of no lists has no type that Arrow takes for one of lists
+                        yield pd.DataFrame({"start": s, "x": [v.tolist() for v in drawn]})
 
     luck = [F.xxhash64("x", F.lit(seed), F.lit(turn)).alias(f"u{s}") for s, seed in enumerate(seeds)]
     found = points.select("x", "w", *luck).mapInPandas(draw, "start int, x array<double>").collect()

@@ -27,3 +27,15 @@ def test_few_and_equal_vectors(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)] + [(99, [3.0, 2.0])], "series_id long, vector array<double>")
     assert [r["centre"] for r in discovery.kmeans(df, 5).orderBy("cluster").collect()] == [[1.0, 2.0], [3.0, 2.0]]
     assert discovery.kmeans(df.limit(0), 3).count() == 0
+
+
+def test_batches_may_draw_no_seeds(spark):
+    """Of 400 vectors in batches of 8 a round draws some four, so most batches draw none."""
+    rows = [(i, [float(i % 20), float(i // 20)]) for i in range(400)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        found, sizes, _ = centres.best_centres(spark.createDataFrame(rows, "series_id long, vector array<double>"), 2, range(42, 44))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(found) == 2 and sizes.sum() == 400
