@@ -23,6 +23,8 @@ OTHER, END = 0, 1
 UNITS, LANES, WINDOW, ROUNDS, RATE, CLIP = 16, 256, 32, 4, 0.1, 5.0
 #: Training goes over a longer text in stretches of so many ids, each from an empty state, so that no lane runs on alone.
 STRETCH = 1024
+#: States whose classes are weighed at once.
+ROWS = 2048
 #: Scores of classes and words lie within these bounds, so padding has a share of 1e-24.
 BOUND = 55.0
 #: Added to every count.
@@ -59,93 +61,133 @@ def run_window(w: Weights, ids: np.ndarray, state: np.ndarray) -> tuple[np.ndarr
     """States after each step (steps x lanes x units) for input ``ids`` (steps x lanes), and what going back needs.
 
     With update z, reset r and candidate c: state = c + z * (state - c). The candidate is x / (1 + |x|), a gate half of that plus a
-    half. The state is empty where a text begins, which is where the end of one is the input.
+    half. The state is empty where a text begins, which is where the end of one is the input. Inside, lanes come last, so that a step works
+    on whole stretches of memory.
     """
     steps, lanes = ids.shape
     u = state.shape[1]
-    pre, keep = w["input"][ids], (ids != END).astype(np.float32)[:, :, None]
-    states, befores = np.empty((steps, lanes, u), dtype=np.float32), np.empty((steps, lanes, u), dtype=np.float32)
-    gates, inners = pre[:, :, : 2 * u], pre[:, :, 2 * u :]
+    pre = np.ascontiguousarray(w["input"][ids].transpose(0, 2, 1))
+    gates, inners = pre[:, : 2 * u], pre[:, 2 * u :]
+    states, befores = np.empty((steps, u, lanes), dtype=np.float32), np.empty((steps, u, lanes), dtype=np.float32)
+    wide, slim, part = (np.empty((n * u, lanes), dtype=np.float32) for n in (2, 1, 1))
+    to_gates, to_inner, ends = w["gates"].T.copy(), w["inner"].T.copy(), _ends(ids)
+    now = state.T
     for t in range(steps):
-        before = befores[t]
-        np.multiply(state, keep[t], out=before)
-        g = gates[t]
-        g += before @ w["gates"]
-        g /= 1 + np.abs(g)
+        before, g, c = befores[t], gates[t], inners[t]
+        before[:] = now
+        if len(ends[t]):
+            before[:, ends[t]] = 0
+        g += np.matmul(to_gates, before, out=wide)
+        np.abs(g, out=wide)
+        wide += 1
+        g /= wide
         g += 1
         g *= 0.5
-        c = inners[t]
-        c += (g[:, u:] * before) @ w["inner"]
-        c /= 1 + np.abs(c)
-        state = states[t]
-        np.subtract(before, c, out=state)
-        state *= g[:, :u]
-        state += c
-    return states, (ids, keep, befores, gates, inners)
+        np.multiply(g[u:], before, out=part)
+        c += np.matmul(to_inner, part, out=slim)
+        np.abs(c, out=slim)
+        slim += 1
+        c /= slim
+        now = states[t]
+        np.subtract(before, c, out=now)
+        now *= g[:u]
+        now += c
+    return states.transpose(0, 2, 1), (ends, befores, gates, inners)
+
+
+def _ends(ids: np.ndarray) -> list[np.ndarray]:
+    """The lanes whose input is the end, step by step."""
+    step, lane = np.nonzero(ids == END)
+    return np.split(lane, np.searchsorted(step, np.arange(1, len(ids))))
 
 
 def back_window(w: Weights, seen: tuple, d_states: np.ndarray) -> tuple[Weights, np.ndarray]:
     """Gradients of the recurrent weights from those of the states; no gradient leaves the window. Those of ``input`` are one row a step and lane."""
-    ids, keep, befores, gates, inners = seen
-    steps, lanes, u = d_states.shape
-    d_pre = np.empty((steps, lanes, 3 * u), dtype=np.float32)
-    carry = np.zeros((lanes, u), dtype=np.float32)
-    back_gates, back_inner = w["gates"].T.copy(), w["inner"].T.copy()
+    ends, befores, gates, inners = seen
+    steps, u, lanes = befores.shape
+    d_pre = np.empty((steps, 3 * u, lanes), dtype=np.float32)
+    z, r, d_states = gates[:, :u], gates[:, u:], np.ascontiguousarray(d_states.transpose(0, 2, 1))
+    slope = np.square(1 - np.abs(2 * gates - 1))
+    slope *= 0.5
+    to_inner = (1 - z) * np.square(1 - np.abs(inners))
+    to_update, to_reset = (befores - inners) * slope[:, :u], befores * slope[:, u:]
+    carry, d, d_rh, part = (np.empty((u, lanes), dtype=np.float32) for _ in range(4))
+    carry[:] = 0
     for t in range(steps - 1, -1, -1):
-        d = d_states[t] + carry
-        before, c, z, r = befores[t], inners[t], gates[t][:, :u], gates[t][:, u:]
         own = d_pre[t]
-        d_c = own[:, 2 * u :]
-        np.multiply(d * (1 - z), np.square(1 - np.abs(c)), out=d_c)
-        slope = np.square(1 - np.abs(2 * gates[t] - 1))
-        slope *= 0.5
-        np.multiply(d * (before - c), slope[:, :u], out=own[:, :u])
-        d_rh = d_c @ back_inner
-        np.multiply(d_rh * before, slope[:, u:], out=own[:, u : 2 * u])
-        carry = (d * z + d_rh * r + own[:, : 2 * u] @ back_gates) * keep[t]
-    flat = d_pre.reshape(-1, 3 * u)
-    seen_before = befores.reshape(-1, u)
-    reset = (gates[:, :, u:] * befores).reshape(-1, u)
-    return {"gates": seen_before.T @ flat[:, : 2 * u], "inner": reset.T @ flat[:, 2 * u :]}, flat
-
-
-def _softmax(x: np.ndarray, at: np.ndarray, place: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of the shares of the given places, and all shares in place of ``x`` if ``learn``. Scores are held within what an exponential can take."""
+        np.add(d_states[t], carry, out=d)
+        np.multiply(d, to_update[t], out=own[:u])
+        np.multiply(d, to_inner[t], out=own[2 * u :])
+        np.matmul(w["inner"], own[2 * u :], out=d_rh)
+        np.multiply(d_rh, to_reset[t], out=own[u : 2 * u])
+        np.matmul(w["gates"], own[: 2 * u], out=carry)
+        carry += np.multiply(d, z[t], out=part)
+        carry += np.multiply(d_rh, r[t], out=part)
+        if len(ends[t]):
+            carry[:, ends[t]] = 0
+    flat = d_pre.transpose(1, 0, 2).reshape(3 * u, -1)
+    seen_before, reset = (x.transpose(1, 0, 2).reshape(u, -1) for x in (befores, r * befores))
+    return {"gates": seen_before @ flat[: 2 * u].T, "inner": reset @ flat[2 * u :].T}, flat.T
+
+
+def _softmax(x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the shares of the given places; ``x`` becomes exponentials, whose sums come along. Scores are held within what an exponential can take."""
     np.clip(x, -BOUND, BOUND, out=x)
-    own = x[at, place].astype(np.float64)
+    own = x[np.arange(len(x)), place].astype(np.float64)
     np.exp(x, out=x)
     s = x @ np.ones(x.shape[1], dtype=x.dtype)
-    if learn:
-        x /= s[:, None]
-    return own - np.log(s), x
+    return own - np.log(s), s
 
 
 def predict(w: Weights, states: np.ndarray, ids: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, Weights | None]:
-    """Natural logarithms of p(class of id) * p(id in its class) for each state; if ``learn``, gradients of their negative sum too."""
+    """Natural logarithms of p(class of id) * p(id in its class) for each state; if ``learn``, gradients of their negative sum too.
+
+    The states are brought into the order of their classes once. Shares less one for the id are (exponentials less their sum for the id) / sum, and
+    the division is made on the narrow side of each product.
+    """
     classes, size = w["word_b"].shape
-    group, place = np.divmod(ids.astype(np.int64), size)
-    x = states @ w["class_w"] + w["class_b"]
-    at = np.arange(len(ids))
-    out, p = _softmax(x, at, group, learn)
+    group, place = np.divmod(ids.astype(np.uint16), np.uint16(size))
+    order = np.argsort(group, kind="stable")
+    states, group, place = states[order], group[order].astype(np.int64), place[order].astype(np.int64)
+    cuts = np.searchsorted(group, np.arange(classes + 1))
+    found = np.empty(len(ids))
     d_states = grads = None
     if learn:
-        p[at, group] -= 1
-        d_states = p @ w["class_w"].T
-        grads = {"class_w": states.T @ p, "class_b": p.sum(axis=0), "word_w": np.zeros_like(w["word_w"]), "word_b": np.zeros_like(w["word_b"])}
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(classes + 1))
-    for k in range(classes):
-        own = order[cuts[k] : cuts[k + 1]]
-        if not len(own):
-            continue
-        h, here = states[own], np.arange(len(own))
-        x = h @ w["word_w"][k] + w["word_b"][k]
-        found, p = _softmax(x, here, place[own], learn)
-        out[own] += found
+        d_states = np.empty_like(states)
+        grads = {k: np.zeros_like(w[k]) for k in ("class_w", "class_b", "word_w", "word_b")}
+
+    def choose(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple:
+        x = h @ weight
+        x += bias
+        logs, s = _softmax(x, at)
+        if not learn:
+            return logs, None, None, None
+        x[np.arange(len(x)), at] -= s
+        share = (1 / s)[:, None]
+        d = x @ weight.T
+        d *= share
+        return logs, d, (h * share).T @ x, share[:, 0] @ x
+
+    for first in range(0, len(ids), ROWS):
+        part = slice(first, first + ROWS)
+        found[part], d, dw, db = choose(states[part], w["class_w"], w["class_b"], group[part])
+        if learn:
+            d_states[part] = d
+            grads["class_w"] += dw
+            grads["class_b"] += db
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[k], cuts[k + 1])
+        logs, d, dw, db = choose(states[part], w["word_w"][k], w["word_b"][k], place[part])
+        found[part] += logs
         if learn:
-            p[here, place[own]] -= 1
-            d_states[own] += p @ w["word_w"][k].T
-            grads["word_w"][k], grads["word_b"][k] = h.T @ p, p.sum(axis=0)
+            d_states[part] += d
+            grads["word_w"][k], grads["word_b"][k] = dw, db
+    out = np.empty(len(ids))
+    out[order] = found
+    if learn:
+        back = np.empty_like(d_states)
+        back[order] = d_states
+        d_states = back
     return out, d_states, grads
 
 
@@ -178,15 +220,19 @@ class Lanes:
         grid[self.cell] = ids
         self.grid = grid.reshape(len(self.total), -1)  # column 0: the end before the first text
 
-    def windows(self, units: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """First step, lanes still running, inputs, targets (both steps x lanes) and which targets count; send back the last states."""
-        state = np.zeros((len(self.total), units), dtype=np.float32)
-        for t in range(0, int(self.total[0]), WINDOW):
+    def windows(self, units: int, full: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First step, states of the lanes still running, inputs, targets (both steps x lanes) and which targets count; send back the last states.
+
+        ``full`` windows have the more steps the fewer lanes still run.
+        """
+        state, t = np.zeros((len(self.total), units), dtype=np.float32), 0
+        while t < self.total[0]:
             n = int(np.searchsorted(-self.total, -t, side="left"))
-            steps = min(WINDOW, int(self.total[0]) - t)
+            steps = min(WINDOW * max(1, LANES // n) if full else WINDOW, int(self.total[0]) - t)
             part = np.ascontiguousarray(self.grid[:n, t : t + steps + 1].T).astype(np.int64)
             real = np.arange(t, t + steps)[:, None] < self.total[:n]
             state = yield t, state[:n], part[:-1], part[1:], real
+            t += steps
 
 
 def log_probabilities(w: Weights, ids: np.ndarray, lengths: np.ndarray, lanes: int = LANES) -> np.ndarray:
@@ -195,7 +241,7 @@ def log_probabilities(w: Weights, ids: np.ndarray, lengths: np.ndarray, lanes: i
         return np.zeros(0)
     dealt = Lanes(ids, lengths, lanes)
     scores = np.zeros(dealt.grid.shape, dtype=np.float32)
-    windows = dealt.windows(w["inner"].shape[0])
+    windows = dealt.windows(w["inner"].shape[0], full=True)
     step = next(windows, None)
     while step is not None:
         t, state, inputs, targets, real = step
@@ -231,10 +277,8 @@ def learn(w: Weights, squares: Weights, ids: np.ndarray, lengths: np.ndarray, la
         grads |= recurrent
         n = LANES * WINDOW  # whatever the lanes still running, so that the last ones move little
         flat = inputs.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-        words = flat[order][first]
-        rows = np.add.reduceat(rows[order], first, axis=0)
+        words = np.flatnonzero(np.bincount(flat))
+        rows = np.stack([np.bincount(flat, x)[words] for x in rows.T], axis=1).astype(np.float32)
         norm = np.sqrt(sum(float((g * g).sum()) for g in (*grads.values(), rows))) / n
         scale = np.float32(min(1.0, CLIP / max(norm, 1e-12)) / n)
         for k, g in grads.items():

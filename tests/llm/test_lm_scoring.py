@@ -142,3 +142,13 @@ def test_learns_order_and_language(make_docs, words):
         rows.append((k, " ".join(text)))
     got = score_texts(make_docs(rows), rounds=2).where("held_out").collect()
     assert sum(r["score"] for r in got) > 0.92 * sum(r["base_score"] for r in got)  # both negative
+
+
+def test_few_lanes_are_scored_in_long_windows(monkeypatch):
+    """A text of 20,000 ids by itself is three windows, not one for every 32 ids, and scores the same."""
+    w, rng, calls = weights(), np.random.default_rng(6), []
+    ids = np.append(rng.integers(2, 290, 19_999), lm.END).astype(np.uint16)
+    run = lm.run_window
+    monkeypatch.setattr(lm, "run_window", lambda *args: calls.append(1) or run(*args))
+    got = lm.log_probabilities(w, ids, np.array([len(ids)]))
+    assert len(calls) == 3 and got == pytest.approx([plain(w, ids)], rel=1e-4)
