@@ -16,6 +16,7 @@ from ..operators.matching import compare_tails, longest_of, patterns_of
 from ..operators.recognition import top_matches
 
 STATE = "starts array<long>, ends array<long>, times array<long>, ids array<long>, prices array<double>, closes array<double>, last long"
+TICK = ("start", "end", "at", "event_id", "price")
 #: Milliseconds of event time after which a series without bars is forgotten.
 IDLE = 30 * 86_400_000
 ALERT = KEY + " {kind}, bar_start timestamp, pattern_id string, confidence double, expectancy double, win_rate double"
@@ -73,10 +74,10 @@ def tails_of_ticks(ticks: DataFrame, longest: int, bar: str = "1 day", lateness:
         held = state.get if state.exists else ([], [], [], [], [], [], 0)
         bars = {start: tuple(rest) for start, *rest in zip(*held[:5])}  # start: end, time, event and price of the last tick
         closes, last = list(held[5]), held[6]
-        for part in parts:
-            newest = part.sort_values(["at", "event_id"]).drop_duplicates("start", keep="last")
-            for start, *tick in newest[["start", "end", "at", "event_id", "price"]].itertuples(index=False, name=None):
-                bars[start] = max(bars.get(start, tuple(tick)), tuple(tick), key=lambda x: x[1:3])
+        for part in parts:  # of a timer it is empty; a series has few ticks a batch, for which lists are faster than pandas
+            for start, *tick in zip(*(part[c].tolist() for c in TICK)) if len(part) else ():
+                if start not in bars or tuple(tick[1:3]) > bars[start][1:3]:
+                    bars[start] = tuple(tick)
         mark, rows = state.getCurrentWatermarkMs(), []
         for start in sorted(s for s, (end, *_) in bars.items() if end <= 1000 * mark):
             closes, last = [*closes, float(bars.pop(start)[3])][-longest:], start
@@ -104,6 +105,11 @@ def alerts_of_tails(tails: DataFrame, library: DataFrame, expectancy: DataFrame,
     return good.select(KEY, "bar_start", "pattern_id", F.col("similarity").alias("confidence"), "expectancy", "win_rate")
 
 
+def any_rows(batch: DataFrame) -> bool:
+    """Whether a persisted batch has rows. All its partitions are computed side by side; ``take`` would go over them one, four, twenty at a time."""
+    return batch.count() > 0
+
+
 def alert_query(
     ticks: DataFrame, library: Callable[[], DataFrame], expectancy: Callable[[], DataFrame], out: str, checkpoint: str, longest: int,
     trigger: dict | None = None, bar: str = "1 day", lateness: str = "1 hour", min_confidence: float = 0.7, least_bars: int = 20,
@@ -121,7 +127,7 @@ def alert_query(
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            if batch.take(1):
+            if any_rows(batch):
                 found = alerts_of_tails(batch, library(), expectancy(), min_confidence, least_bars)
                 found.write.mode("overwrite").parquet(f"{out}/batch={number}")
         finally:

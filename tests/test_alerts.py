@@ -73,3 +73,17 @@ def test_library_may_change_between_batches(spark, tmp_path):
     run(spark, base, "a", lambda: other, lambda: expectancy)
     names = {p for _, s, p, _ in alerts(spark, base, "a") if s >= DAY + datetime.timedelta(days=24)}
     assert names == {"other"} and {p for *_, p, _ in alerts(spark, base, "a")} == {"up", "other"}
+
+
+def test_a_batch_is_computed_in_one_go(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    batch = spark.range(0, 40, 1, 8).mapInPandas(count, "id long").persist()
+    assert streams.any_rows(batch) and seen.value == 40  # one partition after the other would stop at the first
+    assert batch.count() == seen.value == 40 and not streams.any_rows(batch.where("id < 0"))
+    batch.unpersist()
