@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 
-#: Rounds of seeding, centres expected of each (times k), steps at most, and the move (squared) below which a start is done.
-SEED_ROUNDS, OVERSAMPLE, STEPS, STILL = 3, 2, 20, 1e-8
+#: Rounds of seeding, centres expected of each (times k), and the move (squared) below which a start is done.
+SEED_ROUNDS, OVERSAMPLE, STILL = 3, 2, 1e-8
 
 
 def gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -32,20 +33,22 @@ def sums_by_centre(points: DataFrame, sets: list[np.ndarray]) -> tuple[list[np.n
     A task adds up its vectors first, so as many rows are shuffled a task as there are centres.
     """
 
-    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((len(c), c.shape[1] + 2)) for c in sets]
-        for part in parts:
-            if not len(part):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x, w = _column(part), part["w"].to_numpy(float)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            w = batch.column("w").to_numpy(zero_copy_only=False).astype(float)
             for t, c in zip(total, sets):
                 d = gaps(x, c)
                 near = d.argmin(1)
-                np.add.at(t, near, np.column_stack([w, w * d[np.arange(len(x)), near], x * w[:, None]]))
-        rows = [(s, i, row.tolist()) for s, t in enumerate(total) for i, row in enumerate(t) if row[0] > 0]
-        yield pd.DataFrame(rows, columns=["start", "centre", "sums"])
+                for pos, column in enumerate((w, w * d[np.arange(len(x)), near], *(x * w[:, None]).T)):
+                    t[:, pos] += np.bincount(near, column, minlength=len(c))
+        rows = [{"start": s, "centre": i, "sums": row.tolist()} for s, t in enumerate(total) for i, row in enumerate(t) if row[0] > 0]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema({"start": pa.int32(), "centre": pa.int32(), "sums": pa.list_(pa.float64())}))
 
-    parts = points.select("x", "w").mapInPandas(add, "start int, centre int, sums array<double>")
+    parts = points.select("x", "w").mapInArrow(add, "start int, centre int, sums array<double>")
     long = parts.select("start", "centre", F.posexplode("sums").alias("pos", "value"))
     found = long.groupBy("start", "centre", "pos").agg(F.sum("value").alias("value")).collect()  # as many rows as centres have numbers
     total = [np.zeros((len(c), c.shape[1] + 2)) for c in sets]
@@ -71,7 +74,7 @@ def further_seeds(points: DataFrame, sets: list[np.ndarray], costs: list[float],
 
     luck = [F.xxhash64("x", F.lit(seed), F.lit(turn)).alias(f"u{s}") for s, seed in enumerate(seeds)]
     found = points.select("x", "w", *luck).mapInPandas(draw, "start int, x array<double>").collect()
-    return [np.vstack([c, *[[r["x"]] for r in found if r["start"] == s]]) for s, c in enumerate(sets)]
+    return [np.vstack([c, *[[x] for x in sorted(r["x"] for r in found if r["start"] == s)]]) for s, c in enumerate(sets)]  # in one order, however tasks end
 
 
 def spread(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -90,7 +93,8 @@ def best_centres(vectors: DataFrame, k: int, seeds: range, column: str = "vector
     """(centres, members of each, cost) of the cheapest of one start a seed.
 
     Equal vectors are one of their weight. Seeds come from scalable seeding (a first vector by hash, then rounds of draws by cost), thinned out on
-    the driver to ``k``: about k * (1 + rounds * ``OVERSAMPLE``) vectors a start. Steps are Lloyd's; every job serves all starts. Null vectors are left out;
+    the driver to ``k``: about k * (1 + rounds * ``OVERSAMPLE``) vectors a start. Steps are Lloyd's, as many as a start needs until its centres stand still (or its cost,
+    which falls with every step, can't fall any more in double precision); a job serves all starts that still move. Null vectors are left out;
     fewer different vectors than ``k`` give as many centres; no vectors give none.
     """
     seeds = list(seeds)
@@ -110,13 +114,16 @@ def best_centres(vectors: DataFrame, k: int, seeds: range, column: str = "vector
         sets = further_seeds(points, sets, costs, OVERSAMPLE * k, turn, seeds)
     weights = sums_by_centre(points, sets)[1]
     sets = [spread(c, w, k, np.random.default_rng(s)) for c, w, s in zip(sets, weights, seeds)]
-    for _ in range(STEPS):
-        sums, weights, costs = sums_by_centre(points, sets)
-        moved = [np.where(w[:, None] > 0, t / np.maximum(w, 1)[:, None], c) for t, w, c in zip(sums, weights, sets)]
-        still = all(((m - c) ** 2).sum(1).max() <= STILL for m, c in zip(moved, sets))
-        sets = moved
-        if still:
-            break
+    going, last = list(range(len(sets))), np.full(len(sets), np.inf)
+    while going:
+        sums, weights, costs = sums_by_centre(points, [sets[s] for s in going])
+        done = set()
+        for s, total, w, cost in zip(going, sums, weights, costs):
+            moved = np.where(w[:, None] > 0, total / np.maximum(w, 1)[:, None], sets[s])
+            if not cost < last[s] or ((moved - sets[s]) ** 2).sum(1).max() <= STILL:
+                done.add(s)
+            sets[s], last[s] = moved, cost
+        going = [s for s in going if s not in done]
     _, weights, costs = sums_by_centre(points, sets)
     best = int(np.argmin(costs))
     return sets[best], weights[best], costs[best]

@@ -190,16 +190,24 @@ def representatives(vectors: DataFrame, centres: DataFrame, min_freq: int = 3) -
 
 
 def cluster_complex(features: DataFrame, max_clusters: int = 10, min_freq: int = 3) -> DataFrame:
-    """L4 patterns: k-means on plain turning-point features; each candidate for itself if no cluster is frequent."""
-    arrays = stored(complex_vectors(features), "turning-points")
+    """L4 patterns: k-means on plain turning-point features, until the centres stand still; each candidate for itself if no cluster is frequent.
+
+    A pattern has its size, its representative with that one's features, and the ids of all its members in order. Where there are candidates for one cluster only, they are one.
+    """
+    features = stored(features, "turning-points")
+    arrays = complex_vectors(features)
     n = arrays.count()
-    single = arrays.select(F.concat(F.lit("L4-"), F.col(KEY)).alias("pattern_id"), F.lit(1).cast("long").alias("cluster_size"), F.col(KEY).alias("representative"))
-    k = min(max_clusters, n // min_freq)
-    if n < min_freq or k < 1:
-        return single
-    found = representatives(arrays, kmeans(arrays, max(k, 2)), min_freq)
-    named = found.select(F.format_string("L4-C%03d", "cluster").alias("pattern_id"), "cluster_size", "representative")
-    return named if named.take(1) else single
+    single = arrays.select(
+        F.concat(F.lit("L4-"), F.col(KEY)).alias("pattern_id"), F.lit(1).cast("long").alias("cluster_size"), F.col(KEY).alias("representative"), F.array(KEY).alias("members")
+    )
+    found, k = single, min(max_clusters, n // min_freq)
+    if k >= 1:
+        centres = stored(kmeans(arrays, k), "centres")
+        members = assign_to_centres(arrays, centres).groupBy("cluster").agg(F.array_sort(F.collect_list(KEY)).alias("members"))
+        named = stored(representatives(arrays, centres, min_freq).join(members, "cluster"), "clusters")
+        if named.take(1):
+            found = named.select(F.format_string("L4-C%03d", "cluster").alias("pattern_id"), "cluster_size", "representative", "members")
+    return found.join(features.withColumnRenamed(KEY, "representative"), "representative", "left").select(*found.columns, *[c for c in features.columns if c != KEY])
 
 
 def discover_complex(bars: DataFrame, max_clusters: int = 10, min_freq: int = 3, window: int = 60, least_bars: int = 30) -> DataFrame:
