@@ -16,8 +16,11 @@ from ..functions.storage import stored
 from .blocks import distances
 from .neighbours import different, warped_blocks
 
-#: The tree's top is built from a matrix of at most this many clusters; windows of a block, about; pairs of blocks a task; windows compared at once.
-LAST, BLOCK, TASK, STEP = 2048, 512, 16, 2048
+#: The tree's top is built from a matrix of at most this many clusters; windows of a block, about; of a part that is worth a task, and of a part at most; parts wanted; windows compared at once.
+LAST, BLOCK, WORTH, PART, PARTS, STEP = 2048, 512, 5000, 1 << 14, 12, 2048
+
+#: Windows by cluster, the place of each one's cluster among them, the clusters in order, and their weights.
+Clusters = tuple[pa.StructArray, np.ndarray, pa.Array, np.ndarray]
 
 
 def average_linkage(distance: np.ndarray, clusters: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -60,8 +63,7 @@ def average_tree(distance: np.ndarray, weight: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def _clusters_of(block: pa.StructArray) -> tuple[pa.StructArray, np.ndarray, pa.Array, np.ndarray]:
-    """A block's windows by cluster, the place of each one's cluster among them, the clusters in order, and their weights."""
+def _clusters_of(block: pa.StructArray) -> Clusters:
     place = np.asarray(pc.rank(block.field("c"), tiebreaker="dense")).astype(np.int64) - 1
     order = np.argsort(place, kind="stable")
     block, place = block.take(pa.array(order)), place[order]
@@ -69,50 +71,75 @@ def _clusters_of(block: pa.StructArray) -> tuple[pa.StructArray, np.ndarray, pa.
     return block, place, block.field("c").take(pa.array(first)), np.bincount(place, np.asarray(block.field("w")).astype(float))
 
 
-def _means(x: pa.StructArray, y: pa.StructArray, same: bool, radius: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """Mean distances of all clusters of two blocks; of one block with itself infinite on the diagonal."""
-    (x, at_x, a, weight_x), (y, at_y, b, weight_y) = _clusters_of(x), _clusters_of(y)
+def _means(ours: Clusters, theirs: Clusters, radius: int) -> np.ndarray:
+    """Mean distances of all clusters of two sides; infinite between a cluster and itself."""
+    (x, at_x, a, weight_x), (y, at_y, b, weight_y) = ours, theirs
     total = np.zeros((len(a), len(b)))
     for s in range(0, len(x), STEP):
         for t in range(0, len(y), STEP):
             left, right = x.slice(s, STEP), y.slice(t, STEP)
             d = distances(left, right, lambda v, w: warped_blocks(v, w, radius))[0]
-            d *= np.asarray(left.field("w")).astype(float)[:, None] * np.asarray(right.field("w")).astype(float)
-            (rows, r), (cols, c) = (np.unique(p, return_index=True) for p in (at_x[s : s + STEP], at_y[t : t + STEP]))
-            total[np.ix_(rows, cols)] += np.add.reduceat(np.add.reduceat(d, r, axis=0), c, axis=1)
-    mean = total / (weight_x[:, None] * weight_y)
-    if same:
-        mean = np.triu(mean, 1) + np.triu(mean, 1).T  # one number for both directions
-        np.fill_diagonal(mean, np.inf)
-    return a, b, mean
+            heavy_x, heavy_y = (np.asarray(side.field("w")).astype(float) for side in (left, right))
+            if heavy_x.max() > 1 or heavy_y.max() > 1:
+                d *= heavy_x[:, None] * heavy_y
+            for axis, p in enumerate((at_x[s : s + STEP], at_y[t : t + STEP])):
+                if p[-1] - p[0] + 1 < len(p):
+                    d = np.add.reduceat(d, np.flatnonzero(np.append(True, p[1:] != p[:-1])), axis=axis)
+            total[at_x[s] : at_x[s] + len(d), at_y[t] : at_y[t] + d.shape[1]] += d  # places are without gaps
+    total /= weight_x[:, None]
+    total /= weight_y
+    own = pc.index_in(b, value_set=a)
+    total[np.asarray(own.drop_null()), np.flatnonzero(np.asarray(own.is_valid()))] = np.inf
+    return total
+
+
+def parts_of(windows: int) -> int:
+    return max(1, math.ceil(windows / PART), min(PARTS, math.ceil(windows / WORTH)))
 
 
-def _by_blocks(members: DataFrame, windows: int, radius: int, nearest: bool) -> DataFrame:
-    """(a, b, d) of clusters by mean distance: for each cluster the nearest of each block, of equally near ones the first, or all pairs a < b.
+def _by_blocks(asked: DataFrame, members: DataFrame, windows: int, radius: int, nearest: bool) -> DataFrame:
+    """(a, b, d) of clusters by mean distance: the nearest of all for each cluster asked for (of equally near ones the first is among the rows), or all pairs a < b.
 
-    A block holds all windows of its clusters, about ``BLOCK``; a task meets two blocks at a time, so no pair of windows leaves it.
+    A block holds all windows of its clusters, about ``BLOCK``. Both sides' blocks are dealt to parts, and a task meets two parts, one block at a time: a window is shuffled once for each part,
+    and no pair of windows leaves a task.
     """
     kind, many = members.schema["c"].dataType.simpleString(), max(1, math.ceil(windows / BLOCK))
-    placed = members.withColumn("i", F.pmod(F.xxhash64("c"), F.lit(many)).cast("int"))
-    blocks = stored(placed.groupBy("i").agg(F.collect_list(F.struct("c", "v", F.col("copies").alias("w"))).alias("x")), "blocks")
-    names = blocks.select("i")
-    pairs = names.join(F.broadcast(names.toDF("j")), F.col("i") <= F.col("j"))
-    dealt = pairs.join(blocks, "i").join(blocks.toDF("j", "y"), "j").select("i", "j", "x", "y").repartition(math.ceil(many * (many + 1) / 2 / TASK), "i", "j")
+    n = parts_of(windows)
+
+    def blocks(side: DataFrame) -> DataFrame:
+        placed = side.withColumn("i", F.pmod(F.xxhash64("c"), F.lit(many)).cast("int"))
+        return placed.repartition(n, "i").groupBy("i").agg(F.collect_list(F.struct("c", "v", F.col("copies").alias("w"))).alias("x")).withColumn("part", F.col("i") % n)
+
+    row, column = F.sequence(F.col("part") * n, F.col("part") * n + n - 1), F.sequence(F.col("part"), F.col("part") + (n - 1) * n, F.lit(n))
+    left = blocks(asked).select(F.explode(row).alias("tile"), F.lit(True).alias("asked"), "x")
+    right = blocks(members).select(F.explode(column).alias("tile"), F.lit(False).alias("asked"), "x")
+    dealt = left.union(right).repartitionById(n * n, "tile").sortWithinPartitions("tile", F.desc("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, waiting, mine, low = None, [], None, np.zeros(0)
         for batch in batches:
-            for i, j, x, y in zip(*(batch.column(c) for c in ("i", "j", "x", "y"))):
-                a, b, mean = _means(x.values, y.values, i == j, radius)
-                if not nearest:
-                    ids = pc.rank(pa.concat_arrays([a, b]), tiebreaker="dense").to_numpy().astype(np.int64)
-                    row, col = np.nonzero(ids[: len(a), None] < ids[len(a) :] if i == j else np.ones(mean.shape, dtype=bool))
-                    yield _rows(a.take(pa.array(row)), b.take(pa.array(col)), mean[row, col])
+            for at, asks, x in zip(batch.column("tile").to_pylist(), batch.column("asked").to_pylist(), batch.column("x")):
+                if at != tile:
+                    tile, waiting, mine = at, [], None
+                if asks:
+                    waiting.append(x.values)
                     continue
-                for own, others, d in ((a, b, mean), *([] if i == j else [(b, a, mean.T)])):
-                    best = d.argmin(1)
-                    low = d[np.arange(len(own)), best]
-                    some = np.flatnonzero(np.isfinite(low))
-                    yield _rows(own.take(pa.array(some)), others.take(pa.array(best[some])), low[some])
+                if not waiting and mine is None:
+                    continue  # nothing is asked for here
+                if mine is None:
+                    mine, waiting = _clusters_of(pa.concat_arrays(waiting)), []
+                    low = np.full(len(mine[2]), np.inf)
+                other = _clusters_of(x.values)
+                a, b, mean = mine[2], other[2], _means(mine, other, radius)
+                if nearest:
+                    best = mean.argmin(1)
+                    found = mean[np.arange(len(a)), best]
+                    row = np.flatnonzero(np.isfinite(found) & (found <= low))
+                    low, col = np.minimum(low, found), best[row]
+                else:
+                    ids = pc.rank(pa.concat_arrays([a, b]), tiebreaker="dense").to_numpy().astype(np.int64)
+                    row, col = np.nonzero(ids[: len(a), None] < ids[len(a) :])
+                yield _rows(a.take(pa.array(row)), b.take(pa.array(col)), mean[row, col])
 
     return dealt.mapInArrow(run, f"a {kind}, b {kind}, d double")
 
@@ -125,41 +152,56 @@ def _renamed(members: DataFrame, merges: DataFrame) -> DataFrame:
     return members.join(merges.select("c", "__to"), "c", "left").select("id", "copies", "v", F.coalesce("__to", "c").alias("c"))
 
 
-def _round(members: DataFrame, heights: DataFrame, windows: int, radius: int) -> DataFrame:
-    """(c, __to, h): clusters that are each other's nearest, the larger name merging into the smaller; h never falls from a cluster to what it becomes."""
-    best = stored(_by_blocks(members, windows, radius, True).groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select("a", "n.b", "n.d"), "nearest")
-    back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    both = best.join(back, ["a", "b"]).where("a < b")
-    for side in "ab":
-        both = both.join(heights.toDF(side, f"h{side}"), side, "left")
-    return stored(both.select(F.col("b").alias("c"), F.col("a").alias("__to"), F.greatest("d", "ha", "hb").alias("h")), "merges")
+def _nearest(members: DataFrame, near: DataFrame | None, merges: DataFrame | None, windows: int, radius: int) -> DataFrame:
+    """(a, b, d): the nearest of every cluster. After ``merges`` only of clusters that merged or whose nearest did: a mean is no less than the nearer of two, so the others keep theirs."""
+    asked, kept = members, None
+    if near is not None:
+        gone = merges.select("c").union(merges.select("__to"))
+        kept = near.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b", "d")
+        asked = members.join(kept.select(F.col("a").alias("c")), "c", "left_anti").select(*members.columns)
+    found = _by_blocks(asked, members, windows, radius, True).repartition(parts_of(windows), "a").groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select("a", "n.b", "n.d")
+    return stored(kept.union(found) if kept is not None else found, "nearest")
+
+
+def _round(near: DataFrame) -> DataFrame:
+    """(c, __to, h): clusters that are each other's nearest, the larger name merging into the smaller."""
+    both = near.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).where("a < b")
+    merges = stored(both.select(F.col("b").alias("c"), F.col("a").alias("__to"), F.col("d").alias("h")), "merges")
+    if merges.take(1):
+        return merges
+    first = near.orderBy("d", F.least("a", "b"), F.greatest("a", "b")).limit(1)  # means that differ by rounding only; the two nearest of all are each other's nearest
+    return stored(first.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("__to"), F.col("d").alias("h")), "merges")
 
 
 def linked_windows(windows: DataFrame, clusters: int, radius: int = 1, key: str = KEY, values: str = "tail", last: int = LAST) -> DataFrame:
     """(key, cluster) of every usable window: average linkage by warped distance, cut at ``clusters`` clusters, numbered by their smallest key.
 
     Equal windows are one of their weight. While there are more than ``last`` clusters, those that are each other's nearest merge, all of a round at once: average
-    linkage is reducible, so this gives the tree of one merge after the other. A round computes the mean distances of all clusters from their windows, block by block
-    in tasks that give the nearest ones only, and merges a fifth of them at first, some 6 % later (random windows). The rest of the tree comes from the full matrix of at most ``last`` cluster means.
+    linkage is reducible, so this gives the tree of one merge after the other. A round computes the mean distances of clusters that merged or whose nearest did from their windows,
+    block by block in tasks that give the nearest ones only, and merges a fifth of all at first, some 6 % later (random windows). The rest of the tree comes from the full matrix of at most
+    ``last`` cluster means.
 
     The tree is then cut: of all its merges the ``clusters`` - 1 farthest are left out (they may be of any round), the others are followed once more from the windows on.
-    Ties of distance go to the smaller keys. The work of a round grows with the square of the different windows, spread over tasks.
+    Of equally near clusters a round takes the smaller keys. The work of a round grows with the square of the different windows, spread over tasks.
     """
     classes, owners = different(windows, key, values)
+    total = classes.count()
+    if not total:
+        return owners.select(key, F.lit(0).alias("cluster"))
     start = stored(classes.withColumn("c", F.col("id")), "members")
-    members, total = start, classes.count()
+    members = start
     left, last, rounds = total, max(last, 2 * clusters), []  # a round halves the clusters at most
-    heights = start.select("c", F.lit(0.0).alias("h")).limit(0)
+    near = merges = None
     while left > last:
-        merges = _round(members, heights, total, radius)
+        near = _nearest(members, near, merges, total, radius)
+        merges = _round(near)
         rounds.append(merges)
         left -= merges.count()
         members = stored(_renamed(members, merges), "members")
-        heights = stored(heights.join(merges.select("c"), "c", "left_anti").union(merges.select(F.col("__to").alias("c"), "h")).groupBy("c").agg(F.max("h").alias("h")), "heights")
-    found = members.groupBy("c").agg(F.sum("copies").alias("n")).join(heights, "c", "left").orderBy("c").toArrow()
+    found = members.groupBy("c").agg(F.sum("copies").alias("n")).orderBy("c").toArrow()
     names, weight = found.column("c").combine_chunks(), found.column("n").to_numpy().astype(float)
-    height = np.nan_to_num(found.column("h").to_numpy(zero_copy_only=False).astype(float))
-    pairs = _by_blocks(members, total, radius, False).toArrow()
+    height = np.zeros(len(names))
+    pairs = _by_blocks(members, members, total, radius, False).toArrow()
     a, b = (np.asarray(pc.index_in(pairs.column(x), value_set=names)).astype(np.int64) for x in "ab")
     distance = np.zeros((len(names), len(names)))
     distance[a, b] = distance[b, a] = pairs.column("d").to_numpy()
