@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import KEY
 from ..functions.storage import stored
 from .blocks import distances
-from .neighbours import different, warped_blocks
+from .neighbours import different, warped, warped_blocks
 
 #: The tree's top is built from a matrix of at most this many clusters; windows of a block, about; of a part that is worth a task, and of a part at most; parts wanted; windows compared at once.
 LAST, BLOCK, WORTH, PART, PARTS, STEP = 2048, 512, 5000, 1 << 14, 12, 2048
+#: Pairs of windows warped one by one at a time; share of all pairs of clusters up to which they are.
+SINGLE, FEW = 1 << 13, 0.7
 
 #: Windows by cluster, the place of each one's cluster among them, the clusters in order, and their weights.
 Clusters = tuple[pa.StructArray, np.ndarray, pa.Array, np.ndarray]
@@ -93,6 +95,51 @@ def _means(ours: Clusters, theirs: Clusters, radius: int) -> np.ndarray:
     return total
 
 
+def _ends(side: Clusters) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Mean first and last values of each cluster, and whether a window has one value only."""
+    x, at, _, weight = side
+    own, w = x.field("v"), np.asarray(x.field("w")).astype(float)
+    sizes, flat = np.asarray(pc.list_value_length(own)).astype(np.int64), own.flatten().to_numpy(zero_copy_only=False)
+    last = np.cumsum(sizes) - 1
+    first, final = (np.bincount(at, flat[places] * w) / weight for places in (last - sizes + 1, last))
+    return first, final, bool((sizes == 1).any())
+
+
+def _least(ours: Clusters, theirs: Clusters) -> np.ndarray:
+    """A lower bound of mean distances: first values meet under any warping, and so do last ones; the gap of means is no more than the mean of gaps."""
+    (f, l, one), (g, m, other) = _ends(ours), _ends(theirs)
+    join = np.maximum if one and other else np.add
+    return join(np.abs(f[:, None] - g), np.abs(l[:, None] - m))
+
+
+def _means_of(ours: Clusters, theirs: Clusters, p: np.ndarray, q: np.ndarray, radius: int) -> np.ndarray:
+    """Mean distances of some pairs of clusters, given by their places, from all pairs of their windows."""
+
+    def side(clusters: Clusters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x, at, names, _ = clusters
+        own, count = x.field("v"), np.bincount(at, minlength=len(names))
+        sizes = np.asarray(pc.list_value_length(own)).astype(np.int64)
+        return count, np.cumsum(count) - count, sizes, np.cumsum(sizes) - sizes, own.flatten().to_numpy(zero_copy_only=False)
+
+    (cx, fx, sx, ox, vx), (cy, fy, sy, oy, vy) = side(ours), side(theirs)
+    wx, wy = (np.asarray(c[0].field("w")).astype(float) for c in (ours, theirs))
+    total, ends = np.zeros(len(p)), np.cumsum(cx[p] * cy[q])
+    for s in range(0, int(ends[-1]) if len(ends) else 0, 16 * SINGLE):
+        every = np.arange(s, min(s + 16 * SINGLE, int(ends[-1])))
+        row = np.searchsorted(ends, every, side="right")
+        own = every - (ends[row] - cx[p[row]] * cy[q[row]])
+        i, j = fx[p[row]] + own // cy[q[row]], fy[q[row]] + own % cy[q[row]]
+        d, kind = np.empty(len(every)), sx[i] * (int(sy.max()) + 1) + sy[j]
+        order = np.argsort(kind, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            n, m = int(sx[i[some[0]]]), int(sy[j[some[0]]])
+            for k in range(0, len(some), SINGLE):
+                part = some[k : k + SINGLE]
+                d[part] = warped(vx[ox[i[part]] + np.arange(n)[:, None]], vy[oy[j[part]] + np.arange(m)[:, None]], radius)
+        total += np.bincount(row, d * wx[i] * wy[j], minlength=len(p))
+    return total / ours[3][p] / theirs[3][q]
+
+
 def parts_of(windows: int) -> int:
     return max(1, math.ceil(windows / PART), min(PARTS, math.ceil(windows / WORTH)))
 
@@ -130,13 +177,23 @@ def _by_blocks(asked: DataFrame, members: DataFrame, windows: int, radius: int,
                     mine, waiting = _clusters_of(pa.concat_arrays(waiting)), []
                     low = np.full(len(mine[2]), np.inf)
                 other = _clusters_of(x.values)
-                a, b, mean = mine[2], other[2], _means(mine, other, radius)
+                a, b = mine[2], other[2]
                 if nearest:
+                    mean = _least(mine, other)
+                    own = pc.index_in(b, value_set=a)
+                    mean[np.asarray(own.drop_null()), np.flatnonzero(np.asarray(own.is_valid()))] = np.inf
+                    p, q = np.nonzero((mean <= (low * (1 + 1e-9) + 1e-9)[:, None]) & np.isfinite(mean))  # others are farther than the nearest so far
+                    if len(p) > FEW * mean.size:
+                        mean = _means(mine, other, radius)
+                    else:
+                        mean[:] = np.inf
+                        mean[p, q] = _means_of(mine, other, p, q, radius)
                     best = mean.argmin(1)
                     found = mean[np.arange(len(a)), best]
                     row = np.flatnonzero(np.isfinite(found) & (found <= low))
                     low, col = np.minimum(low, found), best[row]
                 else:
+                    mean = _means(mine, other, radius)
                     ids = pc.rank(pa.concat_arrays([a, b]), tiebreaker="dense").to_numpy().astype(np.int64)
                     row, col = np.nonzero(ids[: len(a), None] < ids[len(a) :])
                 yield _rows(a.take(pa.array(row)), b.take(pa.array(col)), mean[row, col])
